@@ -11,21 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwell.functions.predicates import DAYS, either
-from siftwell.functions.terms import OPERATORS
-
-W = r"[\p{L}\p{N}_]"
+from siftwell.functions.terms import COUNTING, FILLERS, LAST_SPAN, OPERATORS
+from siftwell.functions.text import EDGE as W
+from siftwell.functions.text import space_words, strip, whole
 
 # Words and patterns that mark a kind of query.
-COUNTING = (
-    "how many", "count", "total", "number of", "tally",
-    "sum of", "sum up", "calculate", "compute",
-)
-COUNTING_PATTERNS = (
-    r"\bhow\s+many\b",
-    r"\bcount(?:ing)?\b",
-    r"\btotal\s+(?:number|amount|count)?\b",
-    r"\bnumber\s+of\b",
-)
+COUNTING_PATTERNS = (r"how\s+many", r"count(?:ing)?", r"number\s+of")
 STRUCTURED = (
     "status:", "id:", "name:", "by:", "priority:", "started:", "completed:",
     "failed", "success", "running", "pending", ">", "<", ">=", "<=", "=",
@@ -34,7 +25,7 @@ SEMANTIC = (
     "like", "similar", "about", "related to", "concerning",
     "regarding", "find", "search for", "show me",
 )
-ROUTE_STRUCTURED = rf"(?i){W}[:=<>]|\b(AND|OR)\b"
+ROUTE_STRUCTURED = rf"(?i){W}[:=<>]|{whole('AND|OR')}"
 ROUTE_SEMANTIC = ("like", "similar", "about", "related", "search", "find", "matching")
 SHORT_QUERY_WORDS, SHORT_QUERY_WEIGHT = 3, 0.7
 TARGETS = (
@@ -62,9 +53,9 @@ LOOSE_ID_PATTERNS = (
 )
 FIELD_VALUE = rf'{W}+[:=]"[^"]+"|{W}+[:=]\S+'
 COMPARISON = rf"{W}+\s*(?:<=|>=|<|>|=|!=)\s*\d+(?:\.\d+)?"
-TEMPORAL = r"(?i)(?:in|from|within)\s+(?:the\s+)?last\s+(\d+)\s+(day|week|month|year)s?"
+TEMPORAL = f"(?i){LAST_SPAN}"
+LONGEST_SPAN = 100_000
 GROUP_BY = rf"(?i)group by\s+({W}+)"
-FILLERS = r"(?i)\b(are|is|there|do|we|have|the)\b"
 
 
 def first_match(c: Column, patterns: Sequence[str], flags: str = "(?id)") -> Column:
@@ -86,8 +77,8 @@ def is_counting(q: Column, *, word_boundary: bool = False) -> Column:
     low = F.lower(q)
     if word_boundary:
         spaced = [w.replace(" ", r"\s+") for w in COUNTING]
-        return F.regexp_like(low, F.lit(rf"\b(?:{'|'.join(spaced)})\b"))
-    return has_any(low, COUNTING) | either(F.regexp_like(low, F.lit(p)) for p in COUNTING_PATTERNS)
+        return F.regexp_like(low, F.lit(whole("|".join(spaced))))
+    return has_any(low, COUNTING) | F.regexp_like(low, F.lit(whole("|".join(COUNTING_PATTERNS))))
 
 
 def classify(q: Column, patterns: Sequence[str] = ()) -> Column:
@@ -104,22 +95,18 @@ def classify(q: Column, patterns: Sequence[str] = ()) -> Column:
     )
 
 
-def _space_words(q: Column) -> Column:
-    return F.split(F.trim(F.lower(q)), r"\s+")
-
-
 def route(q: Column) -> Column:
     """structured only where nothing asks for meaning, else hybrid."""
     meant = F.array(*[F.lit(w) for w in ROUTE_SEMANTIC])
     has_structure = F.regexp_like(q, F.lit(ROUTE_STRUCTURED))
-    return F.when(has_structure & ~F.arrays_overlap(_space_words(q), meant), "structured").otherwise(
+    return F.when(has_structure & ~F.arrays_overlap(space_words(q), meant), "structured").otherwise(
         "hybrid"
     )
 
 
 def vector_weight(q: Column, weight: float = 0.5) -> Column:
     """Short plain queries lean on the vector side; no state is kept."""
-    short = F.size(_space_words(q)) <= SHORT_QUERY_WORDS
+    short = F.size(space_words(q)) <= SHORT_QUERY_WORDS
     plain = ~F.regexp_like(q, F.lit(ROUTE_STRUCTURED))
     return F.when(plain & short, F.lit(max(weight, SHORT_QUERY_WEIGHT))).otherwise(F.lit(weight))
 
@@ -128,7 +115,7 @@ def count_target(q: Column) -> Column:
     """What is counted, else the first common item named, else ``items``."""
     low = F.lower(q)
     named = [F.when(F.contains(low, F.lit(w)), w) for w in COMMON_ITEMS]
-    return F.coalesce(F.trim(first_match(low, TARGETS, "(?d)")), *named, F.lit("items"))
+    return F.coalesce(strip(first_match(low, TARGETS, "(?d)")), *named, F.lit("items"))
 
 
 def id_in_query(q: Column, *, loose: bool = False) -> Column:
@@ -148,16 +135,16 @@ def group_by_field(q: Column) -> Column:
 def strip_counting(q: Column) -> Column:
     """The search that remains once counting words, fillers and grouping go."""
     text = F.lower(q)
-    for word in COUNTING:
-        text = F.trim(F.replace(text, F.lit(word), F.lit("")))
-    text = F.trim(F.replace(text, F.lit("?"), F.lit("")))
-    text = F.regexp_replace(text, FILLERS, "")
-    return F.trim(F.regexp_replace(text, GROUP_BY, ""))
+    for word in (*COUNTING, "?"):
+        text = strip(F.replace(text, F.lit(word), F.lit("")))
+    text = F.regexp_replace(text, whole("|".join(FILLERS)), "")
+    return strip(F.regexp_replace(text, GROUP_BY, ""))
 
 
 def window_start(q: Column, as_of: Column) -> Column:
     """Start of the time span asked for, or null."""
     amount = F.regexp_extract(q, TEMPORAL, 1).try_cast("int")
+    amount = F.when(amount < LONGEST_SPAN, amount)
     unit = F.lower(F.regexp_extract(q, TEMPORAL, 2))
     days = F.coalesce(*[F.when(unit == u, F.lit(n)) for u, n in DAYS.items()])
     return as_of - F.make_dt_interval(amount * days)

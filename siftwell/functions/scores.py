@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.predicates import atomic_columns, contains
+from siftwell.functions.text import SPACE
 from siftwell.roles import Roles
 
 # Points and column weights.
@@ -40,7 +41,7 @@ def points(c: Column, query: str) -> Column:
         F.when(c.isNull() | (text == ""), 0.0)
         .when(text == want, EXACT)
         .when(F.contains(text, F.lit(want)), INSIDE)
-        .when(F.arrays_overlap(F.split(F.trim(text), r"\s+"), words), WORD)
+        .when(F.arrays_overlap(F.split(text, f"{SPACE}+"), words), WORD)
         .otherwise(0.0)
     )
 

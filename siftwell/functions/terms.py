@@ -12,6 +12,13 @@ OPERATORS = {"<": "lt", ">": "gt", "<=": "lte", ">=": "gte", "=": "eq", "!=": "n
 CONNECTIVES = {"and", "or", "not"}
 MIN_KEYWORD_LENGTH = 3
 NUMBER = r"\d+(?:\.\d+)?"
+COUNTING = (
+    "how many", "count", "total", "number of", "tally",
+    "sum of", "sum up", "calculate", "compute",
+)
+FILLERS = ("are", "is", "there", "do", "we", "have", "the")
+LAST_SPAN = r"(?:in|from|within)\s+(?:the\s+)?last\s+(\d+)\s+(day|week|month|year)s?"
+GROUP_BY = r"group by\s+(\w+)"
 
 
 class Condition(NamedTuple):
@@ -50,3 +57,23 @@ def read_terms(query: str) -> tuple[list[Condition], list[str]]:
 def keywords(words: list[str]) -> list[str]:
     """Words long enough to search for."""
     return [w for w in words if len(w) >= MIN_KEYWORD_LENGTH]
+
+
+def without_counting(query: str) -> str:
+    """``query`` without counting words, time span, grouping and fillers."""
+    text = query.lower()
+    for word in COUNTING:
+        text = text.replace(word, " ")
+    for pattern in (LAST_SPAN, GROUP_BY, r"\?", rf"\b(?:{'|'.join(FILLERS)})\b"):
+        text = re.sub(pattern, " ", text)
+    return " ".join(text.split())
+
+
+def last_span(query: str) -> tuple[int, str] | None:
+    m = re.search(LAST_SPAN, query, re.IGNORECASE)
+    return (int(m[1]), m[2].lower()) if m else None
+
+
+def group_field(query: str) -> str | None:
+    m = re.search(GROUP_BY, query, re.IGNORECASE)
+    return m[1] if m else None

@@ -9,8 +9,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Word characters, minimum length and stop words.
-WORD = r"[\p{L}\p{N}_]+"
+# Word characters, blanks, minimum length and stop words.
+EDGE = r"[\p{L}\p{N}_]"
+WORD = EDGE + "+"
+SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 MIN_LENGTH = 2
 STOP_WORDS = (
     "a an the and or but if then else when at from by for with about to in on of "
@@ -19,6 +21,21 @@ STOP_WORDS = (
 ).split()
 
 
+def whole(alternatives: str) -> str:
+    """Pattern for whole words; edges are spelled out because ``\\b`` may be ASCII."""
+    return rf"(?<!{EDGE})(?:{alternatives})(?!{EDGE})"
+
+
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
+def space_words(c: Column) -> Column:
+    """Lower-case words between blanks."""
+    return F.filter(F.split(F.lower(c), f"{SPACE}+"), lambda w: w != "")
+
+
 def normalize(c: Column) -> Column:
     """Lower case without ASCII punctuation."""
     return F.translate(F.lower(c), string.punctuation, "")
@@ -72,6 +89,5 @@ def highlight(c: Column, query: str, before: str = "<b>", after: str = "</b>") -
     if not wanted:
         return c
     literal = [re.sub(r"([\\$])", r"\\\1", s) for s in (before, after)]
-    edge = r"[\p{L}\p{N}_]"
-    pattern = rf"(?iu)(?<!{edge})(?:{'|'.join(wanted)})(?!{edge})"
+    pattern = rf"(?iu){whole('|'.join(wanted))}"
     return F.regexp_replace(c, F.lit(pattern), F.lit(f"{literal[0]}$0{literal[1]}"))

@@ -107,7 +107,8 @@ def row_text_typed(
         if weight <= 0:
             continue
         if kind.typeName() in ("timestamp", "timestamp_ntz", "date"):
-            age = F.floor((F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(c.cast("timestamp"))) / 86400)
+            micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(c.cast("timestamp"))
+            age = F.floor(micros / (86400 * 1_000_000))
             shown = F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), age.cast("string"), F.lit(" days ago"))
         elif kind.typeName() in ("struct", "map"):
             shown = F.when(c.isNotNull(), F.lit("object"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from typing import Any
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions import predicates as P
-from siftwell.functions.terms import keywords, read_terms
+from siftwell.functions import scores as S
+from siftwell.functions.terms import group_field, last_span, read_terms, without_counting
 from siftwell.operators.quantiles import exact_quantiles
+from siftwell.roles import Roles
 
 SAMPLES = 5
 
@@ -26,23 +25,40 @@ def count_matching(df: DataFrame, query: str, *, connective: str = "AND") -> Dat
     return count_rows(df.filter(P.structured(df, conds, connective=connective)))
 
 
+def counted_rows(
+    df: DataFrame, query: str, roles: Roles, as_of: Column | str | None = None
+) -> DataFrame:
+    """Rows a counting query is about: its conditions, else its words, plus its time span."""
+    conds, _ = read_terms(query)
+    text, span = without_counting(query), last_span(query)
+    if conds:
+        rows = df.filter(P.structured(df, conds))
+    else:
+        rows = df.filter(S.text_score(df, text, roles, fields=P.text_columns(df)) > 0) if text else df
+    if span and roles.timestamps:
+        rows = rows.filter(P.within_last(F.col(roles.timestamps[0]), *span, as_of))
+    return rows
+
+
 def count_query(
-    df: DataFrame,
-    query: str,
-    id_column: str,
-    filters: Mapping[str, Any] | None = None,
-    sample_fields: Sequence[str] = (),
+    df: DataFrame, query: str, roles: Roles, as_of: Column | str | None = None
 ) -> DataFrame:
-    """Exact count plus the first few matching rows by id, in one row."""
-    conds, words = read_terms(query)
-    rows = df.filter(P.structured(df, conds, keywords(words)) & P.criteria(df, filters or {}))
-    sample = (
-        rows.select(id_column, *sample_fields)
-        .orderBy(id_column)
-        .limit(SAMPLES)
-        .agg(F.sort_array(F.collect_list(F.struct(id_column, *sample_fields))).alias("sample"))
-    )
-    return count_rows(rows).select(F.lit(query).alias("query"), "count", sample.scalar().alias("sample"))
+    """Exact count plus the first few matching ids, in one row."""
+    rows = counted_rows(df, query, roles, as_of)
+    first = rows.select(roles.id).orderBy(roles.id).limit(SAMPLES)
+    sample = first.agg(F.array_sort(F.collect_list(roles.id))).scalar()
+    return count_rows(rows).select(F.lit(query).alias("query"), "count", sample.alias("sample"))
+
+
+def count_query_groups(
+    df: DataFrame, query: str, roles: Roles, as_of: Column | str | None = None
+) -> DataFrame:
+    """Histogram over the ``group by`` field of a counting query."""
+    field = group_field(query)
+    if field is None:
+        raise ValueError("the query has no group by")
+    P.data_type(df, field)
+    return count_by(counted_rows(df, query, roles, as_of), field)
 
 
 def count_by(df: DataFrame, field: str | Column, name: str = "value") -> DataFrame:

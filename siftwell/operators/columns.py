@@ -8,15 +8,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.roles import Roles
 
 # Column names and name parts by role, best first.
-ID_NAMES = ("id", "uuid", "key", "item_id", "product_id", "user_id", "job_id", "customer_id", "document_id", "event_id")
-NAME_NAMES = ("name", "title", "label", "product_name", "full_name", "event_name", "job_name", "summary", "description")
-STATUS_NAMES = ("status", "state", "condition", "type", "inventory_status", "account_status", "severity")
+ID_NAMES = (
+    ("id", "uuid", "key"),
+    ("item_id", "product_id", "user_id", "job_id", "customer_id", "document_id", "event_id"),
+)
+NAME_NAMES = (
+    ("name", "title", "label"),
+    ("product_name", "full_name", "event_name", "job_name"),
+    ("summary", "description"),
+)
+STATUS_NAMES = (
+    ("status", "state", "condition", "type"),
+    ("inventory_status", "account_status", "severity"),
+)
 TIME_PARTS = ("date", "time", "created", "updated", "timestamp", "execution_start", "execution_end", "modified", "published")
 NUMBER_PARTS = ("count", "number", "amount", "price", "quantity", "percent", "ratio", "duration", "minutes", "usage", "mb", "cpu")
 TEXT_PARTS = ("text", "description", "comment", "note", "summary", "detail", "message", "error", "name", "title")
@@ -36,15 +47,19 @@ DISTINCT_ERROR = 0.02
 MOSTLY = 0.95
 
 
-def best_name(columns: Sequence[str], wanted: Sequence[str]) -> str | None:
-    """First exact, then case-insensitive, then partial match."""
-    for name in wanted:
-        if name in columns:
-            return name
-    for column in columns:
-        if column.lower() in wanted:
-            return column
-    return next((c for c in columns if any(w in c.lower() for w in wanted)), None)
+def candidates(columns: Sequence[str], names: Sequence[Sequence[str]]) -> list[str]:
+    """Columns that may play a role, best first.
+
+    Exact names come before case-insensitive and partial ones; general names
+    before those of one kind of thing, which go by column order.
+    """
+    general, *others = names
+    known = [n for group in names for n in group]
+    exact = [n for n in general if n in columns]
+    exact += [c for group in others for c in columns if c in group]
+    folded = [c for c in columns if c.lower() in known]
+    partial = [c for c in columns if any(n in c.lower() for n in known)]
+    return list(dict.fromkeys(exact + folded + partial))
 
 
 def _has_part(column: str, parts: Sequence[str]) -> bool:
@@ -79,31 +94,31 @@ def _mostly(count: str) -> Column:
 
 def infer_roles(df: DataFrame) -> DataFrame:
     """(column, role). Names propose; an id must be filled and nearly unique,
-    a status must repeat."""
-    columns = df.columns
-    entity_ids = [c for c in columns if c.lower().endswith(("_id", "key"))]
-    first_id = best_name(columns, ID_NAMES) or next(iter(entity_ids), None)
-    proposed = {
-        "id": first_id,
-        "name": best_name([c for c in columns if c != first_id], NAME_NAMES),
-        "status": best_name([c for c in columns if c != first_id], STATUS_NAMES),
-    }
-    column = F.col("column")
+    a status must repeat. One column each for id, name and status."""
     unique = F.col("distinct") >= (1 - 3 * DISTINCT_ERROR) * F.col("n")
-    evidence = {
-        "id": (F.col("filled") == F.col("n")) & unique,
-        "name": F.col("filled") > 0,
-        "status": F.col("distinct") * 2 <= F.col("n"),
+    single = {
+        "id": (ID_NAMES, (F.col("filled") == F.col("n")) & unique),
+        "name": (NAME_NAMES, F.col("filled") > 0),
+        "status": (STATUS_NAMES, F.col("distinct") * 2 <= F.col("n")),
     }
-    roles = [
-        F.when((column == c) & evidence[role], F.lit(role)) for role, c in proposed.items() if c
-    ]
+    column = F.col("column")
+    votes = []
+    for role, (names, holds) in single.items():
+        for rank, name in enumerate(candidates(df.columns, names)):
+            vote = F.struct(F.lit(role).alias("role"), F.lit(rank).alias("rank"))
+            votes.append(F.when((column == name) & holds, vote))
     for role, parts in (("timestamp", TIME_PARTS), ("numeric", NUMBER_PARTS), ("text", TEXT_PARTS)):
-        named = [c for c in columns if _has_part(c, parts)]
-        if named:
-            roles.append(F.when(column.isin(named), F.lit(role)))
-    return profile(df).select(
-        "column", F.explode(F.array_compact(F.array(*roles))).alias("role")
+        for name in df.columns:
+            if _has_part(name, parts):
+                vote = F.struct(F.lit(role).alias("role"), F.lit(0).alias("rank"))
+                votes.append(F.when(column == name, vote))
+    # One row per column and role from here on.
+    voted = profile(df).select("column", F.explode(F.array_compact(F.array(*votes))).alias("v"))
+    best = W.partitionBy("v.role").orderBy("v.rank")
+    return (
+        voted.withColumn("place", F.rank().over(best))
+        .filter("place = 1")
+        .select("column", F.col("v.role").alias("role"))
     )
 
 
@@ -119,7 +134,7 @@ def extended_roles(df: DataFrame) -> DataFrame:
     return (
         profile(df)
         .filter("filled > 0")
-        .select("column", F.explode(F.filter(rules, lambda r: r.name == F.col("column"))).alias("r"))
+        .select("column", F.explode(F.filter(rules, lambda r: r["name"] == F.col("column"))).alias("r"))
         .groupBy(F.col("r.role").alias("role"))
         .agg(F.min_by("column", "r.rank").alias("column"))
     )

@@ -76,7 +76,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
     """Counts of ``row`` by the given ``column`` values."""
-    return df.groupBy(row).pivot(column, list(values)).agg(F.count("*")).na.fill(0, [str(v) for v in values])
+    return df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0, [str(v) for v in values])
 
 
 def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:

@@ -34,16 +34,21 @@ def read_csv_head(spark: SparkSession, path: str, schema: T.StructType | str, n:
 
 
 def read_json_records(
-    spark: SparkSession, path: str, records_path: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    records_path: str | None = None,
+    schema: T.StructType | str | None = None,
+    *,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One row per object below a dotted path; anything that is no object is skipped.
 
-    Without a path the file holds one object per line and stays splittable.
+    One document per line stays splittable; ``multi_line`` reads a file per task.
     """
     reader = spark.read.schema(schema) if schema else spark.read
+    whole = reader.option("multiLine", multi_line).json(path)
     if not records_path:
-        return reader.json(path)
-    whole = reader.option("multiLine", True).json(path)
+        return whole
     records = whole.select(F.explode(records_path).alias("r"))
     return records.filter("r is not null").select("r.*")
 
