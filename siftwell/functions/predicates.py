@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.terms import Condition, as_number
+from siftwell.functions.text import whole
 from siftwell.roles import Roles
 
 NUMERIC = {
@@ -110,14 +111,13 @@ def phrase_anywhere(df: DataFrame, phrase: str, fields: Sequence[str] | None = N
     return either(F.coalesce(contains(F.col(f), phrase), F.lit(False)) for f in fields)
 
 
-def has_token(c: Column, word: str) -> Column:
-    """Whole-word match."""
-    return F.array_contains(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), word.lower())
-
-
 def any_token(df: DataFrame, words: Sequence[str], fields: Sequence[str] | None = None) -> Column:
+    """Any word as a whole word of any text column."""
+    pattern = whole("|".join(re.escape(w.lower()) for w in words))
     fields = fields or text_columns(df)
-    return either(F.coalesce(has_token(F.col(f), w), F.lit(False)) for f in fields for w in words)
+    return either(
+        F.coalesce(F.regexp_like(F.lower(F.col(f)), F.lit(pattern)), F.lit(False)) for f in fields
+    )
 
 
 def structured(

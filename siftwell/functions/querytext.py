@@ -51,8 +51,10 @@ LOOSE_ID_PATTERNS = (
     r"(?:^|\s)number\s*[:=]?\s*(\d+)",
     r"(?:^|\s)(\d{4,})\s*$",
 )
-FIELD_VALUE = rf'{W}+[:=]"[^"]+"|{W}+[:=]\S+'
-COMPARISON = rf"{W}+\s*(?:<=|>=|<|>|=|!=)\s*\d+(?:\.\d+)?"
+# A name starts at a word edge and is taken whole, so long texts are read once.
+NAME = rf"(?<!{W}){W}++"
+FIELD_VALUE = rf'{NAME}[:=](?:"[^"]+"|\S+)'
+COMPARISON = rf"{NAME}\s*(?:<=|>=|<|>|=|!=)\s*\d+(?:\.\d+)?"
 TEMPORAL = f"(?i){LAST_SPAN}"
 LONGEST_SPAN = 100_000
 GROUP_BY = rf"(?i)group by\s+({W}+)"
@@ -136,18 +138,17 @@ def strip_counting(q: Column) -> Column:
     """The search that remains once counting words, fillers and grouping go."""
     text = F.lower(q)
     for word in (*COUNTING, "?"):
-        text = strip(F.replace(text, F.lit(word), F.lit("")))
+        text = F.replace(text, F.lit(word), F.lit(""))
     text = F.regexp_replace(text, whole("|".join(FILLERS)), "")
     return strip(F.regexp_replace(text, GROUP_BY, ""))
 
 
 def window_start(q: Column, as_of: Column) -> Column:
     """Start of the time span asked for, or null."""
-    amount = F.regexp_extract(q, TEMPORAL, 1).try_cast("int")
-    amount = F.when(amount < LONGEST_SPAN, amount)
-    unit = F.lower(F.regexp_extract(q, TEMPORAL, 2))
-    days = F.coalesce(*[F.when(unit == u, F.lit(n)) for u, n in DAYS.items()])
-    return as_of - F.make_dt_interval(amount * days)
+    span = F.lower(F.when(F.contains(F.lower(q), F.lit("last")), F.regexp_extract(q, TEMPORAL, 0)))
+    amount = F.regexp_extract(span, r"(\d+)", 1).try_cast("int")
+    days = F.coalesce(*[F.when(F.contains(span, F.lit(u)), F.lit(n)) for u, n in DAYS.items()])
+    return as_of - F.make_dt_interval(F.when(amount < LONGEST_SPAN, amount) * days)
 
 
 def filters(q: Column, as_of: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.predicates import atomic_columns, contains
+from siftwell.functions.predicates import atomic_columns, contains, either
 from siftwell.functions.text import SPACE
 from siftwell.roles import Roles
 
@@ -36,14 +36,18 @@ def add(parts: Sequence[Column]) -> Column:
 def points(c: Column, query: str) -> Column:
     """Points of one column: whole value, then substring, then a shared word."""
     text, want = F.lower(c.cast("string")), query.lower()
-    words = F.array(*[F.lit(w) for w in sorted(set(want.split()))])
-    return (
+    words = sorted(set(want.split()))
+    out = (
         F.when(c.isNull() | (text == ""), 0.0)
         .when(text == want, EXACT)
         .when(F.contains(text, F.lit(want)), INSIDE)
-        .when(F.arrays_overlap(F.split(text, f"{SPACE}+"), words), WORD)
-        .otherwise(0.0)
     )
+    if words != [want]:
+        # A substring test is cheap; only texts that pass it are split into words.
+        maybe = either(F.contains(text, F.lit(w)) for w in words)
+        shared = F.arrays_overlap(F.split(text, f"{SPACE}+"), F.array(*[F.lit(w) for w in words]))
+        out = out.when(maybe & shared, WORD)
+    return out.otherwise(0.0)
 
 
 def text_score(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 EDGE = r"[\p{L}\p{N}_]"
 WORD = EDGE + "+"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+BLANKS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 MIN_LENGTH = 2
 STOP_WORDS = (
     "a an the and or but if then else when at from by for with about to in on of "
@@ -28,7 +29,7 @@ def whole(alternatives: str) -> str:
 
 def strip(c: Column) -> Column:
     """Without blanks of any kind at either end."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def space_words(c: Column) -> Column:

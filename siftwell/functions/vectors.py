@@ -49,7 +49,7 @@ def literal_vector(values: Sequence[float]) -> Column:
     v = np.asarray(values, dtype=np.float32)
     size = np.linalg.norm(v)
     unit = v / size if size > 0 else v
-    return F.array(*[F.lit(float(x)) for x in unit])
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in unit)})")
 
 
 def embed_text(text: str, dim: int = DEFAULT_DIM) -> list[float]:

@@ -82,7 +82,7 @@ def field_statistics(df: DataFrame, field: str) -> DataFrame:
     """count, min, max, sum, avg and exact median of the numeric values."""
     v = F.col("v")
     values = df.select(as_number(df, field).alias("v")).filter("v is not null")
-    median = exact_quantiles(values, "v", [0.5]).select("value")
+    median = exact_quantiles(values, ["v"], [0.5]).select("value")
     return values.agg(
         F.count(v).alias("count"),
         F.min(v).alias("min"),

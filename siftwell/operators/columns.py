@@ -40,9 +40,13 @@ EXTENDED_NAMES = {
     "description": ("description", "content", "text", "details", "summary"),
 }
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "1", "0")
+NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 DATE_START = r"^\d{4}-\d{2}-\d{2}"
 LOG_TIME_PARTS = ("date", "time", "timestamp", "created", "updated", "modified")
 
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+# Types whose text form is cheap and may read as a boolean.
+SHORT = (T.BooleanType, T.IntegralType)
 DISTINCT_ERROR = 0.02
 MOSTLY = 0.95
 
@@ -67,25 +71,36 @@ def _has_part(column: str, parts: Sequence[str]) -> bool:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column with counts of what its values look like, from one aggregate."""
+    """One row per column with counts of what its values look like.
 
-    def measures(name: str) -> Column:
-        text = F.col(name).cast("string")
-        filled = text.isNotNull() & (text != "")
+    Cells become rows first, so one small set of aggregates serves any number of
+    columns; only a few states per task are shuffled. Typed columns need no parsing.
+    """
+
+    def cell(f: T.StructField) -> Column:
+        c, is_text = F.col(f.name), isinstance(f.dataType, T.StringType)
+        number = isinstance(f.dataType, T.NumericType)
+        dated = isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
         return F.struct(
-            F.lit(name).alias("column"),
-            F.count("*").alias("n"),
-            F.count_if(filled).alias("filled"),
-            F.count_if(filled & text.try_cast("double").isNotNull()).alias("numeric"),
-            F.count_if(filled & F.regexp_like(text, F.lit(DATE_START))).alias("dated"),
-            F.count_if(F.lower(text).isin(*BOOLEAN_WORDS)).alias("boolean"),
-            F.approx_count_distinct(text, DISTINCT_ERROR).alias("distinct"),
-            F.coalesce(F.max(F.length(text)), F.lit(0)).alias("longest"),
+            F.lit(f.name).alias("column"),
+            (c.isNotNull() & (c != "" if is_text else F.lit(True))).alias("filled"),
+            (c if is_text or isinstance(f.dataType, SHORT) else F.lit(None)).cast("string").alias("text"),
+            F.lit(number).alias("number"),
+            F.lit(dated).alias("dated"),
+            F.xxhash64(c).alias("hash"),
         )
 
-    names = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    stacked = df.agg(F.array(*[measures(n) for n in names]).alias("c"))
-    return stacked.select(F.inline("c"))
+    cells = df.select(F.explode(F.array(*[cell(f) for f in df.schema if not isinstance(f.dataType, NESTED)])).alias("c"))
+    filled, text = F.col("c.filled"), F.col("c.text")
+    return cells.groupBy(F.col("c.column").alias("column")).agg(
+        F.count("*").alias("n"),
+        F.count_if(filled).alias("filled"),
+        F.count_if(filled & (F.col("c.number") | F.regexp_like(text, F.lit(NUMBER)))).alias("numeric"),
+        F.count_if(filled & (F.col("c.dated") | F.regexp_like(text, F.lit(DATE_START)))).alias("dated"),
+        F.count_if(F.lower(text).isin(*BOOLEAN_WORDS)).alias("boolean"),
+        F.approx_count_distinct(F.when(F.col("c.filled"), F.col("c.hash")), DISTINCT_ERROR).alias("distinct"),
+        F.coalesce(F.max(F.length(text)), F.lit(0)).alias("longest"),
+    )
 
 
 def _mostly(count: str) -> Column:

@@ -48,15 +48,11 @@ def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.
         for c in columns
     ]
     rows = df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
-    # Brackets and bounded searches per column; the list of columns is the schema's.
-    sides = None
-    for c in columns:
-        q = exact_quantiles(df, c, probs).agg(
-            F.lit(c).alias("column"),
-            *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in probs],
-        )
-        sides = q if sides is None else sides.unionByName(q)
-    return rows.join(F.broadcast(sides), "column")
+    quartiles = exact_quantiles(df, columns, probs).groupBy("column").agg(
+        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in probs]
+    )
+    # One row per column on both sides.
+    return rows.join(quartiles, "column")
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -87,7 +83,7 @@ def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> DataF
 
 def iqr_outliers(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     """Rows further than ``reach`` interquartile ranges outside the exact quartiles."""
-    quartiles = exact_quantiles(df, column, [0.25, 0.75]).agg(
+    quartiles = exact_quantiles(df, [column], [0.25, 0.75]).agg(
         F.struct(F.min("value").alias("q1"), F.max("value").alias("q3"))
     ).scalar()
     q1, q3 = quartiles.getField("q1"), quartiles.getField("q3")

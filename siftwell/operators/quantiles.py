@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -42,54 +44,62 @@ def cumulative(
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
-    """(prob, value) with linear interpolation between neighbours.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column, prob, value) with linear interpolation between neighbours.
 
-    A bounded sketch brackets each wanted rank. Rows below a bracket are only
-    counted; the few inside are counted per value and searched exactly.
+    Three passes for all columns together. Two run at once and bring a few
+    numbers to the driver: a bounded sketch that brackets each wanted rank, and
+    how many rows lie below. The third counts the few rows inside per value and
+    searches them exactly, cut into bins so no task sorts a whole bracket.
     """
-    v = F.col(column)
     edges = [min(max(p + side * MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    sketch = df.agg(
-        F.struct(
-            F.count(v).alias("n"), F.percentile_approx(v, edges, ACCURACY).alias("edge")
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sketch = values.agg(
+        *[
+            F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, ACCURACY).alias("edge"))
+            for c in columns
+        ]
+    ).first()
+    wanted = [
+        (c, float(p), s["n"], s["edge"][2 * j], s["edge"][2 * j + 1])
+        for c, s in zip(columns, sketch)
+        for j, p in enumerate(probs)
+        if s["n"]
+    ]
+    schema = "column string, prob double, value double"
+    if not wanted:
+        return df.sparkSession.createDataFrame([], schema)
+    below = values.agg(*[F.count_if(F.col(c) < lo) for c, _, _, lo, _ in wanted]).first()
+
+    def cell(i: int, column: str, lo: float, hi: float) -> Column:
+        v, width = F.col(column), (hi - lo) / BINS
+        bin_ = F.least(F.floor((v - lo) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        return F.when(
+            v.between(lo, hi), F.struct(F.lit(i).alias("i"), bin_.cast("int").alias("bin"), v.alias("v"))
         )
-    ).scalar()
-    n, edge = sketch.getField("n"), sketch.getField("edge")
-    brackets = [(F.get(edge, F.lit(2 * i)), F.get(edge, F.lit(2 * i + 1))) for i in range(len(probs))]
-    below = df.agg(F.array(*[F.count_if(v < lo) for lo, _ in brackets])).scalar()
 
-    inside = df.select(
-        v.alias("v"),
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(v.between(lo, hi), F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi")))
-                        for i, (lo, hi) in enumerate(brackets)
-                    ]
-                )
-            )
-        ).alias("b"),
-    )
-    place = F.try_divide((F.col("v") - F.col("b.lo")) * BINS, F.col("b.hi") - F.col("b.lo"))
-    counts = inside.groupBy(
-        F.col("b.i").alias("i"),
-        F.coalesce(F.least(F.floor(place), F.lit(BINS - 1)), F.lit(0)).alias("bin"),
-        "v",
-    ).agg(F.count("*").alias("n"))
+    hits = [F.col(c).between(lo, hi) for c, _, _, lo, hi in wanted]
+    cells = F.array(*[cell(i, c, lo, hi) for i, (c, _, _, lo, hi) in enumerate(wanted)])
+    inside = values.filter(reduce(operator.or_, hits)).select(F.explode_outer(cells).alias("c"))
+    counts = inside.filter("c is not null").groupBy("c.i", "c.bin", "c.v").agg(F.count("*").alias("n"))
     running = cumulative(counts, ["i"], "bin", ["v"], F.col("n"), "upto")
 
-    prob = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i"))
-    rank = (n - 1) * prob
-    upto = F.get(below, F.col("i")) + F.col("upto")
-    low = F.min(F.when(upto > F.floor(rank), F.col("v")))
-    high = F.min(F.when(upto > F.ceil(rank), F.col("v")))
-    bracketed = (F.first(F.get(below, F.col("i"))) <= F.floor(F.first(rank))) & high.isNotNull()
-    value = low + (high - low) * (F.first(rank) - F.floor(F.first(rank)))
-    return running.groupBy("i").agg(
-        F.first(prob).alias("prob"),
-        F.when(bracketed, value)
-        .otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-        .alias("value"),
-    ).drop("i")
+    ranks = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(p).alias("prob"),
+            F.lit(below[i]).alias("before"),
+            F.lit((n - 1) * p).alias("rank"),
+        )
+        for i, (c, p, n, _, _) in enumerate(wanted)
+    ]
+    placed = running.select(F.get(F.array(*ranks), F.col("i")).alias("r"), "upto", "v")
+    upto, rank = F.col("r.before") + F.col("upto"), F.col("r.rank")
+    found = placed.groupBy("r").agg(
+        F.min(F.when(upto > F.floor(rank), F.col("v"))).alias("low"),
+        F.min(F.when(upto > F.ceil(rank), F.col("v"))).alias("high"),
+    )
+    held = (F.col("r.before") <= F.floor(rank)) & F.col("high").isNotNull()
+    value = F.col("low") + (F.col("high") - F.col("low")) * (rank - F.floor(rank))
+    loud = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+    return found.select("r.column", "r.prob", F.when(held, value).otherwise(loud).alias("value"))

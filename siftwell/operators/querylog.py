@@ -25,8 +25,11 @@ def explain_queries(log: DataFrame, query: str, as_of: Column) -> DataFrame:
 
 
 def query_filters(log: DataFrame, query: str, as_of: Column) -> DataFrame:
-    """One row per (field, op, value) condition of each search string."""
-    return log.select(
-        *[c for c in log.columns if c != query],
-        F.explode(Q.filters(F.col(query), as_of)).alias("f"),
-    ).select("*", "f.field", "f.op", "f.value").drop("f")
+    """One row per (field, op, value) condition of each search string.
+
+    The outer explode keeps Spark from adding a non-empty test that would read
+    every string once more.
+    """
+    kept = [c for c in log.columns if c != query]
+    rows = log.select(*kept, F.explode_outer(Q.filters(F.col(query), as_of)).alias("f"))
+    return rows.filter("f is not null").select(*kept, "f.field", "f.op", "f.value")

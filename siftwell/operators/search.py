@@ -61,7 +61,7 @@ def relevance_search(df: DataFrame, query: str, fields: Sequence[str] | None = N
     )
 
 
-def text_search(
+def text_scored(
     df: DataFrame,
     query: str,
     roles: Roles | None = None,
@@ -69,14 +69,37 @@ def text_search(
     weights: Mapping[str, float] | None = None,
     fields: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows with any text match, scored."""
+    """Every row with its text score, 0 where nothing matches."""
     return df.withColumns(
         {
             "_score": S.text_score(df, query, roles, weights=weights, fields=fields),
             "_match_type": F.lit("text"),
             "_matched_fields": S.matched_fields(df, query, fields),
         }
-    ).filter(F.col("_score") > 0)
+    )
+
+
+def text_search(
+    df: DataFrame,
+    query: str,
+    roles: Roles | None = None,
+    *,
+    weights: Mapping[str, float] | None = None,
+    fields: Sequence[str] | None = None,
+) -> DataFrame:
+    """Rows with any text match, scored."""
+    return text_scored(df, query, roles, weights=weights, fields=fields).filter("_score > 0")
+
+
+def best_matches(
+    df: DataFrame, query: str, roles: Roles, k: int, fields: Sequence[str] | None = None
+) -> DataFrame:
+    """Top ``k`` of :func:`text_search`.
+
+    Rows without a match rank last and are dropped after the limit, so every
+    text is scored once and not once more for the filter.
+    """
+    return best(text_scored(df, query, roles, fields=fields), k, roles.id).filter("_score > 0")
 
 
 def best(df: DataFrame, k: int, id_column: str | Sequence[str], by: str = "_score") -> DataFrame:
@@ -122,8 +145,8 @@ def id_first(
     """
     hit = by_id(df, roles.id, value)
     exact = hit.withColumns({"_score": F.lit(1.0), "_match_type": F.lit("exact_id")})
-    fallback = text_search(df, query, roles, fields=fields).drop("_matched_fields")
-    return exact.unionByName(best(fallback.filter(~hit.exists()), k, roles.id))
+    found = best_matches(df.filter(~hit.exists()), query, roles, k, fields).drop("_matched_fields")
+    return exact.unionByName(found)
 
 
 def search(
@@ -135,8 +158,9 @@ def search(
 ) -> DataFrame:
     """Structured search where the query holds conditions, else text search."""
     conds, _ = read_terms(query)
-    found = structured_search(df, query) if conds else text_search(df, query, roles, fields=fields)
-    return best(found, k, roles.id)
+    if conds:
+        return best(structured_search(df, query), k, roles.id)
+    return best_matches(df, query, roles, k, fields)
 
 
 def in_last(

@@ -199,7 +199,10 @@ def knn_batch(
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def group_centres(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """Mean vector per key in one aggregate with fixed-size state."""
-    means = [F.avg(F.get(F.col(vector), F.lit(i))) for i in range(dim)]
-    return df.groupBy(F.col(key).alias("id")).agg(F.array(*means).cast("array<float>").alias("embedding"))
+def group_centres(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Mean vector per key: one small state per key and position, combined in each task."""
+    cells = df.select(F.col(key).alias("id"), F.posexplode(vector).alias("pos", "x"))
+    means = cells.groupBy("id", "pos").agg(F.avg("x").alias("mean"))
+    # One row per position of a vector is left for each key.
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean")))
+    return means.groupBy("id").agg(ordered.getField("mean").cast("array<float>").alias("embedding"))

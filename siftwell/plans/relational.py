@@ -95,7 +95,7 @@ def by_month(facts: DataFrame, ts: str) -> DataFrame:
 
 
 def average_per_key(facts: DataFrame, key: str, amount: str) -> DataFrame:
-    return per_key(facts, key, average=(F.sum(money(amount)) / F.count(amount)).cast("double"))
+    return per_key(facts, key, average=F.sum(money(amount)).cast("double") / F.count(amount))
 
 
 def sales_by_name(

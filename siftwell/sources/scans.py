@@ -10,12 +10,9 @@ from pyspark.sql import types as T
 
 from siftwell.operators.columns import LOG_TIME_PARTS, is_count_column, is_time_column
 
-# Timestamp notations of raw logs, in the order they are tried.
-LOG_TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd",
-    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy",
-)
+# Timestamp notations of raw logs besides ISO 8601, in the order tried.
+LOG_TIME_FORMATS = ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?)?$"
 MAX_FETCH = 10_000
 
 
@@ -106,9 +103,19 @@ def stream_csv(
 
 
 def log_time(c: Column) -> Column:
-    """First notation that fits; null where none does."""
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in LOG_TIME_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    """First notation that fits; null where none does.
+
+    The shape is tested first: a failed parse costs far more than a pattern.
+    """
+    iso = F.when(F.regexp_like(c, F.lit(ISO_TIME)), c.try_cast("timestamp_ntz"))
+    tries = [
+        F.when(
+            F.regexp_like(c, F.lit(r"^\d{2}/\d{2}/\d{4}" + (r" \d{2}:\d{2}:\d{2}$" if " " in f else "$"))),
+            F.try_to_timestamp(c, F.lit(f)),
+        ).cast("timestamp_ntz")
+        for f in LOG_TIME_FORMATS
+    ]
+    return F.coalesce(iso, *tries)
 
 
 def clean_log(raw: DataFrame) -> DataFrame:

@@ -106,11 +106,11 @@ def orders_by_month(t):
     return R.by_month(t.orders, "o_orderdate")
 
 
-@case("""SELECT o_custkey, round(sum(o_totalprice::DECIMAL(18,4))::DOUBLE / count(*), 4) AS average
+@case("""SELECT o_custkey, round(sum(o_totalprice::DECIMAL(18,4))::DOUBLE / count(*), 8) AS average
   FROM orders GROUP BY 1""")
 def average_order_value(t):
     out = R.average_per_key(t.orders, "o_custkey", "o_totalprice")
-    return out.withColumn("average", F.round("average", 4))
+    return out.withColumn("average", F.round("average", 8))
 
 
 @case("""SELECT p_name, sum((l_quantity * l_extendedprice)::DECIMAL(18,4))::DOUBLE AS sales

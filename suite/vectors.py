@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from siftwell.functions import scores
 from siftwell.functions import vectors as V
 from siftwell.operators import columns, fusion, search
 from siftwell.operators import vectorindex as I
@@ -119,7 +118,7 @@ SQL_CENTRES = """c AS (SELECT label AS query_id, list(m::FLOAT::DOUBLE ORDER BY
   SELECT query_id, id, round(sim, 5) AS score, rank::INT AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def knn_batch(t):
-    centres = I.group_centres(t.embeddings, "label", "embedding", DIM)
+    centres = I.group_centres(t.embeddings, "label", "embedding")
     near = I.knn_batch(items(t), centres, 5)
     return near.select("query_id", "id", F.round("_score", 5).alias("score"), "rank")
 
@@ -138,9 +137,8 @@ def knn_all(t):
 
 
 def keyword_side(t, query=QUERY):
-    docs = t.documents
-    score = scores.text_score(docs, query, DOCS, fields=["text", "lang", "source"])
-    return docs.select(F.col("doc_id").alias("id"), score.alias("_score")).filter("_score > 0")
+    found = search.best_matches(t.documents, query, DOCS, K, ["text", "lang", "source"])
+    return found.select(F.col("doc_id").alias("id"), "_score")
 
 
 def vector_side(t):
@@ -194,7 +192,7 @@ def hybrid_no_keyword_hit(t):
     SELECT id, s, 0 AS tier FROM k UNION ALL SELECT id, s, 1 FROM v WHERE id NOT IN (SELECT id FROM k))
   ORDER BY tier, s DESC, id LIMIT {K + 20}""")
 def fuse_sequential(t):
-    found = fusion.fuse_sequential(search.best(keyword_side(t), K, "id"), vector_side(t), K + 20)
+    found = fusion.fuse_sequential(keyword_side(t), vector_side(t), K + 20)
     return found.select("id", F.round("_score", 6).alias("score"), "tier")
 
 
