@@ -13,6 +13,8 @@ from siftwell.operators.quantiles import exact_quantiles
 from siftwell.roles import Roles
 
 SAMPLES = 5
+# Name parts of columns that can stand in for a status.
+STATUS_PARTS = ("status", "state", "type")
 
 
 def count_rows(df: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def counted_rows(
     df: DataFrame, query: str, roles: Roles, as_of: Column | str | None = None
 ) -> DataFrame:
     """Rows a counting query is about: its conditions, else its words, plus its time span."""
-    conds, _ = read_terms(query)
+    conds, _ = read_terms(query.replace("?", " "))
     text, span = without_counting(query), last_span(query)
     if conds:
         rows = df.filter(P.structured(df, conds))
@@ -114,8 +116,9 @@ def summarize(results: DataFrame, id_column: str, name: str, status: str) -> Dat
     )
 
 
-def status_map(results: DataFrame, status: str) -> DataFrame:
-    """One row holding status -> count; statuses are few by definition."""
-    counts = count_by(results, status, "status")
-    entries = F.sort_array(F.collect_list(F.struct("status", "count")))
-    return counts.agg(F.map_from_entries(entries).alias("result_types"))
+def status_counts(results: DataFrame, status: str | None = None) -> DataFrame:
+    """(status, count); without a status column the first one named like a status serves."""
+    if status is None or status not in results.columns:
+        like = [c for c in results.columns if any(p in c.lower() for p in STATUS_PARTS)]
+        status = next(iter(like), None)
+    return count_by(results, F.lit(None) if status is None else status, "status")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,23 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 MARGIN = 10 / ACCURACY
 BINS = 1024
+SLICES = 256
+
+
+def sliced(df: DataFrame, column: str, name: str, n: int = SLICES) -> DataFrame:
+    """Number the value range each row falls into, about equally many rows in each.
+
+    The cut points are ``n`` approximate quantiles: a bounded sketch, one small
+    row on the driver. Slices rise with the value; nulls come first, NaN last.
+    """
+    number = F.col(column).cast("double")
+    points = df.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10 * n)).first()[0]
+    inner = sorted({p for p in points or [] if math.isfinite(p)})
+    cut = Bucketizer(
+        splits=[-math.inf, *inner, math.inf], inputCol="_number", outputCol="_bucket", handleInvalid="keep"
+    ).transform(df.withColumn("_number", number))
+    place = F.when(number.isNull(), -1).otherwise(F.col("_bucket").cast("int"))
+    return cut.withColumn(name, place).drop("_number", "_bucket")
 
 
 def cumulative(
@@ -33,14 +52,18 @@ def cumulative(
     offsets = (
         df.groupBy(*keys)
         .agg(F.sum(amount).alias("_total"))
-        .select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
+        )
     )
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         df.withColumn("_inside", F.sum(amount).over(inside))
-        .join(offsets, keys)
+        .join(offsets, same)
         .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_before", "_inside")
+        .drop("_before", "_inside", *[f"_key{i}" for i in range(len(keys))])
     )
 
 

@@ -82,8 +82,7 @@ def index_stats(index: DataFrame) -> DataFrame:
 
 def similarity(vector: str, query: Column) -> Column:
     """Cosine of a column and a unit query vector."""
-    size = norm(F.col(vector))
-    return F.when(size > 0, dot(F.col(vector), query) / size).otherwise(0.0)
+    return F.coalesce(F.try_divide(dot(F.col(vector), query), norm(F.col(vector))), F.lit(0.0))
 
 
 def knn(

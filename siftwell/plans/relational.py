@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.operators.quantiles import cumulative
+from siftwell.operators.quantiles import cumulative, sliced
 
 MAX_ROWS = 10_000
 
@@ -152,33 +152,35 @@ def latest(facts: DataFrame, key: str, order: Sequence[str], columns: Sequence[s
     return facts.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def ranks(df: DataFrame, key: str, value: str, slices: int = 256) -> DataFrame:
-    """rank and dense_rank by descending value within ``key``.
+def ranks(df: DataFrame, key: str, value: str) -> DataFrame:
+    """rank and dense_rank by descending value within ``key``, nulls last.
 
-    Values are counted first, so ties are one row; the value range of a key is
-    cut into slices whose totals carry over, so no task sorts a whole hot key.
+    Values are counted first, so ties are one row; the values of a key are cut
+    into slices whose totals carry over, so no task sorts a whole hot key.
     """
-    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo").cast("double"), bounds.getField("hi").cast("double")
-    v = F.col(value)
-    # Highest values first: slice numbers grow as values fall.
-    place = F.floor(F.try_divide((hi - v.cast("double")) * slices, hi - lo))
     counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_slice", F.coalesce(F.least(place, F.lit(slices - 1)), F.lit(0)))
     falling = [F.desc(value)]
+    counts = sliced(counts, value, "_slice").withColumn("_slice", -F.col("_slice"))
     upto = cumulative(counts, [key], "_slice", falling, F.col("_n"), "_upto")
     distinct = cumulative(upto, [key], "_slice", falling, F.lit(1), "dense_rank")
-    places = distinct.select(key, value, (F.col("_upto") - F.col("_n") + 1).alias("rank"), "dense_rank")
-    return df.join(places, [key, value])
+    places = distinct.select(
+        F.col(key).alias("_key"),
+        F.col(value).alias("_value"),
+        (F.col("_upto") - F.col("_n") + 1).alias("rank"),
+        "dense_rank",
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(value).eqNullSafe(F.col("_value"))
+    return df.join(places, same).drop("_key", "_value")
 
 
 def running_total(
     facts: DataFrame, key: str, ts: str, tie: str, amount: str, name: str = "running"
 ) -> DataFrame:
-    """Cumulative amount per key in time order, carried over month by month."""
-    months = facts.withColumn("_month", F.trunc(ts, "month"))
-    out = cumulative(months, [key], "_month", [ts, tie], money(amount), name)
-    return out.withColumn(name, F.col(name).cast("double")).drop("_month")
+    """Cumulative amount per key in time order, carried over slice by slice of time."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = sliced(facts.withColumn("_at", micros), "_at", "_slice")
+    out = cumulative(rows, [key], "_slice", [ts, tie], money(amount), name)
+    return out.withColumn(name, F.col(name).cast("double")).drop("_slice", "_at")
 
 
 def segments(

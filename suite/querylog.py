@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import querytext as Q
 from siftwell.operators import querylog as ops
-from siftwell.session import spread
 from suite.registry import case
 
 AS_OF = "2024-01-31 00:00:00"
@@ -112,7 +111,7 @@ SQL_FILTERS = f"""
 def search_log(t):
     events = t.events.select(F.expr("'e' || event_id").alias("qid"), F.expr(EVENT_QUERY).alias("q"))
     turns = t.conversations.select(F.expr("'c' || conv_id || '-' || turn").alias("qid"), F.col("text").alias("q"))
-    return spread(events.unionByName(turns), "qid")
+    return t.spread(events.unionByName(turns), "qid")
 
 
 def as_of():
