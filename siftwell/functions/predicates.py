@@ -29,6 +29,8 @@ NUMERIC = {
     "eq": operator.eq,
     "neq": operator.ne,
 }
+# Fixed value: the column whose fields filters may name directly.
+WRAPPER = "job_details"
 # Days per unit; a month is 30 days, a year 365.
 DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 # Words that stand for a status or a priority.
@@ -54,6 +56,15 @@ def data_type(df: DataFrame, field: str) -> T.DataType:
     return kind
 
 
+def resolve(df: DataFrame, field: str) -> str:
+    """``field`` itself, else the same field inside the wrapped record."""
+    if field in df.columns or "." in field or WRAPPER not in df.columns:
+        return field
+    inner = df.schema[WRAPPER].dataType
+    known = isinstance(inner, T.StructType) and field in inner.fieldNames()
+    return f"{WRAPPER}.{field}" if known else field
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
@@ -161,7 +172,7 @@ def criteria(df: DataFrame, filters: Mapping[str, Any]) -> Column:
         data_type(df, field)
         return contains(F.col(field), str(want))
 
-    return both(one(f, v) for f, v in filters.items())
+    return both(one(resolve(df, f), v) for f, v in filters.items())
 
 
 def record_filter(df: DataFrame, filters: Mapping[str, Any]) -> Column:

@@ -16,6 +16,8 @@ COUNTING = (
     "how many", "count", "total", "number of", "tally",
     "sum of", "sum up", "calculate", "compute",
 )
+MANY_OR_NUMBER = r"how\s+many|number\s+of"
+ID_IN_QUERY = r"(?:^|\s)(?:item\s+)?id\s*[:=]?\s*(\d+)|(?:^|\s)#(\d+)"
 FILLERS = ("are", "is", "there", "do", "we", "have", "the")
 LAST_SPAN = r"(?:in|from|within)\s+(?:the\s+)?last\s+(\d+)\s+(day|week|month|year)s?"
 GROUP_BY = r"group by\s+(\w+)"
@@ -77,3 +79,13 @@ def last_span(query: str) -> tuple[int, str] | None:
 def group_field(query: str) -> str | None:
     m = re.search(GROUP_BY, query, re.IGNORECASE)
     return m[1] if m else None
+
+
+def wanted_id(query: str) -> str | None:
+    m = re.search(ID_IN_QUERY, query, re.IGNORECASE)
+    return (m[1] or m[2]) if m else None
+
+
+def asks_for_count(query: str) -> bool:
+    low = query.lower()
+    return any(w in low for w in COUNTING) or bool(re.search(rf"\b(?:{MANY_OR_NUMBER})\b", low))

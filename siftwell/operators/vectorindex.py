@@ -12,7 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from siftwell.functions.vectors import dot, literal_vector, norm, with_unit
+from siftwell.functions.vectors import (
+    dot,
+    embedding,
+    embedding_weights,
+    literal_vector,
+    norm,
+    row_text,
+    with_unit,
+)
+from siftwell.roles import Roles
 
 VERSION = 1
 BROADCAST_BYTES = 32 << 20
@@ -41,6 +50,17 @@ def build_index(
     return with_unit(latest.select("id", "e.embedding", "e.data"), "embedding")
 
 
+def index_table(
+    df: DataFrame, roles: Roles, fields: Sequence[str], dim: int, version: str | None = None
+) -> DataFrame:
+    """Index of a whole table: weighted row text, embedded; rows without text are left out."""
+    text = row_text(df, fields, embedding_weights(roles))
+    rows = df.withColumn("_text", text).filter((F.col("_text") != "") & F.col(roles.id).isNotNull())
+    embedded = rows.withColumn("_vector", embedding(F.col("_text"), dim)).drop("_text")
+    data = [c for c in df.columns if c != roles.id]
+    return build_index(embedded, roles.id, "_vector", version, data)
+
+
 def save_index(index: DataFrame, path: str, dim: int) -> None:
     """Parquet plus a one-row table of metadata, read from the written rows."""
     index.write.mode("overwrite").parquet(f"{path}/items")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import scores
 from siftwell.operators import search as S
+from siftwell.plans.ask import ask
 from siftwell.roles import Roles, to_standard
 from suite.registry import case
 
@@ -137,3 +138,21 @@ def id_first(t):
 def id_first_miss(t):
     found = S.id_first(t.part, 999999999, "new ring", PART, fields=TEXTS)
     return found.select("p_partkey", "p_name", F.col("_score").alias("score"), F.col("_match_type").alias("kind"))
+
+
+@case(f"""SELECT p_partkey, p_name, {sql_part_score('hot plate')} AS score FROM part
+          WHERE {sql_part_score('hot plate')} > 0 ORDER BY score DESC, p_partkey LIMIT 10""")
+def ask_search(t):
+    found = ask(t.part, "hot plate", PART, fields=TEXTS)
+    return found.select("p_partkey", "p_name", F.col("_score").alias("score"))
+
+
+@case("SELECT p_partkey, p_name, 'exact_id' AS kind FROM part WHERE p_partkey = 42")
+def ask_id(t):
+    found = ask(t.part, "show item id 42", PART, fields=TEXTS)
+    return found.select("p_partkey", "p_name", F.col("_match_type").alias("kind"))
+
+
+@case("SELECT count(*) AS count FROM part WHERE p_size > 30 AND lower(p_type) = 'promo'")
+def ask_count(t):
+    return ask(t.part, "how many parts have p_size>30 and p_type:promo?", PART).select("count")

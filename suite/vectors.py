@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from siftwell.functions import vectors as V
 from siftwell.operators import columns, fusion, search
 from siftwell.operators import vectorindex as I
+from siftwell.plans import ask
+from siftwell.plans.ask import query_weight
 from siftwell.roles import Roles
 from siftwell.session import shared_folder
 from suite.registry import case
@@ -179,7 +181,30 @@ SIDE = "CASE WHEN ks IS NULL THEN 'vector' WHEN vs IS NULL THEN 'structured' ELS
 @case(f"""WITH {sql_sides()} SELECT id, round(0.3 * a + 0.7 * b, 6) AS score, {SIDE}
   FROM f ORDER BY 0.3 * a + 0.7 * b DESC, id LIMIT {K}""")
 def hybrid(t):
-    return show_hybrid(fusion.hybrid(keyword_side(t), vector_side(t), 0.7, K))
+    return show_hybrid(fusion.hybrid(keyword_side(t), vector_side(t), query_weight(QUERY), K))
+
+
+@case(f"""WITH {sql_sides().replace("doc_id AS id", "doc_id::VARCHAR AS id").replace("vec_id AS id", "vec_id::VARCHAR AS id")}
+  SELECT id, round(0.3 * a + 0.7 * b, 5) AS score, {SIDE} FROM f ORDER BY 0.3 * a + 0.7 * b DESC, id LIMIT {K}""")
+def hybrid_search(t):
+    """The whole way: index, route, both sides, fusion; ids are text."""
+    docs = t.documents.withColumn("doc_id", F.col("doc_id").cast("string"))
+    built = I.build_index(t.embeddings, "vec_id", "embedding")
+    found = ask.hybrid_search(docs, built, QUERY, DOCS, DIM, K, fields=["text", "lang", "source"])
+    return found.select("id", F.round("_score", 5).alias("score"), F.col("_result_type").alias("side"))
+
+
+@case(f"""SELECT doc_id::VARCHAR AS id, 1.0::DOUBLE AS score, 'structured' AS side FROM documents
+  WHERE lower(lang) = 'fr' AND n_chars > 1000 ORDER BY doc_id LIMIT {K}""")
+def hybrid_search_structured(t):
+    found = ask.hybrid_search(t.documents, index(t), "lang:fr n_chars>1000", DOCS, DIM, K)
+    return found.select("id", F.round("_score", 5).alias("score"), F.col("_result_type").alias("side"))
+
+
+@case()
+def index_from_text(t):
+    built = I.index_table(t.documents, DOCS, ["lang", "source", "text"], DIM)
+    return built.select("id", F.size("embedding").alias("dim"), F.col("data.lang").alias("lang"))
 
 
 @case(f"""SELECT vec_id AS id, round({SQL_SIM}, 6) AS score, 'vector' AS side FROM embeddings

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import predicates as P
-from siftwell.functions.terms import Condition, last_span, read_terms, without_counting
+from siftwell.functions.terms import Condition, last_span, read_terms, wanted_id, without_counting
 from siftwell.operators import aggregates as A
 from siftwell.operators import search as S
+from siftwell.plans.ask import ask, is_structured, query_weight
 from tests.conftest import JOBS, PRODUCTS, ids
 
 
@@ -119,6 +120,7 @@ def test_settings(products):
 def test_nested_field(spark):
     df = spark.createDataFrame([(1, ("failed", 3)), (2, ("ok", 9))], "id long, job_details struct<status: string, n: long>")
     assert ids(df.filter(P.criteria(df, {"job_details.status": "FAIL"})), "id") == [1]
+    assert ids(df.filter(P.criteria(df, {"status": "FAIL"})), "id") == [1]
     assert ids(df.filter(P.criteria(df, {"job_details.n": {"gte": 4}})), "id") == [2]
 
 
@@ -127,3 +129,12 @@ def test_native_comparisons_reach_the_scan(spark, tmp_path):
     spark.range(100).select(F.col("id"), (F.col("id") * 1.5).alias("x")).write.parquet(path)
     plan = S.filter_rows(spark.read.parquet(path), "id>90 x<=140")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,90)" in plan and "LessThanOrEqual(x,140.0)" in plan
+
+
+def test_ask_chooses_the_way(jobs5):
+    assert [r._match_type for r in ask(jobs5, "item id 3", JOBS).collect()] == ["exact_id"]
+    assert ask(jobs5, "how many jobs have status:failed?", JOBS).first()["count"] == 2
+    assert [r.job_id for r in ask(jobs5, "database", JOBS).collect()] == ["1", "4"]
+    assert wanted_id("see #12") == "12" and wanted_id("idea 5") is None
+    assert is_structured("status:failed") and not is_structured("find status:failed")
+    assert query_weight("database backup") == 0.7 and query_weight("latest jobs of the database") == 0.5
