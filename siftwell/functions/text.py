@@ -69,13 +69,14 @@ def phrases(word_array: Column, longest: int = 3) -> Column:
     ``word_array`` must be a plain column: it is read once per word.
     """
 
-    def runs(_: Column, start: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(word_array) - start)),
-            lambda n: F.array_join(F.slice(word_array, start + 1, n), " "),
-        )
-
-    return F.flatten(F.transform(word_array, runs))
+    def runs(word: Column, start: Column) -> Column:
+        out = [word]
+        for n in range(1, longest):
+            # Null past the end, and so is everything joined to it.
+            out.append(F.concat(out[-1], F.lit(" "), F.get(word_array, start + n)))
+        return F.array(*out)
+
+    return F.array_compact(F.flatten(F.transform(word_array, runs)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -29,7 +30,11 @@ class Tables:
         return df.repartition(self.spark.sparkContext.defaultParallelism, key)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(self.path(name))
+        return self._read[name]
 
 
 def case(sql: str | None = None) -> Callable[[Query], Query]:
