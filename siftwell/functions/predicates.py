@@ -199,6 +199,24 @@ def within_last(c: Column, amount: int, unit: str, as_of: Column | datetime | st
     return c >= as_of - F.make_dt_interval(F.lit(days))
 
 
+def seconds_of(df: DataFrame, column: str) -> Column:
+    """A time or number as seconds that rise with it, whatever the session time zone."""
+    kind, c = data_type(df, column), F.col(column)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c) / 1_000_000
+    if isinstance(kind, T.DateType):
+        return (F.unix_date(c) * 86400).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return clock_seconds(c)
+    return c.cast("double")
+
+
+def clock_seconds(c: Column) -> Column:
+    """Seconds since 1970 on the clock of a timestamp without time zone."""
+    day = F.unix_date(c.cast("date")).cast("long") * 86400
+    return (day + F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c)).cast("double")
+
+
 def status_words(query: str, roles: Roles, priority: str | None = None) -> dict[str, str]:
     """Filters meant by bare words such as ``failed`` or ``high``."""
     found: dict[str, str] = {}

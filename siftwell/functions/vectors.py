@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.predicates import clock_seconds
 from siftwell.functions.scores import NAME_WEIGHT, STATUS_WEIGHT
 from siftwell.roles import Roles
 
@@ -107,8 +108,8 @@ def row_text_typed(
         if weight <= 0:
             continue
         if kind.typeName() in ("timestamp", "timestamp_ntz", "date"):
-            micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(c.cast("timestamp"))
-            age = F.floor(micros / (86400 * 1_000_000))
+            now = clock_seconds(as_of.cast("timestamp_ntz"))
+            age = F.floor((now - clock_seconds(c.cast("timestamp_ntz"))) / 86400)
             shown = F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), age.cast("string"), F.lit(" days ago"))
         elif kind.typeName() in ("struct", "map"):
             shown = F.when(c.isNotNull(), F.lit("object"))

@@ -25,8 +25,8 @@ from siftwell.roles import Roles
 
 VERSION = 1
 BROADCAST_BYTES = 32 << 20
-BLOCK_QUERIES = 4096
-BLOCK_ITEMS = 100_000
+BLOCK_BYTES = 32 << 20
+SCORES_AT_ONCE = 4_000_000
 
 
 def build_index(
@@ -128,33 +128,36 @@ def knn(
     )
 
 
-def _kernel(k: int, query_type: pa.DataType, id_type: pa.DataType):
+def _kernel(k: int):
     """Best k items of a block for each query; nested functions ship by value."""
 
-    def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        values = np.asarray(flat.flatten(), dtype=np.float64)
-        return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
+    def vectors(column: pa.Array) -> np.ndarray:
+        values = np.asarray(column.flatten(), dtype=np.float64)
+        return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
     def unit(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, size, out=m.copy(), where=size > 0)
 
-    def table(rows: list[tuple]) -> pa.Table:
-        columns = list(zip(*rows)) or [(), (), ()]
-        types = {"query_id": query_type, "id": id_type, "_score": pa.float64()}
-        return pa.table({n: pa.array(c, t) for (n, t), c in zip(types.items(), columns)})
-
-    def top(query_ids: list, queries: np.ndarray, ids: list, items: np.ndarray) -> pa.Table:
-        rows = []
-        for qid, scores in zip(query_ids, unit(queries) @ unit(items).T):
+    def top(query_ids: pa.Array, queries: np.ndarray, ids: pa.Array, items: np.ndarray) -> list[pa.Table]:
+        n, out = len(ids), []
+        id_rank = np.argsort(np.argsort(np.asarray(ids.to_pylist()), kind="stable"))
+        right = unit(items).T
+        step = max(1, SCORES_AT_ONCE // n)
+        for start in range(0, len(queries), step):
+            scores = unit(queries[start : start + step]) @ right
             # All ties of the k-th score compete; the id decides between them.
-            edge = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
-            near = sorted((-scores[i], ids[i]) for i in np.flatnonzero(scores >= edge))
-            rows += [(qid, i, -s) for s, i in near[:k]]
-        return table(rows)
+            edge = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+            q, i = np.nonzero(scores >= edge)
+            by = np.lexsort((id_rank[i], -scores[q, i], q))
+            q, i = q[by], i[by]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, i = q[kept], i[kept]
+            columns = [query_ids.take(pa.array(q + start)), ids.take(pa.array(i)), pa.array(scores[q, i])]
+            out.append(pa.table(columns, names=["query_id", "id", "_score"]))
+        return out
 
-    return vectors, top, table
+    return vectors, top
 
 
 def knn_batch(
@@ -163,21 +166,22 @@ def knn_batch(
     k: int,
     *,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_queries: int = BLOCK_QUERIES,
-    block_items: int = BLOCK_ITEMS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact ``k`` nearest items for every query, both sides (id, embedding).
 
     A query set below ``broadcast_bytes`` goes to every task and the items are
-    never shuffled. A larger one is cut into blocks that meet blocks of items.
-    Either way only the best k per block leave a task.
+    never shuffled. A larger one is cut into blocks that meet blocks of items;
+    the items then move once per block of queries, not once per query. Either
+    way only the best k per block leave a task. Ids of items are unique, as
+    :func:`build_index` leaves them.
     """
     vector = F.col("embedding").cast("array<float>").alias("embedding")
     filled = F.col("id").isNotNull() & F.col("embedding").isNotNull()
     items = items.filter(filled).select("id", vector)
     queries = queries.filter(filled).select(F.col("id").alias("query_id"), vector)
     id_kind, query_kind = items.schema["id"].dataType, queries.schema["query_id"].dataType
-    vectors, top, table = _kernel(k, to_arrow_type(query_kind), to_arrow_type(id_kind))
+    vectors, top = _kernel(k)
     schema = f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, _score double"
 
     size = queries.agg(
@@ -185,25 +189,29 @@ def knn_batch(
         F.coalesce(F.sum(F.size("embedding") * 4 + 8), F.lit(0)).alias("bytes"),
     ).first()
     if size["bytes"] <= broadcast_bytes:
-        held = queries.toArrow()
-        query_ids, matrix = held["query_id"].to_pylist(), vectors(held["embedding"])
+        held = queries.toArrow().combine_chunks()
+        query_ids = held["query_id"].combine_chunks()
+        matrix = vectors(held["embedding"].combine_chunks())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows and query_ids:
-                    ids, block = batch["id"].to_pylist(), vectors(batch["embedding"])
-                    yield from top(query_ids, matrix, ids, block).to_batches()
+                if batch.num_rows and len(query_ids):
+                    for found in top(query_ids, matrix, batch["id"], vectors(batch["embedding"])):
+                        yield from found.to_batches()
 
         near = items.mapInArrow(scan, schema)
     else:
-        q_blocks = max(1, math.ceil(size["n"] / block_queries))
-        i_blocks = max(1, math.ceil(items.count() / block_items))
+        q_blocks = max(1, math.ceil(size["bytes"] / block_bytes))
+        i_blocks = max(1, math.ceil(items.count() * (size["bytes"] / size["n"]) / block_bytes))
+        kinds = {"query_id": to_arrow_type(query_kind), "id": to_arrow_type(id_kind), "_score": pa.float64()}
+        nothing = pa.schema(kinds.items()).empty_table()
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
-                return table([])
-            query_ids, ids = left["query_id"].to_pylist(), right["id"].to_pylist()
-            return top(query_ids, vectors(left["embedding"]), ids, vectors(right["embedding"]))
+                return nothing
+            query_ids, ids = left["query_id"].combine_chunks(), right["id"].combine_chunks()
+            asked, known = left["embedding"].combine_chunks(), right["embedding"].combine_chunks()
+            return pa.concat_tables(top(query_ids, vectors(asked), ids, vectors(known)))
 
         def block(key: str, n: int) -> Column:
             return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell.functions.predicates import seconds_of
 from siftwell.operators.quantiles import cumulative, sliced
 
 MAX_ROWS = 10_000
@@ -177,8 +178,7 @@ def running_total(
     facts: DataFrame, key: str, ts: str, tie: str, amount: str, name: str = "running"
 ) -> DataFrame:
     """Cumulative amount per key in time order, carried over slice by slice of time."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = sliced(facts.withColumn("_at", micros), "_at", "_slice")
+    rows = sliced(facts.withColumn("_at", seconds_of(facts, ts)), "_at", "_slice")
     out = cumulative(rows, [key], "_slice", [ts, tie], money(amount), name)
     return out.withColumn(name, F.col(name).cast("double")).drop("_slice", "_at")
 

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from siftwell.operators.columns import LOG_TIME_PARTS, is_count_column, is_time_column
 
-# Timestamp notations of raw logs besides ISO 8601, in the order tried.
-LOG_TIME_FORMATS = ("MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
+# Timestamp notations of raw logs, in the order tried.
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?)?$"
+SLASHED_TIME = r"^(\d{2})/(\d{2})/(\d{4})(?: (\d{2}):(\d{2}):(\d{2}))?$"
 MAX_FETCH = 10_000
 
 
@@ -103,19 +103,18 @@ def stream_csv(
 
 
 def log_time(c: Column) -> Column:
-    """First notation that fits; null where none does.
+    """ISO 8601, else month/day/year, else day/month/year; null where none fits.
 
-    The shape is tested first: a failed parse costs far more than a pattern.
+    Shapes are tested by pattern, so bad text never costs an exception, and the
+    clock reading is kept whatever the session time zone.
     """
-    iso = F.when(F.regexp_like(c, F.lit(ISO_TIME)), c.try_cast("timestamp_ntz"))
-    tries = [
-        F.when(
-            F.regexp_like(c, F.lit(r"^\d{2}/\d{2}/\d{4}" + (r" \d{2}:\d{2}:\d{2}$" if " " in f else "$"))),
-            F.try_to_timestamp(c, F.lit(f)),
-        ).cast("timestamp_ntz")
-        for f in LOG_TIME_FORMATS
-    ]
-    return F.coalesce(iso, *tries)
+    first, second, year, *clock = [F.regexp_extract(c, SLASHED_TIME, i).try_cast("int") for i in range(1, 7)]
+    hms = [F.coalesce(part, F.lit(0)) for part in clock]
+    return F.coalesce(
+        F.when(F.regexp_like(c, F.lit(ISO_TIME)), c.try_cast("timestamp_ntz")),
+        F.try_make_timestamp_ntz(year, first, second, *hms),
+        F.try_make_timestamp_ntz(year, second, first, *hms),
+    )
 
 
 def clean_log(raw: DataFrame) -> DataFrame:

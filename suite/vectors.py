@@ -134,7 +134,7 @@ SQL_ALL = """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
 @case(SQL_ALL)
 def knn_all(t):
     """Every vector is a query; blocks meet blocks."""
-    near = I.knn_batch(items(t), items(t), 3, broadcast_bytes=0, block_queries=1024, block_items=1024)
+    near = I.knn_batch(items(t), items(t), 3, broadcast_bytes=0, block_bytes=256 << 10)
     return near.select("query_id", "id", F.round("_score", 6).alias("score"), "rank")
 
 
