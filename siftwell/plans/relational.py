@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,8 +38,15 @@ def capped_sql(
 
 
 def many_sql(spark: SparkSession, statements: Mapping[str, str]) -> dict[str, DataFrame]:
-    """One lazy result per named statement, in the order given."""
-    return {name: spark.sql(sql) for name, sql in statements.items()}
+    """One lazy result per named statement, in order; a faulty statement gives an empty one."""
+
+    def run(sql: str) -> DataFrame:
+        try:
+            return spark.sql(sql)
+        except AnalysisException:
+            return spark.createDataFrame([], "error string")
+
+    return {name: run(sql) for name, sql in statements.items()}
 
 
 def many_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:

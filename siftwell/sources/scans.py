@@ -40,14 +40,23 @@ def read_json_records(
 ) -> DataFrame:
     """One row per object below a dotted path; anything that is no object is skipped.
 
-    One document per line stays splittable; ``multi_line`` reads a file per task.
+    ``schema`` describes one record and is needed where records are mixed with
+    other values. One document per line stays splittable; ``multi_line`` reads a
+    file per task.
     """
-    reader = spark.read.schema(schema) if schema else spark.read
-    whole = reader.option("multiLine", multi_line).json(path)
+    reader = spark.read.option("multiLine", multi_line)
     if not records_path:
-        return whole
-    records = whole.select(F.explode(records_path).alias("r"))
-    return records.filter("r is not null").select("r.*")
+        return (reader.schema(schema) if schema else reader).json(path)
+    if schema is None:
+        records = reader.json(path).select(F.explode(records_path).alias("r"))
+        return records.filter("r is not null").select("r.*")
+    # Elements are read as JSON text, so a number among the records spoils nothing.
+    shape: T.DataType = T.ArrayType(T.StringType())
+    for part in reversed(records_path.split(".")):
+        shape = T.StructType([T.StructField(part, shape)])
+    texts = reader.schema(shape).json(path).select(F.explode(records_path).alias("t"))
+    objects = texts.filter(F.startswith(F.ltrim("t"), F.lit("{")))
+    return objects.select(F.from_json("t", schema).alias("r")).select("r.*")
 
 
 def coerce_json(df: DataFrame, timestamps: Sequence[str], pattern: str) -> DataFrame:

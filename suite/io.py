@@ -38,13 +38,13 @@ def csv_limit(t):
 @case("""SELECT event_id, event_type AS name, CASE WHEN value > 20 THEN '{"k":' || json_extract(props, '$.k')::VARCHAR || '}' END AS extra
   FROM events""")
 def json_scan(t):
-    """Documents with records below ``data.records``, one null beside each record."""
+    """Documents with records below ``data.records``, other values beside each record."""
     path = shared_folder(t.spark, "json")
     extra = F.when(F.col("value") > 20, F.from_json("props", "k long"))
-    record = F.struct("event_id", F.col("event_type").alias("name"), extra.alias("extra"))
-    body = F.struct(F.struct(F.array(record, F.lit(None)).alias("records")).alias("data"))
-    t.events.select(F.to_json(body).alias("value")).write.text(path)
-    schema = "data struct<records: array<struct<event_id: long, name: string, extra: struct<k: long>>>>"
+    record = F.to_json(F.struct("event_id", F.col("event_type").alias("name"), extra.alias("extra")))
+    document = F.concat(F.lit('{"data":{"records":[7,'), record, F.lit(',null,"x"]}}'))
+    t.events.select(document.alias("value")).write.text(path)
+    schema = "event_id long, name string, extra struct<k: long>"
     return scans.nested_as_json(scans.read_json_records(t.spark, path, "data.records", schema))
 
 
@@ -98,6 +98,11 @@ def sample(t):
     return scans.sample_rows(t.events.select("event_id", "event_type"), 20, ["event_id"])
 
 
+@case("SELECT event_id, value FROM events ORDER BY event_id LIMIT 1000")
+def bulk_read(t):
+    return scans.sample_rows(t.events.select("event_id", "value"), 1000, ["event_id"])
+
+
 @case("SELECT p_partkey, p_name, p_size FROM part")
 def table_scan(t):
     t.part.select("p_partkey", "p_name", "p_size").createOrReplaceTempView("parts_table")

@@ -86,6 +86,13 @@ def index_roundtrip(t):
     return show_index(items)
 
 
+@case("SELECT 64::INT AS dim, count(*) AS count, 1::INT AS version FROM embeddings")
+def index_meta(t):
+    path = shared_folder(t.spark, "index")
+    I.save_index(index(t), path, DIM)
+    return I.load_index(t.spark, path)[1]
+
+
 @case("""SELECT count(*) AS items, 0::BIGINT AS wrong_dim, 0::BIGINT AS no_data, 0::BIGINT AS repeated,
     (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS orphans,
     (SELECT count(*) = 0 FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS valid

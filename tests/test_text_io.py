@@ -10,6 +10,7 @@ from siftwell.functions import text as X
 from siftwell.functions.vectors import row_text, row_text_typed
 from siftwell.operators import columns, fusion, output, textjobs
 from siftwell.operators.search import structured_search
+from siftwell.plans import relational as R
 from siftwell.roles import Roles, to_source, to_standard
 from siftwell.session import shared_folder
 from siftwell.sources import scans, sinks
@@ -141,6 +142,21 @@ def test_nested_json(spark, tmp_path):
     assert sorted((r.id, r.status, r.metrics) for r in df.collect()) == [(1, "ok", '{"accuracy":0.9}'), (2, "failed", None)]
 
 
+def test_mixed_json_records_keep_objects(spark, tmp_path):
+    lines = ['{"a":{"b":[5,{"id":1},"x",null,[1],{"id":2}]}}', '{"a":{"b":[{"id":3}]}}', '{"a":5}']
+    (tmp_path / "m.json").write_text("\n".join(lines))
+    got = scans.read_json_records(spark, str(tmp_path / "m.json"), "a.b", "id long").collect()
+    assert sorted(r.id for r in got) == [1, 2, 3]
+
+
+def test_sql_guards(spark):
+    found = R.many_sql(spark, {"bad": "select nosuch from nowhere", "good": "select 1 as x"})
+    assert list(found) == ["bad", "good"] and found["bad"].isEmpty() and found["good"].first().x == 1
+    assert R.capped_sql(spark, "select id from range(50) where id > ?", [9], max_rows=5).count() == 5
+    with pytest.raises(ValueError, match="SELECT"):
+        R.capped_sql(spark, "drop table x")
+
+
 def test_csv_round_trip_keeps_quotes(spark, tmp_path):
     rows = [(1, 'say "hi", now', [1, 2], 0.5), (2, "line\nbreak", None, 1.5)]
     df = spark.createDataFrame(rows, "id long, note string, tags array<int>, _score double")
