@@ -110,7 +110,8 @@ def row_text_typed(
         if kind.typeName() in ("timestamp", "timestamp_ntz", "date"):
             now = clock_seconds(as_of.cast("timestamp_ntz"))
             age = F.floor((now - clock_seconds(c.cast("timestamp_ntz"))) / 86400)
-            shown = F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), age.cast("string"), F.lit(" days ago"))
+            shown = F.concat_ws(" ", F.date_format(c, "yyyy-MM-dd HH:mm:ss"), age, F.lit("days ago"))
+            shown = F.when(c.isNotNull(), shown)
         elif kind.typeName() in ("struct", "map"):
             shown = F.when(c.isNotNull(), F.lit("object"))
         elif kind.typeName() == "array":

@@ -28,9 +28,18 @@ STATUS_NAMES = (
     ("status", "state", "condition", "type"),
     ("inventory_status", "account_status", "severity"),
 )
-TIME_PARTS = ("date", "time", "created", "updated", "timestamp", "execution_start", "execution_end", "modified", "published")
-NUMBER_PARTS = ("count", "number", "amount", "price", "quantity", "percent", "ratio", "duration", "minutes", "usage", "mb", "cpu")
-TEXT_PARTS = ("text", "description", "comment", "note", "summary", "detail", "message", "error", "name", "title")
+TIME_PARTS = (
+    "date", "time", "created", "updated", "timestamp",
+    "execution_start", "execution_end", "modified", "published",
+)
+NUMBER_PARTS = (
+    "count", "number", "amount", "price", "quantity", "percent",
+    "ratio", "duration", "minutes", "usage", "mb", "cpu",
+)
+TEXT_PARTS = (
+    "text", "description", "comment", "note", "summary", "detail",
+    "message", "error", "name", "title",
+)
 EXTENDED_NAMES = {
     "id": ("id", "item_id", "job_id", "document_id", "record_id", "uuid", "_id"),
     "name": ("name", "title", "job_name", "document_name", "item_name", "heading"),
@@ -44,6 +53,7 @@ NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 DATE_START = r"^\d{4}-\d{2}-\d{2}"
 LOG_TIME_PARTS = ("date", "time", "timestamp", "created", "updated", "modified")
 
+TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 # Types whose text form is cheap and may read as a boolean.
 SHORT = (T.BooleanType, T.IntegralType)
@@ -80,7 +90,7 @@ def profile(df: DataFrame) -> DataFrame:
     def cell(f: T.StructField) -> Column:
         c, is_text = F.col(f.name), isinstance(f.dataType, T.StringType)
         number = isinstance(f.dataType, T.NumericType)
-        dated = isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        dated = isinstance(f.dataType, TIMES)
         return F.struct(
             F.lit(f.name).alias("column"),
             (c.isNotNull() & (c != "" if is_text else F.lit(True))).alias("filled"),
@@ -90,7 +100,8 @@ def profile(df: DataFrame) -> DataFrame:
             F.xxhash64(c).alias("hash"),
         )
 
-    cells = df.select(F.explode(F.array(*[cell(f) for f in df.schema if not isinstance(f.dataType, NESTED)])).alias("c"))
+    fields = [f for f in df.schema if not isinstance(f.dataType, NESTED)]
+    cells = df.select(F.explode(F.array(*[cell(f) for f in fields])).alias("c"))
     filled, text = F.col("c.filled"), F.col("c.text")
     return cells.groupBy(F.col("c.column").alias("column")).agg(
         F.count("*").alias("n"),
@@ -145,7 +156,12 @@ def extended_roles(df: DataFrame) -> DataFrame:
         for rank, name in enumerate(names)
         if name in df.columns
     ]
-    rules = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(k).alias("rank"), F.lit(n).alias("name")) for r, k, n in listed])
+    rules = F.array(
+        *[
+            F.struct(F.lit(r).alias("role"), F.lit(k).alias("rank"), F.lit(n).alias("name"))
+            for r, k, n in listed
+        ]
+    )
     return (
         profile(df)
         .filter("filled > 0")
@@ -194,8 +210,8 @@ def log_column_types(df: DataFrame) -> DataFrame:
     times = [c for c in df.columns if is_time_column(c)]
     maybe = [c for c in df.columns if _has_part(c, LOG_TIME_PARTS)]
     whole = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
-    real = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
-    stamped = [f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
+    real = [f.name for f in df.schema if isinstance(f.dataType, T.FractionalType)]
+    stamped = [f.name for f in df.schema if isinstance(f.dataType, TIMES)]
     column = F.col("column")
     kind = (
         F.when(column.isin(counts), "INTEGER")
@@ -210,18 +226,19 @@ def log_column_types(df: DataFrame) -> DataFrame:
 
 
 def text_fields(df: DataFrame, roles: Roles | None = None, longer_than: int = 5) -> DataFrame:
-    """Columns worth embedding: declared texts, else strings with some length, plus name and status."""
+    """Columns worth embedding: declared texts, else longer strings, name and status."""
     if roles and roles.texts:
         return profile(df).filter(F.col("column").isin(list(roles.texts))).select("column")
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     always = [c for c in (roles.name, roles.status) if c in df.columns] if roles else []
-    chosen = (F.col("column").isin(strings) & (F.col("longest") > longer_than)) | F.col("column").isin(always)
-    return profile(df).filter(chosen).select("column")
+    long = F.col("column").isin(strings) & (F.col("longest") > longer_than)
+    return profile(df).filter(long | F.col("column").isin(always)).select("column")
 
 
 def json_fields(df: DataFrame, column: str) -> DataFrame:
     """Distinct top-level keys over all JSON texts."""
-    return df.select(F.explode(F.json_object_keys(column)).alias("field")).distinct()
+    keys = df.select(F.explode_outer(F.json_object_keys(column)).alias("field"))
+    return keys.filter("field is not null").distinct()
 
 
 def analyze(df: DataFrame) -> DataFrame:

@@ -15,7 +15,11 @@ from siftwell.operators.quantiles import exact_quantiles
 def completeness(df: DataFrame) -> DataFrame:
     """(column, n, nulls, complete): one aggregate over all columns."""
     cells = [
-        F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"))
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count("*").alias("n"),
+            F.count_if(F.col(c).isNull()).alias("nulls"),
+        )
         for c in df.columns
     ]
     rows = df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
@@ -30,7 +34,8 @@ def duplicates(df: DataFrame, keys: Sequence[str | Column], digest: bool = False
     """
     columns = [F.col(k) if isinstance(k, str) else k for k in keys]
     if digest:
-        columns = [F.sha2(F.to_json(F.struct(*columns)) if len(columns) > 1 else columns[0], 256).alias("digest")]
+        whole = columns[0] if len(columns) == 1 else F.to_json(F.struct(*columns))
+        columns = [F.sha2(whole, 256).alias("digest")]
     return df.groupBy(*columns).agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
@@ -72,7 +77,8 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
     """Counts of ``row`` by the given ``column`` values."""
-    return df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1))).na.fill(0, [str(v) for v in values])
+    counts = df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)))
+    return counts.na.fill(0, [str(v) for v in values])
 
 
 def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:

@@ -52,7 +52,9 @@ def stream_upsert(
             F.col(vector).alias("embedding"),
             F.col(version).cast("long").alias("version"),
         )
-        newest = rows.groupBy("id").agg(F.max_by("embedding", "version").alias("embedding"), F.max("version").alias("version"))
+        newest = rows.groupBy("id").agg(
+            F.max_by("embedding", "version").alias("embedding"), F.max("version").alias("version")
+        )
         with_unit(newest, "embedding").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     run = (
