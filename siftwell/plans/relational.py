@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions.predicates import seconds_of
-from siftwell.operators.quantiles import cumulative, sliced
+from siftwell.operators.ordered import HOT_ROWS, cumulative, hot_keys, sliced
 
 MAX_ROWS = 10_000
 
@@ -161,17 +161,32 @@ def latest(facts: DataFrame, key: str, order: Sequence[str], columns: Sequence[s
     return facts.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def ranks(df: DataFrame, key: str, value: str) -> DataFrame:
+def ranks(df: DataFrame, key: str, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """rank and dense_rank by descending value within ``key``, nulls last.
 
-    Values are counted first, so ties are one row; the values of a key are cut
-    into slices whose totals carry over, so no task sorts a whole hot key.
+    Keys of ordinary size are ranked by a window. For hot keys the values are
+    counted first, so ties are one row, and cut into slices whose totals carry
+    over, so no task sorts a whole key.
     """
-    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
-    falling = [F.desc(value)]
+    falling = W.partitionBy(key).orderBy(F.desc(value))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
+            {
+                "rank": F.rank().over(falling).cast("long"),
+                "dense_rank": F.dense_rank().over(falling).cast("long"),
+            }
+        )
+
+    hot = hot_keys(df, key, hot_rows)
+    if hot is None:
+        return plain(df)
+    large = df.filter(hot)
+    counts = large.groupBy(key, value).agg(F.count("*").alias("_n"))
     counts = sliced(counts, value, "_slice").withColumn("_slice", -F.col("_slice"))
-    upto = cumulative(counts, [key], "_slice", falling, F.col("_n"), "_upto")
-    distinct = cumulative(upto, [key], "_slice", falling, F.lit(1), "dense_rank")
+    order = [F.desc(value)]
+    upto = cumulative(counts, [key], "_slice", order, F.col("_n"), "_upto")
+    distinct = cumulative(upto, [key], "_slice", order, F.lit(1), "dense_rank")
     places = distinct.select(
         F.col(key).alias("_key"),
         F.col(value).alias("_value"),
@@ -179,16 +194,33 @@ def ranks(df: DataFrame, key: str, value: str) -> DataFrame:
         "dense_rank",
     )
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col(value).eqNullSafe(F.col("_value"))
-    return df.join(places, same).drop("_key", "_value")
+    ranked = large.join(places, same).drop("_key", "_value")
+    return plain(df.filter(~hot)).unionByName(ranked)
 
 
 def running_total(
-    facts: DataFrame, key: str, ts: str, tie: str, amount: str, name: str = "running"
+    facts: DataFrame,
+    key: str,
+    ts: str,
+    tie: str,
+    amount: str,
+    name: str = "running",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Cumulative amount per key in time order, carried over slice by slice of time."""
-    rows = sliced(facts.withColumn("_at", seconds_of(facts, ts)), "_at", "_slice")
-    out = cumulative(rows, [key], "_slice", [ts, tie], money(amount), name)
-    return out.withColumn(name, F.col(name).cast("double")).drop("_slice", "_at")
+    """Cumulative amount per key in time order.
+
+    Keys of ordinary size are summed by a window; hot keys slice by slice of
+    time, the totals carried over.
+    """
+    rows, hot = facts.withColumn("_at", seconds_of(facts, ts)), hot_keys(facts, key, hot_rows)
+    so_far = W.partitionBy(key).orderBy("_at", tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    plain = rows if hot is None else rows.filter(~hot)
+    out = plain.withColumn(name, F.sum(money(amount)).over(so_far))
+    if hot is not None:
+        parts = sliced(rows.filter(hot), "_at", "_slice")
+        large = cumulative(parts, [key], "_slice", ["_at", tie], money(amount), name)
+        out = out.unionByName(large.drop("_slice"))
+    return out.withColumn(name, F.col(name).cast("double")).drop("_at")
 
 
 def segments(

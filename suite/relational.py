@@ -178,6 +178,14 @@ def ranked_in_segment(t):
     return out.select("c_custkey", "c_mktsegment", "c_acctbal", "rank", "dense_rank")
 
 
+@case("""SELECT c_custkey, c_mktsegment, c_acctbal, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank
+  FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)""")
+def ranked_in_hot_segment(t):
+    """Every segment counts as hot, so all go through the slices."""
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    return R.ranks(rows, "c_mktsegment", "c_acctbal", hot_rows=0)
+
+
 @case("""SELECT l_returnflag, l_orderkey, l_linenumber, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank
   FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC)""")
 def ranked_with_ties(t):
@@ -193,6 +201,19 @@ def running_total(t):
     return out.select("o_custkey", "o_orderkey", "running")
 
 
+@case("""SELECT l_returnflag, l_orderkey, l_linenumber, sum(l_extendedprice::DECIMAL(18,4)) OVER (PARTITION BY l_returnflag
+    ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber, l_extendedprice ROWS UNBOUNDED PRECEDING)::DOUBLE AS running
+  FROM lineitem""")
+def running_total_hot(t):
+    """Three keys hold all rows; each is summed slice by slice."""
+    rows = t.lineitem.select(
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice",
+        F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), "l_extendedprice").alias("tie"),
+    )
+    out = R.running_total(rows, "l_returnflag", "l_shipdate", "tie", "l_extendedprice", hot_rows=0)
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "running")
+
+
 @case("""SELECT p_partkey, CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 35 THEN 'medium' ELSE 'large' END AS size_class,
     coalesce(nullif(p_type, 'PROMO'), 'none') AS type, round(p_retailprice / nullif(p_size - 10, 0), 4) AS unit FROM part""")
 def conditional_functions(t):

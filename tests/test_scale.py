@@ -31,10 +31,11 @@ def skewed(spark):
     return pdf, df.withColumn("v", F.when(F.col("id") % 50 != 7, F.col("v")))
 
 
-def test_ranks(skewed):
+@pytest.mark.parametrize("hot_rows", [0, 500, 1_000_000])
+def test_ranks(skewed, hot_rows):
     pdf, df = skewed
     pdf = pdf.assign(v=pdf.v.where(pdf.id % 50 != 7))
-    out = R.ranks(df, "k", "v").toPandas().set_index("id").sort_index()
+    out = R.ranks(df, "k", "v", hot_rows).toPandas().set_index("id").sort_index()
     assert len(out) == len(pdf)
     for _, group in pdf.groupby("k", dropna=False):
         want = group.v.rank(method="min", ascending=False, na_option="bottom").astype(int)
@@ -43,9 +44,11 @@ def test_ranks(skewed):
         assert (out.loc[group.id, "dense_rank"].values == dense.values).all()
 
 
-def test_running_total(skewed):
+@pytest.mark.parametrize("hot_rows", [0, 500, 1_000_000])
+def test_running_total(skewed, hot_rows):
     pdf, df = skewed
-    out = R.running_total(df.withColumn("v", F.lit(1.25)), "k", "t", "id", "v").toPandas().set_index("id").sort_index()
+    ones = df.withColumn("v", F.lit(1.25))
+    out = R.running_total(ones, "k", "t", "id", "v", hot_rows=hot_rows).toPandas().set_index("id").sort_index()
     assert len(out) == len(pdf)
     for _, group in pdf.groupby("k", dropna=False):
         group = group.sort_values(["t", "id"])
