@@ -89,6 +89,8 @@ def equal(df: DataFrame, field: str, value: Any) -> Column:
 def compare(df: DataFrame, field: str, op: str, value: Any) -> Column:
     """Ordered comparison; text is read as a number row by row, nulls never match."""
     kind, c = data_type(df, field), F.col(field)
+    if not isinstance(value, str) and not isinstance(kind, (T.NumericType, T.StringType)):
+        raise ValueError(f"field {field!r} is {kind.simpleString()} and holds no numbers")
     if isinstance(kind, T.StringType) and not isinstance(value, str):
         c = c.try_cast("double")
         return NUMERIC[op](c, F.lit(value)) & ~F.isnan(c)
@@ -191,9 +193,13 @@ def with_id(df: DataFrame, field: str, value: str | int) -> Column:
     return F.col(field).cast("string") == str(value)
 
 
-def within_last(c: Column, amount: int, unit: str, as_of: Column | datetime | str) -> Column:
-    """``c`` no older than ``amount`` units before ``as_of``."""
+def within_last(
+    c: Column, amount: int, unit: str, as_of: Column | datetime | str | None = None
+) -> Column:
+    """``c`` no older than ``amount`` units before ``as_of``, by default now."""
     days = amount * DAYS[unit.lower().rstrip("s")]
+    if as_of is None:
+        as_of = F.localtimestamp()
     if not isinstance(as_of, Column):
         as_of = F.lit(str(as_of)).cast("timestamp_ntz")
     return c >= as_of - F.make_dt_interval(F.lit(days))

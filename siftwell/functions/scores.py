@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.predicates import atomic_columns, contains, either
-from siftwell.functions.text import SPACE
+from siftwell.functions.text import between_blanks
 from siftwell.roles import Roles
 
 # Points and column weights.
@@ -43,10 +43,9 @@ def points(c: Column, query: str) -> Column:
         .when(F.contains(text, F.lit(want)), INSIDE)
     )
     if words != [want]:
-        # A substring test is cheap; only texts that pass it are split into words.
+        # The substring test is cheap; only texts that pass it meet the pattern.
         maybe = either(F.contains(text, F.lit(w)) for w in words)
-        shared = F.arrays_overlap(F.split(text, f"{SPACE}+"), F.array(*[F.lit(w) for w in words]))
-        out = out.when(maybe & shared, WORD)
+        out = out.when(maybe & F.regexp_like(text, F.lit(between_blanks(words))), WORD)
     return out.otherwise(0.0)
 
 

@@ -36,7 +36,10 @@ def as_number(text: str) -> int | float:
 
 
 def read_terms(query: str) -> tuple[list[Condition], list[str]]:
-    """Conditions of ``query`` and the words outside them, connectives removed."""
+    """Conditions of ``query`` and the words outside them, connectives removed.
+
+    A time span such as "from the last 7 days" is neither; see :func:`last_span`.
+    """
     found: list[Condition] = []
 
     def take_value(m: re.Match) -> str:
@@ -51,7 +54,7 @@ def read_terms(query: str) -> tuple[list[Condition], list[str]]:
         found.append(Condition(m[1], OPERATORS[m[2]], as_number(m[3])))
         return " "
 
-    rest = re.sub(COMPARISON, take_comparison, re.sub(FIELD_VALUE, take_value, query))
+    rest = re.sub(COMPARISON, take_comparison, re.sub(FIELD_VALUE, take_value, without_span(query)))
     words = [w for w in rest.split() if w.lower() not in CONNECTIVES]
     return found, words
 
@@ -71,6 +74,10 @@ def without_counting(query: str) -> str:
     return " ".join(text.split())
 
 
+def without_span(query: str) -> str:
+    return re.sub(LAST_SPAN, " ", query, flags=re.IGNORECASE)
+
+
 def last_span(query: str) -> tuple[int, str] | None:
     m = re.search(LAST_SPAN, query, re.IGNORECASE)
     return (int(m[1]), m[2].lower()) if m else None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 EDGE = r"[\p{L}\p{N}_]"
 WORD = EDGE + "+"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+SOLID = r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 BLANKS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 MIN_LENGTH = 2
 STOP_WORDS = (
@@ -27,6 +28,11 @@ def whole(alternatives: str) -> str:
     return rf"(?<!{EDGE})(?:{alternatives})(?!{EDGE})"
 
 
+def between_blanks(words: Iterable[str]) -> str:
+    """Pattern for any of the words standing between blanks or at an end."""
+    return rf"(?<!{SOLID})(?:{'|'.join(re.escape(w) for w in words)})(?!{SOLID})"
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any kind at either end."""
     return F.trim(c, F.lit(BLANKS))

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from siftwell.functions import predicates as P
 from siftwell.functions import scores as S
-from siftwell.functions.terms import group_field, last_span, read_terms, without_counting
+from siftwell.functions.terms import group_field, read_terms, without_counting
 from siftwell.operators.quantiles import exact_quantiles
+from siftwell.operators.search import in_span
 from siftwell.roles import Roles
 
 SAMPLES = 5
@@ -32,14 +33,12 @@ def counted_rows(
 ) -> DataFrame:
     """Rows a counting query is about: its conditions, else its words, plus its time span."""
     conds, _ = read_terms(query.replace("?", " "))
-    text, span = without_counting(query), last_span(query)
+    text, df = without_counting(query), in_span(df, query, roles, as_of)
     if conds:
-        rows = df.filter(P.structured(df, conds))
-    else:
-        rows = df.filter(S.text_score(df, text, roles, fields=P.text_columns(df)) > 0) if text else df
-    if span and roles.timestamps:
-        rows = rows.filter(P.within_last(F.col(roles.timestamps[0]), *span, as_of))
-    return rows
+        return df.filter(P.structured(df, conds))
+    if not text:
+        return df
+    return df.filter(S.text_score(df, text, roles, fields=P.text_columns(df)) > 0)
 
 
 def count_query(

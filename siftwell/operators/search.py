@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import predicates as P
 from siftwell.functions import scores as S
-from siftwell.functions.terms import Condition, keywords, read_terms
+from siftwell.functions.terms import Condition, keywords, last_span, read_terms, without_span
 from siftwell.roles import Roles
 
 # Result settings.
@@ -29,11 +29,30 @@ def show_condition(cond: Condition) -> str:
     return f"{cond.field}{signs[cond.op]}{cond.value}"
 
 
+def in_span(
+    df: DataFrame, query: str, roles: Roles | None = None, as_of: Column | str | None = None
+) -> DataFrame:
+    """Rows inside the time span the query names, by the first timestamp role."""
+    span = last_span(query)
+    if span is None:
+        return df
+    if not roles or not roles.timestamps:
+        raise ValueError("the query names a time span, but no column has a timestamp role")
+    return in_last(df, roles.timestamps[0], *span, as_of)
+
+
 def filter_rows(
-    df: DataFrame, query: str, *, connective: str = "AND", whole_words: bool = False
+    df: DataFrame,
+    query: str,
+    *,
+    connective: str = "AND",
+    whole_words: bool = False,
+    roles: Roles | None = None,
+    as_of: Column | str | None = None,
 ) -> DataFrame:
-    """Rows meeting the conditions and left-over keywords of ``query``."""
+    """Rows meeting the conditions, left-over keywords and time span of ``query``."""
     conds, words = read_terms(query)
+    df = in_span(df, query, roles, as_of)
     return df.filter(
         P.structured(df, conds, keywords(words), connective=connective, whole_words=whole_words)
     )
@@ -155,15 +174,17 @@ def search(
     roles: Roles,
     k: int = 10,
     fields: Sequence[str] | None = None,
+    as_of: Column | str | None = None,
 ) -> DataFrame:
     """Structured search where the query holds conditions, else text search."""
     conds, _ = read_terms(query)
+    rows, rest = in_span(df, query, roles, as_of), " ".join(without_span(query).split())
     if conds:
-        return best(structured_search(df, query), k, roles.id)
-    return best_matches(df, query, roles, k, fields)
+        return best(structured_search(rows, rest), k, roles.id)
+    return best_matches(rows, rest, roles, k, fields)
 
 
 def in_last(
-    df: DataFrame, column: str, amount: int, unit: str, as_of: Column | str
+    df: DataFrame, column: str, amount: int, unit: str, as_of: Column | str | None = None
 ) -> DataFrame:
     return df.filter(P.within_last(F.col(column), amount, unit, as_of))

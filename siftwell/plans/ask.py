@@ -12,7 +12,7 @@ from siftwell.functions.terms import asks_for_count, read_terms, wanted_id, with
 from siftwell.functions.vectors import embed_text
 from siftwell.operators import fusion
 from siftwell.operators.aggregates import count_query
-from siftwell.operators.search import best_matches, id_first, search
+from siftwell.operators.search import id_first, search
 from siftwell.operators.vectorindex import knn
 from siftwell.roles import Roles
 
@@ -32,7 +32,7 @@ def ask(
         return id_first(df, value, query, roles, k, fields)
     if asks_for_count(query):
         return count_query(df, query, roles, as_of)
-    return search(df, query, roles, k, fields)
+    return search(df, query, roles, k, fields, as_of)
 
 
 def is_structured(query: str) -> bool:
@@ -58,6 +58,7 @@ def hybrid_search(
     *,
     weight: float | None = None,
     fields: Sequence[str] | None = None,
+    as_of: Column | str | None = None,
     embed: Callable[[str, int], Sequence[float]] = embed_text,
 ) -> DataFrame:
     """(id, _score, _result_type) from the keyword side, the vector side or both.
@@ -66,10 +67,10 @@ def hybrid_search(
     """
     as_text = F.col(roles.id).cast("string").alias("id")
     if is_structured(query):
-        found = search(df, query, roles, k).select(as_text, "_score")
+        found = search(df, query, roles, k, as_of=as_of).select(as_text, "_score")
         return found.withColumn("_result_type", F.lit("structured"))
     text = without_counting(query) if asks_for_count(query) else query
-    keyword = best_matches(df, text, roles, k, fields).select(as_text, "_score")
+    keyword = search(df, text, roles, k, fields, as_of).select(as_text, "_score")
     near = knn(index.select("id", "embedding"), "id", "embedding", embed(query, dim), k, unit=True)
     w = weight if weight is not None else query_weight(query)
     return fusion.hybrid(keyword, near, w, k)

@@ -86,6 +86,17 @@ def test_time_span_and_words(jobs5):
     assert P.with_phrases(jobs5, "how many with job name backup with status failed") == {"job_name": "backup", "status": "failed"}
 
 
+def test_time_span_inside_a_search(jobs5):
+    found = S.search(jobs5, "status:failed from last 2 days", JOBS, as_of="2023-01-05 12:00:00")
+    assert [r.job_id for r in found.collect()] == ["5"]
+    found = S.search(jobs5, "database in the last 2 days", JOBS, as_of="2023-01-05 12:00:00")
+    assert [r.job_id for r in found.collect()] == ["4"]
+    with pytest.raises(ValueError, match="timestamp role"):
+        S.filter_rows(jobs5, "status:failed from last 2 days")
+    with pytest.raises(ValueError, match="no numbers"):
+        S.filter_rows(jobs5, "created_at>2022")
+
+
 def test_statistics_and_histogram(jobs5):
     row = A.field_statistics(jobs5, "duration_minutes").first()
     assert (row["count"], row["min"], row["max"], row["sum"], row["avg"], row["median"]) == (5, 10, 30, 100, 20, 20)
