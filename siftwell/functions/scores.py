@@ -18,6 +18,13 @@ EXACT, INSIDE, WORD = 10.0, 5.0, 1.0
 NAME_WEIGHT, STATUS_WEIGHT, OTHER_WEIGHT = 3.0, 2.0, 1.0
 KEYWORD_EQUAL, KEYWORD_INSIDE, WHOLE_QUERY = 2.0, 0.5, 1.0
 IMPORTANT = ("name", "title", "id", "description")
+FIELD_WEIGHTS = {
+    "name": 2.0,
+    "description": 1.5,
+    "status": 1.0,
+    "error_message": 1.0,
+    "default": 0.5,
+}
 
 
 def role_weights(roles: Roles | None) -> dict[str, float]:
@@ -57,7 +64,10 @@ def text_score(
     weights: Mapping[str, float] | None = None,
     fields: Sequence[str] | None = None,
 ) -> Column:
-    """Weighted points over all columns; ``weights["default"]`` covers the rest."""
+    """Weighted points over all columns; ``weights["default"]`` covers the rest.
+
+    Without ``weights`` the roles decide; ``FIELD_WEIGHTS`` is a set by field name.
+    """
     weights = weights if weights is not None else role_weights(roles)
     default = weights.get("default", OTHER_WEIGHT)
     return add(

@@ -88,13 +88,15 @@ def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> DataF
 
 
 def iqr_outliers(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
-    """Rows further than ``reach`` interquartile ranges outside the exact quartiles."""
-    quartiles = exact_quantiles(df, [column], [0.25, 0.75]).agg(
-        F.struct(F.min("value").alias("q1"), F.max("value").alias("q3"))
-    ).scalar()
-    q1, q3 = quartiles.getField("q1"), quartiles.getField("q3")
-    c = F.col(column)
-    return df.filter((c < q1 - (q3 - q1) * reach) | (c > q3 + (q3 - q1) * reach))
+    """Rows further than ``reach`` interquartile ranges outside the exact quartiles.
+
+    The two quartiles become literals, so the filter reaches the scan.
+    """
+    found = {r.prob: r.value for r in exact_quantiles(df, [column], [0.25, 0.75]).collect()}
+    if not found:
+        return df.limit(0)
+    q1, q3 = found[0.25], found[0.75]
+    return df.filter((F.col(column) < q1 - reach * (q3 - q1)) | (F.col(column) > q3 + reach * (q3 - q1)))
 
 
 def spikes(df: DataFrame, ts: str, key: str, days: int = 7, factor: float = 2.0) -> DataFrame:

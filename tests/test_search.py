@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import predicates as P
+from siftwell.functions.scores import FIELD_WEIGHTS
 from siftwell.functions.terms import Condition, last_span, read_terms, wanted_id, without_counting
 from siftwell.operators import aggregates as A
 from siftwell.operators import search as S
@@ -45,6 +46,12 @@ def test_text_scores(jobs5, products):
     assert bakery == {"P003": 10.0, "P005": 10.0, "P009": 10.0}
 
 
+def test_weights_by_field_name(products):
+    renamed = products.withColumnsRenamed({"product_name": "name"})
+    found = S.text_search(renamed, "organic", weights=FIELD_WEIGHTS).collect()
+    assert {r.product_id: r._score for r in found} == {"P001": 17.5, "P002": 7.5, "P004": 17.5, "P007": 17.5}
+
+
 def test_shared_word_scores_one(products):
     found = S.text_search(products, "tea oil", PRODUCTS, fields=["product_name"]).collect()
     assert {r.product_id: r._score for r in found} == {"P002": 3.0, "P010": 3.0}
