@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 from typing import Any
@@ -235,10 +235,9 @@ def status_words(query: str, roles: Roles, priority: str | None = None) -> dict[
 
 def with_phrases(df: DataFrame, query: str) -> dict[str, str]:
     """``with FIELD VALUE`` where FIELD is the longest matching column name."""
-    by_length: Callable[[str], int] = len
     found: dict[str, str] = {}
     for rest in re.findall(r"\bwith\s+(.+?)(?=\s+with\b|$)", query.lower()):
-        for name in sorted(df.columns, key=by_length, reverse=True):
+        for name in sorted(df.columns, key=len, reverse=True):
             m = re.match(re.escape(name.lower()).replace("_", r"[_\s]") + r"\s+(.+)", rest)
             if m:
                 found[name] = m[1].strip(" ?.,")

@@ -83,20 +83,24 @@ def is_counting(q: Column, *, word_boundary: bool = False) -> Column:
     return has_any(low, COUNTING) | F.regexp_like(low, F.lit(whole("|".join(COUNTING_PATTERNS))))
 
 
-def classify(q: Column, patterns: Sequence[str] = ()) -> Column:
-    """counting, hybrid, structured or semantic."""
+def search_kind(q: Column, patterns: Sequence[str] = ()) -> Column:
+    """hybrid, structured or semantic."""
     low = F.lower(q)
     by_word = has_any(low, STRUCTURED)
     by_form = either(F.regexp_like(q, F.lit(f"(?i){p}")) for p in patterns)
     has_structure, has_meaning = by_word | by_form, has_any(low, SEMANTIC)
     return (
-        F.when(is_counting(q), "counting")
-        .when(has_structure & has_meaning, "hybrid")
+        F.when(has_structure & has_meaning, "hybrid")
         .when(has_structure, "structured")
         .otherwise("semantic")
     )
 
 
+def classify(q: Column, patterns: Sequence[str] = ()) -> Column:
+    """counting, hybrid, structured or semantic."""
+    return F.when(is_counting(q), "counting").otherwise(search_kind(q, patterns))
+
+
 def route(q: Column) -> Column:
     """structured only where nothing asks for meaning, else hybrid."""
     meant = F.array(*[F.lit(w) for w in ROUTE_SEMANTIC])

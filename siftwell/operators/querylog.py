@@ -10,14 +10,13 @@ from siftwell.functions import querytext as Q
 
 def explain_queries(log: DataFrame, query: str, as_of: Column) -> DataFrame:
     """How each search string would be handled, one column per rule."""
-    q = F.col(query)
-    return log.withColumns(
+    q, counting = F.col(query), F.col("counting")
+    return log.withColumn("counting", Q.is_counting(q)).withColumns(
         {
             "id_value": Q.id_in_query(q),
-            "counting": Q.is_counting(q),
-            "kind": Q.classify(q),
-            "count_target": F.when(Q.is_counting(q), Q.count_target(q)),
-            "search_text": F.when(Q.is_counting(q), Q.strip_counting(q)),
+            "kind": F.when(counting, "counting").otherwise(Q.search_kind(q)),
+            "count_target": F.when(counting, Q.count_target(q)),
+            "search_text": F.when(counting, Q.strip_counting(q)),
             "window_start": Q.window_start(q, as_of),
             "n_filters": F.size(Q.filters(q, as_of)).cast("long"),
         }
