@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import exact, hilbert
+from siftwell.llm import exact, hilbert, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,8 +35,25 @@ def op4_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("""SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+    CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> first THEN first END AS refers_to
+  FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)""")
+def op5_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # The table has no capture times: two captures a minute from the start of 2024.
+    found = warc.archive_and_index(pages, F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 30))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op7_hilbert(spark, sf_dir):
     placed = hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
     law, none = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", none, "curve")
+
+
+@query()
+def op10_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return rules.quality_scores(docs, rules.fit_quality(docs, table(spark, sf_dir, "labels")))
