@@ -1,6 +1,7 @@
 """Web archives: records written and read by Spark, capture indexes merged by a loser tree.
 
-Every task writes one archive of WARC 1.1 records. Reading an archive gives a run
+Every task writes one compressed archive of WARC 1.1 records; offsets count bytes of
+its content. Reading an archive gives a run
 of captures sorted by URL key and time; the runs are cut at common key ranges and
 every range merges its part of all runs, so the whole is ordered from the first
 range to the last and no task sees more than its range.
@@ -8,6 +9,7 @@ range to the last and no task sees more than its range.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote_plus, urlsplit
@@ -93,7 +95,7 @@ def write_archives(pages: DataFrame, captured: Column, path: str | None = None)
     marked = named.repartition(files, "key").join(later.repartition(files, "key"), "key", "left")
     date = F.date_format(F.coalesce("captured", F.lit("1970-01-01").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     text = marked.select(record(F.col("html"), date).alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").text(path)
+    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
     return path
 
 
@@ -172,7 +174,7 @@ def read_runs(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = captures(file, data.as_py())
+                found = captures(file, gzip.decompress(data.as_py()))
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=RUN_ARROW)
 
