@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import exact, hilbert, packing, rules, suffix, warc
+from siftwell.llm import exact, hilbert, minhash, packing, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,12 @@ def op1_suffix(spark, sf_dir):
     return suffix.repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query()
+def op2_minhash(spark, sf_dir):
+    found = minhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query()
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
