@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import mix, texts_of, written
@@ -281,10 +282,9 @@ def _hubs(links: DataFrame, members: DataFrame, settings: Settings) -> DataFrame
     """The nodes with most links of each large group, a fixed number."""
     degree = links.select(F.col("u").alias("h")).union(links.select("v")).groupBy("h").agg(F.count("*").alias("degree"))
     ranked = members.select("node", "label").join(degree, F.col("node") == F.col("h"), "left")
-    top = ranked.groupBy("label").agg(
-        F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "node"), settings.hubs).alias("top")
-    )
-    return top.select(F.explode("top").alias("node"))
+    # Spark limits each task's rows before the shuffle, so a large group does not meet in one task.
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc_nulls_last("degree"), "node"))
+    return ranked.withColumn("place", place).filter(F.col("place") <= settings.hubs).select("node")
 
 
 def _minority(members: DataFrame, links: DataFrame) -> DataFrame:
