@@ -332,7 +332,8 @@ def _across(members: DataFrame, visitors: DataFrame, links: DataFrame, settings:
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
     left = stay.select(F.col("parcel").alias("at"), "lot", *columns).groupBy("at", "lot")
-    right = sent.select(F.col("to").alias("at"), "lot", *columns).groupBy("at", "lot")
+    right = sent.select(F.col("to").alias("at"), F.col("lot").alias("lot"), *[F.col(c).alias(c) for c in columns])
+    right = right.groupBy("at", "lot")
     return left.cogroup(right).applyInArrow(meet, LINKS)
 
 
