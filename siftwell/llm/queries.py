@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import exact, hilbert, minhash, packing, rules, suffix, warc
+from siftwell.llm import exact, hilbert, lm, minhash, packing, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,6 +70,11 @@ def op7_hilbert(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", none, "curve")
 
 
+@query()
+def op8_bloom(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
