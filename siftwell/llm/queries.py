@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import exact, hilbert, lm, minhash, packing, rules, suffix, warc
+from siftwell.llm import exact, graph, hilbert, lm, minhash, packing, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +63,11 @@ def op5_warc(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op6_graph(spark, sf_dir):
+    return graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op7_hilbert(spark, sf_dir):
     placed = hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
