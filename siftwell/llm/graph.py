@@ -242,7 +242,7 @@ def nearest(
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _lot(key, table: pa.Table) -> pa.Table:
+def _lot(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Queries of one lot as two blobs."""
     ids = table.column("query_id").to_numpy().astype("<i8").tobytes()
     vecs = b"".join(table.column("vec").to_pylist())
