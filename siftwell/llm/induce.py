@@ -22,7 +22,14 @@ import numpy as np
 IN_MEMORY = 1 << 23
 #: Bytes of queue entries that stay in memory.
 QUEUE_BYTES = 256 << 20
-NEVER = np.iinfo(np.int64).max
+
+
+NONE = np.zeros(0, np.int32)
+
+
+def place_type(n: int) -> type:
+    """The smaller integer that holds every place of a text of this length."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 class Spool:
@@ -80,7 +87,7 @@ class SuffixQueue:
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
         parts = self.lists.pop(symbol, None)
         if parts is None:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return NONE, NONE
         heapq.heappop(self.symbols)
         found = np.concatenate([self.spool.take(x) for x in parts], axis=1)
         return found[0], found[1]
@@ -118,6 +125,8 @@ class Inducer:
         self.bucket = np.full(size, -1, np.int64)
         self.batch = np.zeros(size, np.int64)
         self.tail = np.zeros(size, np.int64)
+        self.kind = place_type(len(text))
+        self.never = np.iinfo(self.kind).max
         self.now, self.turn = -1, 0
         self.turns: list[int] = []
         self.lows: list[int] = []
@@ -141,13 +150,13 @@ class Inducer:
             heads = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
             previous = np.concatenate(([-1], at[:-1]))
             previous[heads] = -1
-            values = lowest(previous + 1, at).astype(np.int64)
+            values = lowest(previous + 1, at)
             values[heads] = np.minimum(values[heads], self._since(symbols[heads]))
             values += 1
             values[heads[self.bucket[symbols[heads]] < 0]] = 0
             ends = np.concatenate((heads[1:], [len(at)]))
             present, last = symbols[heads], at[ends - 1]
-            tails = np.full(len(last), NEVER)
+            tails = np.full(len(last), self.never)
             open_ = last + 1 < len(positions)
             tails[open_] = lowest(last[open_] + 1, np.full(int(open_.sum()), len(positions) - 1))
             self.bucket[present], self.batch[present], self.tail[present] = self.now, turn, tails
@@ -166,13 +175,19 @@ class Inducer:
         for i in np.flatnonzero(self.bucket[symbols] == self.now).tolist():
             s = symbols[i]
             k = bisect_left(self.turns, int(self.batch[s]) + 1)
-            out[i] = min(int(self.tail[s]), self.lows[k] if k < len(self.lows) else NEVER)
+            out[i] = min(int(self.tail[s]), self.lows[k] if k < len(self.lows) else self.never)
         return out
 
 
 def refined(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Ranks (places of the first of equals) after ``active`` items, tied so far, are told apart by ``key``."""
-    by = np.lexsort((key, rank[active]))
+    held = rank[active]
+    if not held.any():
+        by = np.argsort(key, kind="stable")
+    elif key.dtype == np.uint64:
+        by = np.lexsort((key, held))
+    else:
+        by = np.argsort(held * np.int64(len(rank) + 1) + key)
     items, keys = active[by], key[by]
     old = rank[items]
     place = np.arange(len(items))
@@ -224,12 +239,13 @@ def named(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def doubled(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a string of ranks and the number of names neighbours share, all in memory."""
     rank, n, step = names.astype(np.int64), len(names), 1
-    levels = [rank]
+    kind = place_type(n)
+    levels = [rank.astype(kind)]
     while len(active := tied(rank)):
         ahead = np.minimum(active + step, n - 1)
         key = np.where(active + step < n, rank[ahead], -1)
         rank = refined(rank, active, key)
-        levels.append(rank)
+        levels.append(rank.astype(kind))
         step *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
@@ -268,9 +284,12 @@ def suffix_order(text: np.ndarray, in_memory: int = IN_MEMORY, queue_bytes: int
     rises = text[1:] > text[:-1]
     changes = np.concatenate((text[1:] != text[:-1], [True]))
     # Where the run of equal symbols that holds a position ends; its direction there decides the type.
-    run_end = np.minimum.accumulate(np.where(changes, np.arange(n), n)[::-1])[::-1]
+    kind = place_type(n)
+    everywhere = np.arange(n, dtype=kind)
+    run_end = np.minimum.accumulate(np.where(changes, everywhere, kind(n))[::-1])[::-1]
     small = np.concatenate((rises, [True]))[run_end]
-    run = run_end - np.arange(n) + 1
+    run = run_end - everywhere + kind(1)
+    del rises, changes, run_end, everywhere
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
 
     rank = named(text, starts)
@@ -281,6 +300,7 @@ def suffix_order(text: np.ndarray, in_memory: int = IN_MEMORY, queue_bytes: int
     else:
         _, dense = np.unique(rank, return_inverse=True)
         order, alike = suffix_order(dense.astype(np.uint32), in_memory, queue_bytes)
+    del rank
     seeds = starts[order]
     seed_shared = np.zeros(len(seeds), np.int64)
     if len(seeds) > 1:
@@ -290,14 +310,14 @@ def suffix_order(text: np.ndarray, in_memory: int = IN_MEMORY, queue_bytes: int
 
     spool = Spool(queue_bytes)
     try:
-        return _induced(text, small, run, seeds, seed_shared, spool)
+        return _induced(text, small, run, seeds.astype(kind), seed_shared.astype(kind), spool)
     finally:
         spool.close()
 
 
 def _induced(text, small, run, seeds, seed_shared, spool) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, run.dtype)
     # First scan, rising: falling suffixes from the seeds and from each other.
     queue = SuffixQueue(spool)
     scan = Inducer(text, ~small, queue)
@@ -340,13 +360,15 @@ def _induced(text, small, run, seeds, seed_shared, spool) -> tuple[np.ndarray, n
         if waiting and waiting[-1] == symbol:
             waiting.pop()
             down = np.concatenate([spool.take(x) for x in falling.pop(symbol)], axis=1)
-            shared = np.concatenate(([0 if last is None else min(run[last], run[down[0, -1]])], down[1, :0:-1]))
+            shared = down[1, ::-1].copy()
+            shared[1:] = shared[:-1]
+            shared[0] = 0 if last is None else min(run[last], run[down[0, -1]])
             scan.feed(down[0, ::-1], shared)
         # The bucket in rising order: falling suffixes, then the rising ones, which came from the largest down.
         between = min(run[down[0, -1]], run[up[0, -1]]) if down.shape[1] and up.shape[1] else 0
-        shared = np.concatenate((down[1], np.full(min(1, up.shape[1]), between), up[1, :0:-1]))
+        shared = np.concatenate((down[1], np.full(min(1, up.shape[1]), between, run.dtype), up[1, :0:-1]))
         pieces.append((np.concatenate((down[0], up[0, ::-1])), shared))
-    pieces.append((np.array([n - 1]), np.array([0])))
+    pieces.append((np.array([n - 1], run.dtype), np.zeros(1, run.dtype)))
     order = np.concatenate([p for p, _ in reversed(pieces)])
     shared = np.concatenate([s for _, s in reversed(pieces)])
     return order, shared

@@ -26,9 +26,11 @@ from siftwell.llm.induce import suffix_order
 WIDTH = 50
 ANCHOR = 24
 #: Text per block and per shard; more than ``MOST_PARTS`` parts make them larger, up to eight times.
-PART_BYTES, MOST_PARTS = 8 << 20, 2000
+PART_BYTES, MOST_PARTS = 6 << 20, 2000
 #: Longer texts are cut into pieces of this many strings when anchors are sought.
 PIECE = 1 << 20
+#: Odd multipliers of the three words of an anchor.
+SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 LAST = np.iinfo(np.int64).max
 
 
@@ -41,9 +43,10 @@ def anchors(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np
         part = data[begin : begin + n + width - 1]
         words = np.ascontiguousarray(words_at(part))
         m = len(part) - ANCHOR + 1
-        low = mix(words[:m] + np.uint64(1))
-        low = mix(low ^ words[8 : 8 + m])
-        low = mix(low ^ words[16 : 16 + m])
+        low = words[:m] * SPREAD[0]
+        low += words[8 : 8 + m] * SPREAD[1]
+        low += words[16 : 16 + m] * SPREAD[2]
+        low = mix(low)
         span, reach = 1, width - ANCHOR + 1
         while span < reach:
             step = min(span, reach - span)
@@ -146,15 +149,15 @@ def earliest(pieces: list[bytes], first: np.ndarray, width: int, **memory) -> li
     flat[ends] = 1
     text = np.append(flat, np.uint16(0))
     order, shared = suffix_order(text, **memory)
-    group = np.cumsum(shared < width) - 1
+    heads = np.flatnonzero(shared < width)
+    del shared
+    counts = lengths - width + 1
+    at = spread(ends - lengths, counts)
     id_at = np.full(len(text), LAST)
-    starts = ends - lengths
-    at = spread(starts, lengths - width + 1)
-    id_at[at] = np.repeat(first, lengths - width + 1)
-    least = np.minimum.reduceat(id_at[order], np.flatnonzero(shared < width))
-    best = np.empty(len(text), np.int64)
-    best[order] = least[group]
-    return np.split(best[at], np.cumsum(lengths - width + 1)[:-1])
+    id_at[at] = np.repeat(first, counts)
+    least = np.minimum.reduceat(id_at[order], heads)
+    id_at[order] = np.repeat(least, np.diff(heads, append=len(text)))
+    return np.split(id_at[at], np.cumsum(counts)[:-1])
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
