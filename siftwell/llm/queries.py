@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import exact, graph, hilbert, lm, minhash, packing, rules, suffix, warc
+from siftwell.llm import exact, graph, hilbert, lm, minhash, packing, pieces, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,6 +80,12 @@ def op8_bloom(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_pieces(spark, sf_dir):
+    found = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.drop("ids")
+
+
 @query()
 def op10_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
