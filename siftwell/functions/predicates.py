@@ -107,9 +107,18 @@ def condition(df: DataFrame, cond: Condition) -> Column:
     return compare(df, cond.field, cond.op, cond.value)
 
 
+def as_text(c: Column) -> Column:
+    """A value as text; doubles in plain notation, never with an exponent below 1e20."""
+    text = c.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0*$", "$1")
+    # The type is known while planning, so other columns keep the plain cast only.
+    is_double = F.typeof(c).isin("double", "float")
+    return F.when(is_double & F.contains(text, F.lit("E")), F.coalesce(plain, text)).otherwise(text)
+
+
 def contains(c: Column, text: str) -> Column:
     """Case-insensitive literal substring test."""
-    return F.contains(F.lower(c.cast("string")), F.lit(text.lower()))
+    return F.contains(F.lower(as_text(c)), F.lit(text.lower()))
 
 
 def any_word(df: DataFrame, words: Sequence[str], fields: Sequence[str] | None = None) -> Column:
@@ -189,7 +198,9 @@ def with_id(df: DataFrame, field: str, value: str | int) -> Column:
     """Identity on the id column; the literal is cast, never the column."""
     kind = data_type(df, field)
     if isinstance(kind, T.IntegralType):
-        return F.col(field) == int(value) if str(value).isdigit() else F.lit(False)
+        # As texts: "007" and "+7" are other ids than "7".
+        whole_number = re.fullmatch(r"-?[1-9][0-9]*|0", str(value))
+        return F.col(field) == int(value) if whole_number else F.lit(False)
     return F.col(field).cast("string") == str(value)
 
 

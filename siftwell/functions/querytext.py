@@ -56,7 +56,6 @@ NAME = rf"(?<!{W}){W}++"
 FIELD_VALUE = rf'{NAME}[:=](?:"[^"]+"|\S+)'
 COMPARISON = rf"{NAME}\s*(?:<=|>=|<|>|=|!=)\s*\d+(?:\.\d+)?"
 TEMPORAL = f"(?i){LAST_SPAN}"
-LONGEST_SPAN = 100_000
 GROUP_BY = rf"(?i)group by\s+({W}+)"
 
 
@@ -150,9 +149,12 @@ def strip_counting(q: Column) -> Column:
 def window_start(q: Column, as_of: Column) -> Column:
     """Start of the time span asked for, or null."""
     span = F.lower(F.when(F.contains(F.lower(q), F.lit("last")), F.regexp_extract(q, TEMPORAL, 0)))
-    amount = F.regexp_extract(span, r"(\d+)", 1).try_cast("int")
+    amount = F.regexp_extract(span, r"(\d+)", 1).try_cast("decimal(38,0)")
     days = F.coalesce(*[F.when(F.contains(span, F.lit(u)), F.lit(n)) for u, n in DAYS.items()])
-    return as_of - F.make_dt_interval(F.when(amount < LONGEST_SPAN, amount) * days)
+    # A span that reaches back further than timestamps do begins with the first of them.
+    reach = F.datediff(as_of.cast("date"), F.lit("0001-01-01").cast("date")).cast("long")
+    back = F.when(days.isNotNull(), F.least(F.least(amount, reach).cast("long") * days, reach))
+    return as_of - F.make_dt_interval(F.when(amount.isNotNull(), back).cast("int"))
 
 
 def filters(q: Column, as_of: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.predicates import atomic_columns, contains, either
+from siftwell.functions.predicates import as_text, atomic_columns, contains, either
 from siftwell.functions.text import between_blanks
 from siftwell.roles import Roles
 
@@ -42,7 +42,7 @@ def add(parts: Sequence[Column]) -> Column:
 
 def points(c: Column, query: str) -> Column:
     """Points of one column: whole value, then substring, then a shared word."""
-    text, want = F.lower(c.cast("string")), query.lower()
+    text, want = F.lower(as_text(c)), query.lower()
     words = sorted(set(want.split()))
     out = (
         F.when(c.isNull() | (text == ""), 0.0)
@@ -100,7 +100,7 @@ def structured_score(
     fields = fields or atomic_columns(df)
     parts = []
     for field in fields:
-        text = F.lower(F.coalesce(F.col(field).cast("string"), F.lit("none")))
+        text = F.lower(F.coalesce(as_text(F.col(field)), F.lit("none")))
         for word in (w.lower() for w in keywords):
             parts.append(
                 F.when(text == word, KEYWORD_EQUAL)

@@ -17,10 +17,10 @@ SOLID = r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 BLANKS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 MIN_LENGTH = 2
 STOP_WORDS = (
-    "a an the and or but if then else when at from by for with about to in on of "
-    "is are was were be been being this that these those i you he she it we they "
-    "my your his her its our their"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "at", "from", "by", "for", "with", "about",
+    "to", "in", "on", "of", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those",
+    "i", "you", "he", "she", "it", "we", "they", "my", "your", "his", "her", "its", "our", "their",
+)
 
 
 def whole(alternatives: str) -> str:

@@ -2,53 +2,49 @@
 
 from __future__ import annotations
 
-import math
 import operator
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 256
+from siftwell.session import shared_folder
+
 HOT_ROWS = 5_000_000
-MOST_HOT = 1000
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> Column | None:
-    """Condition for the keys with more than ``rows`` rows, or None where there are none.
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``rows`` rows, or None where there are none.
 
-    One counting pass over the key column. Keys beyond the ``MOST_HOT`` largest
-    hold less than a thousandth of the rows each and are left to plain windows.
+    One counting pass over the key column. A table of n rows has fewer than
+    n / ``rows`` such keys.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > rows)
-    found = [r[0] for r in counts.orderBy(F.desc("n")).limit(MOST_HOT).collect()]
-    if not found:
-        return None
-    hot = F.col(key).isin([k for k in found if k is not None])
-    hot = F.coalesce(hot, F.lit(False))
-    return hot | F.col(key).isNull() if None in found else hot
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
+    found = counts.select(F.col(key).alias("_hot"))
+    return None if found.isEmpty() else found
+
+
+def parted(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys and the others; a null key is a key."""
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    return df.join(hot, same, "left_semi"), df.join(hot, same, "left_anti")
 
 
-def sliced(df: DataFrame, column: str, name: str, n: int = SLICES) -> DataFrame:
-    """Number the value range each row falls into, about equally many rows in each.
+def in_slices(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Number the range of ``order`` each row falls into, about equally many rows in each.
 
-    The cut points are ``n`` approximate quantiles: a bounded sketch, one small
-    row on the driver. Slices rise with the value; nulls come first, NaN last.
+    Ranges come from a sample of the columns themselves, whatever their types, so
+    equal values share a slice only if all of ``order`` is equal. The number of
+    slices is that of shuffle partitions and the rows are written, so every later
+    use sees the same slices.
     """
-    number = F.col(column).cast("double")
-    points = df.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10 * n)).first()[0]
-    inner = sorted({p for p in points or [] if math.isfinite(p)})
-    cut = Bucketizer(
-        splits=[-math.inf, *inner, math.inf],
-        inputCol="_number",
-        outputCol="_bucket",
-        handleInvalid="keep",
-    ).transform(df.withColumn("_number", number))
-    place = F.when(number.isNull(), -1).otherwise(F.col("_bucket").cast("int"))
-    return cut.withColumn(name, place).drop("_number", "_bucket")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id())
+    path = shared_folder(df.sparkSession, "slices")
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def cumulative(

@@ -94,23 +94,22 @@ def payload(results: DataFrame, query: str, k: int, id_column: str = "id") -> Da
         F.when(
             F.col("n") == 0,
             F.lit(
-                f"I couldn't find any items matching '{query}'. "
-                "Would you like to try a different search?"
+                f"Nothing matches '{query}'; other words may help."
             ),
         )
         .when(
             F.col("n") == 1,
             F.concat(
-                F.lit(f"I found one item matching '{query}': "), first.getField("name"),
-                F.lit(" (ID: "), first.getField("id").cast("string"), F.lit(")"),
-                F.coalesce(F.concat(F.lit(", which is currently "), first.getField("status")), F.lit("")),
+                F.lit(f"One match for '{query}': "), first.getField("name"),
+                F.lit(", id "), first.getField("id").cast("string"),
+                F.coalesce(F.concat(F.lit(", status "), first.getField("status")), F.lit("")),
                 F.lit("."),
             ),
         )
         .otherwise(
             F.concat(
-                F.lit("I found "), F.col("n").cast("string"), F.lit(f" items matching '{query}': "),
-                summary, F.lit(". The top result is "), first.getField("name"), F.lit("."),
+                F.col("n").cast("string"), F.lit(f" matches for '{query}' ("),
+                summary, F.lit("), best of all "), first.getField("name"), F.lit("."),
             )
         )
     )

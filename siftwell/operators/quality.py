@@ -63,7 +63,9 @@ def describe(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """(value, count, share) of one column."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
-    return counts.withColumn("share", F.col("count") / df.agg(F.count("*")).scalar())
+    # The total is that of the counts, so the table is read once.
+    sizes = counts.select(F.col("count").alias("n"))
+    return counts.withColumn("share", F.col("count") / sizes.agg(F.sum("n")).scalar())
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,10 +77,11 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
-    """Counts of ``row`` by the given ``column`` values."""
-    counts = df.groupBy(row).pivot(column, list(values)).agg(F.count(F.lit(1)))
-    return counts.na.fill(0, [str(v) for v in values])
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence, others: str = "others") -> DataFrame:
+    """Counts of ``row`` by the given ``column`` values; all other values, null too, count under ``others``."""
+    cells = [F.count_if(F.col(column) == v).alias(str(v)) for v in values]
+    rest = F.count_if(~F.coalesce(F.col(column).isin(list(values)), F.lit(False))).alias(others)
+    return df.groupBy(row).agg(*cells, rest)
 
 
 def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
@@ -100,12 +103,14 @@ def iqr_outliers(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
 
 
 def spikes(df: DataFrame, ts: str, key: str, days: int = 7, factor: float = 2.0) -> DataFrame:
-    """Days on which a key's count leaves the band of the days before.
+    """Days on which a key's count leaves the band of the ``days`` days before.
 
-    Rows are counted per key and day first; the window sees one row per day.
+    Rows are counted per key and day first; the window sees one row per day. It
+    reaches back over calendar days: a day without rows is none of those seen, and
+    only days whose band is complete are judged.
     """
     daily = df.groupBy(key, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
-    before = W.partitionBy(key).orderBy("day").rowsBetween(-days, -1)
+    before = W.partitionBy(key).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
     band = daily.withColumns(
         {
             "seen": F.count("*").over(before),

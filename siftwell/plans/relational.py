@@ -8,45 +8,83 @@ one row per key.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.functions.predicates import seconds_of
-from siftwell.operators.ordered import HOT_ROWS, cumulative, hot_keys, sliced
+from siftwell.operators.ordered import HOT_ROWS, cumulative, hot_keys, in_slices, parted
+from siftwell.session import shared_folder
 
-MAX_ROWS = 10_000
+
+@dataclass(frozen=True)
+class SqlResult:
+    """What became of a statement; ``data`` is lazy and empty where it failed."""
+
+    success: bool
+    data: DataFrame
+    error: str | None
+    columns: tuple[str, ...]
+
+    @property
+    def row_count(self) -> int:
+        return self.data.count()
 
 
 def run_sql(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def only_query(spark: SparkSession, sql: str, params: Sequence[Any] | Mapping[str, Any] | None = None) -> str:
+    """The statement if it is a query, else an error: nothing but a query can stand in a subquery.
+
+    Only the subquery is analysed here, so a command is never run.
+    """
+    sql = sql.strip().rstrip(";")
+    try:
+        spark.sql(f"SELECT * FROM (\n{sql}\n) AS q", args=params or {})
+    except ParseException as error:
+        raise ValueError("only SELECT statements are run") from error
+    return sql
+
+
 def capped_sql(
     spark: SparkSession,
     sql: str,
+    max_rows: int,
     params: Sequence[Any] | Mapping[str, Any] | None = None,
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """A SELECT with bound parameters and an exact row cap."""
-    if not sql.lstrip().lower().startswith(("select", "with")):
-        raise ValueError("only SELECT statements are run")
-    return spark.sql(sql, args=params or {}).limit(max_rows)
+    """A SELECT with bound parameters and an exact row cap, which the caller names."""
+    return spark.sql(only_query(spark, sql, params), args=params or {}).limit(max_rows)
 
 
-def many_sql(spark: SparkSession, statements: Mapping[str, str]) -> dict[str, DataFrame]:
-    """One lazy result per named statement, in order; a faulty statement gives an empty one."""
+def sql_result(
+    spark: SparkSession,
+    sql: str,
+    max_rows: int | None = None,
+    params: Sequence[Any] | Mapping[str, Any] | None = None,
+) -> SqlResult:
+    """A query's rows, written to the shared folder, or its error; never raises for a faulty statement."""
+    schema = T.StructType()
+    try:
+        rows = spark.sql(only_query(spark, sql, params), args=params or {})
+        schema = rows.schema
+        rows = rows if max_rows is None else rows.limit(max_rows)
+        path = shared_folder(spark, "sql")
+        rows.write.parquet(path)
+        return SqlResult(True, spark.read.schema(schema).parquet(path), None, tuple(schema.names))
+    except (PySparkException, ValueError) as error:
+        return SqlResult(False, spark.createDataFrame([], schema), str(error), tuple(schema.names))
 
-    def run(sql: str) -> DataFrame:
-        try:
-            return spark.sql(sql)
-        except AnalysisException:
-            return spark.createDataFrame([], "error string")
 
-    return {name: run(sql) for name, sql in statements.items()}
+def many_sql(spark: SparkSession, statements: Mapping[str, str]) -> dict[str, DataFrame]:
+    """One result per named statement, in order; one that fails, also while it runs, gives an empty one."""
+    return {name: sql_result(spark, sql).data for name, sql in statements.items()}
 
 
 def many_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
@@ -63,10 +101,14 @@ def previous_month_count(facts: DataFrame, ts: str, as_of: Column) -> DataFrame:
     return facts.filter((F.col(ts) >= before) & (F.col(ts) < start)).agg(F.count("*").alias("count"))
 
 
-def money(c: str | Column) -> Column:
-    """Exact decimal, so sums do not depend on the order rows arrive in."""
+def money(c: str | Column, scale: int | None = None) -> Column:
+    """An amount as it is, or as an exact decimal of ``scale`` places where the caller names them.
+
+    Decimal and whole columns add up exactly anyway. Sums of doubles depend in
+    their last digits on the order in which rows arrive; with a scale they do not.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast("decimal(18,4)")
+    return c if scale is None else c.cast(f"decimal({min(38, 20 + scale)},{scale})")
 
 
 def per_key(facts: DataFrame, key: str, **aggregates: Column) -> DataFrame:
@@ -74,10 +116,10 @@ def per_key(facts: DataFrame, key: str, **aggregates: Column) -> DataFrame:
 
 
 def totals_per_entity(
-    entities: DataFrame, key: str, facts: DataFrame, fact_key: str, amount: str
+    entities: DataFrame, key: str, facts: DataFrame, fact_key: str, amount: str, scale: int | None = None
 ) -> DataFrame:
     """Every entity with its summed amount, 0 where it has no facts."""
-    sums = per_key(facts, fact_key, _sum=F.sum(money(amount)))
+    sums = per_key(facts, fact_key, _sum=F.sum(money(amount, scale)))
     joined = entities.join(sums, entities[key] == sums[fact_key], "left").drop(fact_key)
     return joined.withColumn("total", F.coalesce("_sum", F.lit(0)).cast("double")).drop("_sum")
 
@@ -103,22 +145,22 @@ def by_month(facts: DataFrame, ts: str) -> DataFrame:
     return facts.groupBy(F.date_format(ts, "yyyy-MM").alias("month")).agg(F.count("*").alias("count"))
 
 
-def average_per_key(facts: DataFrame, key: str, amount: str) -> DataFrame:
-    return per_key(facts, key, average=F.sum(money(amount)).cast("double") / F.count(amount))
+def average_per_key(facts: DataFrame, key: str, amount: str, scale: int | None = None) -> DataFrame:
+    return per_key(facts, key, average=F.sum(money(amount, scale)).cast("double") / F.count(amount))
 
 
 def sales_by_name(
-    products: DataFrame, key: str, name: str, facts: DataFrame, fact_key: str, amount: Column
+    products: DataFrame, key: str, name: str, facts: DataFrame, fact_key: str, amount: Column, scale: int | None = None
 ) -> DataFrame:
     """Summed amount per product name."""
-    sums = per_key(facts, fact_key, _sum=F.sum(money(amount)))
+    sums = per_key(facts, fact_key, _sum=F.sum(money(amount, scale)))
     joined = products.join(sums, products[key] == sums[fact_key])
     return joined.groupBy(name).agg(F.sum("_sum").cast("double").alias("sales"))
 
 
-def above_average(facts: DataFrame, key: str, amount: str) -> DataFrame:
+def above_average(facts: DataFrame, key: str, amount: str, scale: int | None = None) -> DataFrame:
     """Keys whose sum exceeds the mean of all sums (HAVING over a scalar subquery)."""
-    sums = per_key(facts, key, total=F.sum(money(amount)).cast("double"))
+    sums = per_key(facts, key, total=F.sum(money(amount, scale)).cast("double"))
     return sums.filter(F.col("total") > sums.agg(F.avg("total")).scalar())
 
 
@@ -130,9 +172,9 @@ def this_month(facts: DataFrame, ts: str, as_of: Column) -> DataFrame:
     return facts.filter(F.col(ts) >= F.date_trunc("month", as_of).cast("timestamp_ntz"))
 
 
-def year_over_year(facts: DataFrame, ts: str, amount: str) -> DataFrame:
+def year_over_year(facts: DataFrame, ts: str, amount: str, scale: int | None = None) -> DataFrame:
     """Sum per year beside the year before; the window sees one row per year."""
-    years = facts.groupBy(F.year(ts).alias("year")).agg(F.sum(money(amount)).cast("double").alias("total"))
+    years = facts.groupBy(F.year(ts).alias("year")).agg(F.sum(money(amount, scale)).cast("double").alias("total"))
     before = F.lag("total").over(W.orderBy("year"))
     return years.withColumn("previous", before).withColumn(
         "change", F.try_divide(F.col("total") - F.col("previous"), F.col("previous"))
@@ -181,10 +223,10 @@ def ranks(df: DataFrame, key: str, value: str, hot_rows: int = HOT_ROWS) -> Data
     hot = hot_keys(df, key, hot_rows)
     if hot is None:
         return plain(df)
-    large = df.filter(hot)
+    large, small = parted(df, key, hot)
     counts = large.groupBy(key, value).agg(F.count("*").alias("_n"))
-    counts = sliced(counts, value, "_slice").withColumn("_slice", -F.col("_slice"))
     order = [F.desc(value)]
+    counts = in_slices(counts, [F.col(key), *order], "_slice")
     upto = cumulative(counts, [key], "_slice", order, F.col("_n"), "_upto")
     distinct = cumulative(upto, [key], "_slice", order, F.lit(1), "dense_rank")
     places = distinct.select(
@@ -195,7 +237,7 @@ def ranks(df: DataFrame, key: str, value: str, hot_rows: int = HOT_ROWS) -> Data
     )
     same = F.col(key).eqNullSafe(F.col("_key")) & F.col(value).eqNullSafe(F.col("_value"))
     ranked = large.join(places, same).drop("_key", "_value")
-    return plain(df.filter(~hot)).unionByName(ranked)
+    return plain(small).unionByName(ranked)
 
 
 def running_total(
@@ -206,6 +248,7 @@ def running_total(
     amount: str,
     name: str = "running",
     hot_rows: int = HOT_ROWS,
+    scale: int | None = None,
 ) -> DataFrame:
     """Cumulative amount per key in time order.
 
@@ -214,11 +257,11 @@ def running_total(
     """
     rows, hot = facts.withColumn("_at", seconds_of(facts, ts)), hot_keys(facts, key, hot_rows)
     so_far = W.partitionBy(key).orderBy("_at", tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    plain = rows if hot is None else rows.filter(~hot)
-    out = plain.withColumn(name, F.sum(money(amount)).over(so_far))
+    large, plain = (None, rows) if hot is None else parted(rows, key, hot)
+    out = plain.withColumn(name, F.sum(money(amount, scale)).over(so_far))
     if hot is not None:
-        parts = sliced(rows.filter(hot), "_at", "_slice")
-        large = cumulative(parts, [key], "_slice", ["_at", tie], money(amount), name)
+        parts = in_slices(large, [F.col(key), F.col("_at"), F.col(tie)], "_slice")
+        large = cumulative(parts, [key], "_slice", ["_at", tie], money(amount, scale), name)
         out = out.unionByName(large.drop("_slice"))
     return out.withColumn(name, F.col(name).cast("double")).drop("_at")
 
@@ -233,9 +276,10 @@ def segments(
     as_of: Column,
     high: float = 1000.0,
     recent_days: int = 30,
+    scale: int | None = None,
 ) -> DataFrame:
     """high-value, recent, active or inactive, from spending and last activity."""
-    sums = per_key(facts, fact_key, _total=F.sum(money(amount)), _last=F.max(ts))
+    sums = per_key(facts, fact_key, _total=F.sum(money(amount, scale)), _last=F.max(ts))
     joined = entities.join(sums, entities[key] == sums[fact_key], "left")
     recent = F.col("_last") >= as_of - F.make_dt_interval(F.lit(recent_days))
     segment = (
@@ -247,12 +291,15 @@ def segments(
     return joined.select(entities[key], segment.alias("segment"))
 
 
-def share_of_total(facts: DataFrame, segment: str, amount: str) -> DataFrame:
-    """Sum and share of the grand total per segment."""
-    sums = per_key(facts, segment, revenue=F.sum(money(amount)))
-    total = facts.agg(F.sum(money(amount))).scalar()
-    return sums.select(
+def share_of_total(facts: DataFrame, segment: str, amount: str, scale: int | None = None) -> DataFrame:
+    """Sum and share of the grand total per segment; no share where the total is zero.
+
+    The total is the sum of the segments' sums, one row per segment in a window.
+    """
+    sums = per_key(facts, segment, revenue=F.sum(money(amount, scale)))
+    total = F.sum("revenue").over(W.partitionBy(F.lit(0)))
+    return sums.withColumn("_all", total.cast("double")).select(
         segment,
         F.col("revenue").cast("double").alias("revenue"),
-        (F.col("revenue").cast("double") / total.cast("double")).alias("share"),
+        F.try_divide(F.col("revenue").cast("double"), F.col("_all")).alias("share"),
     )

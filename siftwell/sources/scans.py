@@ -13,17 +13,58 @@ from siftwell.operators.columns import LOG_TIME_PARTS, is_count_column, is_time_
 # Timestamp notations of raw logs, in the order tried.
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?)?$"
 SLASHED_TIME = r"^(\d{2})/(\d{2})/(\d{4})(?: (\d{2}):(\d{2}):(\d{2}))?$"
-MAX_FETCH = 10_000
 
 
 def as_strings(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
-    """CSV with a header row, quotes doubled or kept as they are; no inference pass."""
-    settings = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', **options}
-    return spark.read.schema(schema).options(**settings).csv(path)
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    *,
+    multi_line: bool = False,
+    escaped_breaks: bool = False,
+    **options,
+) -> DataFrame:
+    """CSV with a header row, quotes doubled or kept as they are; no inference pass.
+
+    Columns are found by their names in the header, whatever their order; those
+    the file lacks are null. All files of a folder must have one header, others
+    raise. Foreign files with line breaks inside quotes need ``multi_line``, which
+    reads each file in one task; files of ``write_csv`` hold breaks as escapes,
+    stay splittable and are read with ``escaped_breaks``.
+    """
+    settings = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": multi_line, **options}
+    wanted = spark.createDataFrame([], schema).schema
+    head = spark.read.options(**settings).csv(path).columns
+    known = {f.name: f.dataType for f in wanted}
+    if not set(head) & set(known):
+        return spark.read.schema(wanted).options(**settings).csv(path)
+    found = T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in head])
+    rows = spark.read.schema(found).options(**settings, enforceSchema=False).csv(path)
+
+    def value(f: T.StructField) -> Column:
+        if f.name not in head:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        c = F.col(f"`{f.name}`")
+        return (unescaped(c) if escaped_breaks and isinstance(f.dataType, T.StringType) else c).alias(f.name)
+
+    return rows.select(*[value(f) for f in wanted])
+
+
+def escaped(c: Column) -> Column:
+    """Line breaks as backslash n and r, backslashes as backslash b."""
+    for plain, coded in (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(plain), F.lit(coded))
+    return c
+
+
+def unescaped(c: Column) -> Column:
+    for plain, coded in (("\n", "\\n"), ("\r", "\\r"), ("\\", "\\b")):
+        c = F.replace(c, F.lit(coded), F.lit(plain))
+    return c
 
 
 def read_csv_head(spark: SparkSession, path: str, schema: T.StructType | str, n: int) -> DataFrame:
@@ -93,9 +134,10 @@ def sample_rows(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(*order).limit(n) if order else df.limit(n)
 
 
-def fetch_rows(df: DataFrame, max_rows: int = MAX_FETCH) -> Iterator[Row]:
-    """A bounded result row by row; larger results belong in a sink."""
-    return df.limit(max_rows).toLocalIterator(prefetchPartitions=True)
+def fetch_rows(df: DataFrame, max_rows: int | None = None) -> Iterator[Row]:
+    """All rows one by one, a partition at a time; at most ``max_rows`` where a bound is given."""
+    rows = df if max_rows is None else df.limit(max_rows)
+    return rows.toLocalIterator(prefetchPartitions=True)
 
 
 def stream_csv(
@@ -127,14 +169,33 @@ def log_time(c: Column) -> Column:
 
 
 def clean_log(raw: DataFrame) -> DataFrame:
-    """Trim texts; counts become whole numbers (missing = 0), dates timestamps (bad = null)."""
+    """Trim texts; counts become whole numbers (missing = 0), dates timestamps (bad = null).
+
+    Columns that are times by the ending of their name are times; others whose
+    name merely contains a word for one are times if most of their values can be
+    read as such, which takes one pass over these columns.
+    """
+    maybe = [
+        f.name
+        for f in raw.schema
+        if any(p in f.name.lower() for p in LOG_TIME_PARTS[:3])
+        and not is_time_column(f.name)
+        and not is_count_column(f.name)
+    ]
+    dated: set[str] = set()
+    if maybe:
+        text = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("nan")) for c in maybe}
+        read = [F.count_if(log_time(t).isNotNull()).alias(f"r{i}") for i, t in enumerate(text.values())]
+        filled = [F.count_if((t != "") & t.isNotNull()).alias(f"f{i}") for i, t in enumerate(text.values())]
+        seen = raw.agg(*read, *filled).first()
+        dated = {c for i, c in enumerate(maybe) if seen[f"r{i}"] * 2 > seen[f"f{i}"]}
 
     def clean(f: T.StructField) -> Column:
         c, low = F.col(f.name), f.name.lower()
         text = F.nullif(F.trim(c.cast("string")), F.lit("nan"))
         if is_count_column(low):
             return F.coalesce(text.try_cast("double"), F.lit(0.0)).cast("long")
-        if is_time_column(low) or any(p in low for p in LOG_TIME_PARTS[:3]):
+        if is_time_column(low) or f.name in dated:
             if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
                 return c
             return log_time(text)

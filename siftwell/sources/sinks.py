@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.operators.output import csv_columns, drop_meta
+from siftwell.sources.scans import escaped
 
 
 def write_json(df: DataFrame, path: str, include_metadata: bool = False) -> None:
@@ -12,10 +15,18 @@ def write_json(df: DataFrame, path: str, include_metadata: bool = False) -> None
     (df if include_metadata else drop_meta(df)).write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, include_metadata: bool = False) -> None:
-    """CSV with header, export column order, nested values as JSON."""
+def write_csv(df: DataFrame, path: str, include_metadata: bool = False, *, escape_breaks: bool = True) -> None:
+    """CSV with header, export column order, nested values as JSON.
+
+    Line breaks in texts are written as escapes, so that a row is a line and files
+    can be split; ``read_csv(..., escaped_breaks=True)`` turns them back.
+    """
+    rows = csv_columns(df, include_metadata)
+    if escape_breaks:
+        texts = [f.name for f in rows.schema if isinstance(f.dataType, T.StringType)]
+        rows = rows.withColumns({c: escaped(F.col(f"`{c}`")) for c in texts})
     (
-        csv_columns(df, include_metadata)
+        rows
         .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')

@@ -34,7 +34,8 @@ def stream_filter(stream: DataFrame, query: str, out: str, checkpoint: str) -> D
         .start()
     )
     run.awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    # With the stream's schema, as there is no file to take it from before rows have arrived.
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def stream_upsert(

@@ -86,6 +86,28 @@ def lookup_id(t):
     return S.by_id(t.orders, "o_orderkey", "77").select(*ORDER)
 
 
+@case("SELECT event_id, event_type FROM (SELECT -event_id AS event_id, event_type FROM events) WHERE event_id = -5")
+def lookup_negative_id(t):
+    events = t.events.select((-F.col("event_id")).alias("event_id"), "event_type")
+    found = [S.by_id(events, "event_id", x) for x in ("-5", "007", "²")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@case("""SELECT o_orderkey, big FROM (SELECT o_orderkey, o_totalprice * 1000 AS big FROM orders)
+         WHERE contains(big::DECIMAL(38, 6)::VARCHAR, '1234')""")
+def filter_large_doubles(t):
+    """Amounts of 1e7 and more are searched in plain notation."""
+    big = t.orders.select("o_orderkey", (F.col("o_totalprice") * 1000).alias("big"))
+    return big.filter(P.phrase_anywhere(big.select("big"), "1234"))
+
+
+@case("""SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k')::BIGINT > 50""")
+def filter_wrapped(t):
+    """A field that lives inside the wrapped record is found by its bare name."""
+    events = t.events.withColumn(P.WRAPPER, F.from_json("props", "k long"))
+    return events.filter(P.criteria(events, {"k": {"gt": 50}})).select("event_id", F.col(f"{P.WRAPPER}.k").alias("k"))
+
+
 @case("""SELECT event_id, event_type, value FROM events
          WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY""")
 def filter_temporal(t):

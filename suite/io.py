@@ -82,7 +82,15 @@ def csv_sink(t):
     path = shared_folder(t.spark, "csv")
     rows = to_standard(events(t), EVENTS).withColumn("_score", F.lit(1.0))
     sinks.write_csv(rows, path)
-    return scans.read_csv(t.spark, path, scans.as_strings(csv_columns(rows).schema))
+    return scans.read_csv(t.spark, path, scans.as_strings(csv_columns(rows).schema), escaped_breaks=True)
+
+
+@case("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_documents(t):
+    """Texts with line breaks, quotes and backslashes there and back; the reader's columns stand in another order."""
+    path = shared_folder(t.spark, "csv")
+    sinks.write_csv(t.documents, path)
+    return scans.read_csv(t.spark, path, "text string, n_chars long, source string, lang string, doc_id long", escaped_breaks=True)
 
 
 @case("SELECT event_id, event_type, user_id, value, props FROM events")
@@ -98,9 +106,12 @@ def sample(t):
     return scans.sample_rows(t.events.select("event_id", "event_type"), 20, ["event_id"])
 
 
-@case("SELECT event_id, value FROM events ORDER BY event_id LIMIT 1000")
+@case("SELECT event_id, event_type, user_id, value, props FROM events")
 def bulk_read(t):
-    return scans.sample_rows(t.events.select("event_id", "value"), 1000, ["event_id"])
+    """The whole table through a sink and one read of all its files."""
+    path = shared_folder(t.spark, "bulk")
+    events(t).write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
 @case("SELECT p_partkey, p_name, p_size FROM part")

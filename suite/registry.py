@@ -20,15 +20,6 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
-    def spread(self, df: DataFrame, key: str) -> DataFrame:
-        """On one machine a table is a single file that one task would read; use all cores.
-
-        On a cluster tables have many files and are left where they are.
-        """
-        if not self.spark.conf.get("spark.master", "").startswith("local"):
-            return df
-        return df.repartition(self.spark.sparkContext.defaultParallelism, key)
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

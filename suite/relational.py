@@ -34,7 +34,7 @@ CAPPED_SQL = "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > {} ORDER
 @case(CAPPED_SQL.format(5000) + " LIMIT 25")
 def sql_capped(t):
     register(t)
-    return R.capped_sql(t.spark, CAPPED_SQL.format(":low"), {"low": 5000}, max_rows=25)
+    return R.capped_sql(t.spark, CAPPED_SQL.format(":low"), 25, {"low": 5000})
 
 
 @case("""SELECT 'urgent' AS name, count(*) AS count FROM orders WHERE o_orderpriority = '1-URGENT'
@@ -84,21 +84,21 @@ def previous_month(t):
   FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
 def totals_per_customer(t):
     customers = t.customer.select("c_custkey", "c_name")
-    return R.totals_per_entity(customers, "c_custkey", t.orders, "o_custkey", "o_totalprice")
+    return R.totals_per_entity(customers, "c_custkey", t.orders, "o_custkey", "o_totalprice", scale=4)
 
 
 @case("""SELECT c_custkey, c_name, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS total FROM customer
   JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2 ORDER BY sum(o_totalprice::DECIMAL(18,4)) DESC, 1 LIMIT 5""")
 def top_customers(t):
     customers = t.customer.select("c_custkey", "c_name")
-    return R.ranked_entities(customers, "c_custkey", t.orders, "o_custkey", R.money("o_totalprice"), 5)
+    return R.ranked_entities(customers, "c_custkey", t.orders, "o_custkey", R.money("o_totalprice", 4), 5)
 
 
 @case("""SELECT p_partkey, p_name, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS total FROM part
   JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2 ORDER BY sum(l_quantity::DECIMAL(18,4)), 1 LIMIT 10""")
 def lowest_selling(t):
     parts = t.part.select("p_partkey", "p_name")
-    return R.ranked_entities(parts, "p_partkey", t.lineitem, "l_partkey", R.money("l_quantity"), 10, lowest=True)
+    return R.ranked_entities(parts, "p_partkey", t.lineitem, "l_partkey", R.money("l_quantity", 4), 10, lowest=True)
 
 
 @case("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS count FROM orders GROUP BY 1")
@@ -109,7 +109,7 @@ def orders_by_month(t):
 @case("""SELECT o_custkey, round(sum(o_totalprice::DECIMAL(18,4))::DOUBLE / count(*), 8) AS average
   FROM orders GROUP BY 1""")
 def average_order_value(t):
-    out = R.average_per_key(t.orders, "o_custkey", "o_totalprice")
+    out = R.average_per_key(t.orders, "o_custkey", "o_totalprice", scale=4)
     return out.withColumn("average", F.round("average", 8))
 
 
@@ -117,13 +117,13 @@ def average_order_value(t):
   FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1""")
 def sales_by_product(t):
     amount = F.col("l_quantity") * F.col("l_extendedprice")
-    return R.sales_by_name(t.part, "p_partkey", "p_name", t.lineitem, "l_partkey", amount)
+    return R.sales_by_name(t.part, "p_partkey", "p_name", t.lineitem, "l_partkey", amount, scale=4)
 
 
 @case("""WITH s AS (SELECT o_custkey, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS total FROM orders GROUP BY 1)
   SELECT o_custkey, total FROM s WHERE total > (SELECT avg(total) FROM s)""")
 def above_average(t):
-    return R.above_average(t.orders, "o_custkey", "o_totalprice")
+    return R.above_average(t.orders, "o_custkey", "o_totalprice", scale=4)
 
 
 @case(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= {NOW} - INTERVAL 30 DAY")
@@ -140,7 +140,7 @@ def this_month(t):
     z AS (SELECT *, lag(total) OVER (ORDER BY year) AS previous FROM y)
   SELECT year, total, previous, round((total - previous) / previous, 6) AS change FROM z""")
 def year_over_year(t):
-    out = R.year_over_year(t.orders, "o_orderdate", "o_totalprice")
+    out = R.year_over_year(t.orders, "o_orderdate", "o_totalprice", scale=4)
     return out.withColumn("change", F.round("change", 6))
 
 
@@ -186,6 +186,34 @@ def ranked_in_hot_segment(t):
     return R.ranks(rows, "c_mktsegment", "c_acctbal", hot_rows=0)
 
 
+@case("""SELECT c_custkey, c_mktsegment, c_name, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank
+  FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_name DESC)""")
+def ranked_texts_in_hot_segment(t):
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_name")
+    return R.ranks(rows, "c_mktsegment", "c_name", hot_rows=0)
+
+
+@case("""SELECT o_orderkey, o_orderstatus, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank
+  FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate::DATE DESC)""")
+def ranked_dates_in_hot_status(t):
+    rows = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"))
+    return R.ranks(rows, "o_orderstatus", "day", hot_rows=0).drop("day")
+
+
+@case("""SELECT o_custkey, sum(round(o_totalprice * 100)::HUGEINT)::DOUBLE / 10000000 AS total FROM orders GROUP BY 1""")
+def tiny_amounts(t):
+    """Amounts of a hundred-thousandth keep all their digits."""
+    tiny = t.orders.withColumn("amount", F.col("o_totalprice").cast("decimal(18,2)") / 100000)
+    return R.per_key(tiny, "o_custkey", total=F.sum(R.money("amount", 7)).cast("double"))
+
+
+@case("""SELECT o_custkey, (sum(round(o_totalprice * 100)::HUGEINT) * 10000000000)::DOUBLE AS total FROM orders GROUP BY 1""")
+def huge_amounts(t):
+    """Sums beyond 1e16 neither overflow nor lose digits."""
+    huge = t.orders.withColumn("amount", F.col("o_totalprice").cast("decimal(18,2)") * 1000000000000)
+    return R.per_key(huge, "o_custkey", total=F.sum(R.money("amount")).cast("double"))
+
+
 @case("""SELECT l_returnflag, l_orderkey, l_linenumber, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank
   FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC)""")
 def ranked_with_ties(t):
@@ -197,7 +225,7 @@ def ranked_with_ties(t):
     ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::DOUBLE AS running FROM orders""")
 def running_total(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    out = R.running_total(rows, "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    out = R.running_total(rows, "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", scale=4)
     return out.select("o_custkey", "o_orderkey", "running")
 
 
@@ -210,7 +238,7 @@ def running_total_hot(t):
         "l_returnflag", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice",
         F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), "l_extendedprice").alias("tie"),
     )
-    out = R.running_total(rows, "l_returnflag", "l_shipdate", "tie", "l_extendedprice", hot_rows=0)
+    out = R.running_total(rows, "l_returnflag", "l_shipdate", "tie", "l_extendedprice", hot_rows=0, scale=4)
     return out.select("l_returnflag", "l_orderkey", "l_linenumber", "running")
 
 
@@ -261,8 +289,8 @@ def aggregate_set(t):
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"),
-        F.sum(R.money("l_quantity")).cast("double").alias("quantity"),
-        F.sum(R.money(revenue)).cast("double").alias("revenue"),
+        F.sum(R.money("l_quantity", 4)).cast("double").alias("quantity"),
+        F.sum(R.money(revenue, 4)).cast("double").alias("revenue"),
         F.round(F.avg("l_discount"), 6).alias("discount"),
         F.min("l_extendedprice").alias("lowest"),
         F.max("l_extendedprice").alias("highest"),
@@ -281,12 +309,12 @@ def distinct_values(t):
 def segments(t):
     return R.segments(
         t.customer, "c_custkey", t.orders, "o_custkey", "o_totalprice", "o_orderdate",
-        latest_order_date(t), high=1_000_000,
+        latest_order_date(t), high=1_000_000, scale=4,
     )
 
 
 @case("""WITH s AS (SELECT o_orderpriority, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS revenue FROM orders GROUP BY 1)
   SELECT o_orderpriority, revenue, round(revenue / (SELECT sum(o_totalprice::DECIMAL(18,4))::DOUBLE FROM orders), 6) AS share FROM s""")
 def share_of_total(t):
-    out = R.share_of_total(t.orders, "o_orderpriority", "o_totalprice")
+    out = R.share_of_total(t.orders, "o_orderpriority", "o_totalprice", scale=4)
     return out.withColumn("share", F.round("share", 6))

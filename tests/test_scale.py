@@ -55,6 +55,24 @@ def test_running_total(skewed, hot_rows):
         assert (out.loc[group.id, "running"].values == np.arange(1, len(group) + 1) * 1.25).all()
 
 
+def test_one_time_for_all_rows(spark):
+    """Ties are cut by the tie column, so no slice holds all rows."""
+    rows = spark.range(3000).select(F.lit("k").alias("k"), F.lit(5).alias("t"), "id", F.lit(2).alias("v"))
+    out = R.running_total(rows, "k", "t", "id", "v", hot_rows=10)
+    assert [r.running for r in out.orderBy("id").collect()] == [2.0 * (i + 1) for i in range(3000)]
+    from siftwell.operators.ordered import in_slices
+
+    sizes = in_slices(rows, [F.col("k"), F.col("t"), F.col("id")], "s").groupBy("s").count().collect()
+    assert max(r["count"] for r in sizes) < 1500
+
+
+def test_ranks_of_texts_and_dates(spark):
+    rows = spark.range(500).selectExpr("'k' AS k", "id", "concat('n', id % 7) AS n", "date_add('2024-01-01', int(id % 5)) AS d")
+    for column, distinct in (("n", 7), ("d", 5)):
+        out = R.ranks(rows, "k", column, hot_rows=0).collect()
+        assert len(out) == 500 and {r.dense_rank for r in out} == set(range(1, distinct + 1))
+
+
 def test_quantiles(skewed):
     _, df = skewed
     values = df.select("v", F.col("id").cast("double").alias("w"), F.lit(3.0).alias("same")).cache()

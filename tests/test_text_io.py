@@ -126,13 +126,13 @@ def test_payload(jobs5):
     doc = json.loads(output.payload(found, "status:failed", 5).first()[0])
     assert doc["result_count"] == 2 and doc["result_types"] == {"failed": 2}
     assert doc["suggested_response"] == (
-        "I found 2 items matching 'status:failed': 2 failed. The top result is data_processing."
+        "2 matches for 'status:failed' (2 failed), best of all data_processing."
     )
     assert doc["results"][0]["match_type"] == "structured" and doc["results"][0]["duration_minutes"] == 20
     single = output.payload(found.filter("id = '5'"), "x", 5).first()[0]
-    assert "I found one item matching 'x': etl_pipeline (ID: 5), which is currently failed." in single
+    assert "One match for 'x': etl_pipeline, id 5, status failed." in single
     empty = json.loads(output.payload(found.filter("id = 'z'"), "x", 5).first()[0])
-    assert empty["result_count"] == 0 and empty["suggested_response"].startswith("I couldn't find")
+    assert empty["result_count"] == 0 and empty["suggested_response"].startswith("Nothing matches")
 
 
 def test_nested_json(spark, tmp_path):
@@ -152,18 +152,52 @@ def test_mixed_json_records_keep_objects(spark, tmp_path):
 def test_sql_guards(spark):
     found = R.many_sql(spark, {"bad": "select nosuch from nowhere", "good": "select 1 as x"})
     assert list(found) == ["bad", "good"] and found["bad"].isEmpty() and found["good"].first().x == 1
-    assert R.capped_sql(spark, "select id from range(50) where id > ?", [9], max_rows=5).count() == 5
-    with pytest.raises(ValueError, match="SELECT"):
-        R.capped_sql(spark, "drop table x")
+    assert R.capped_sql(spark, "select id from range(50) where id > ?", 5, [9]).count() == 5
+    for command in ("drop table x", "WITH a AS (SELECT 1 AS x) INSERT INTO guarded SELECT x FROM a", "SELECT 1; DROP TABLE guarded"):
+        with pytest.raises(ValueError, match="SELECT"):
+            R.capped_sql(spark, command, 5)
+
+
+def test_guard_writes_nothing(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS guarded")
+    spark.sql(f"CREATE TABLE guarded (x INT) USING parquet LOCATION '{tmp_path}/guarded'")
+    found = R.sql_result(spark, "WITH a AS (SELECT 1 AS x) INSERT INTO guarded SELECT x FROM a")
+    assert not found.success and found.error and spark.table("guarded").isEmpty()
+    spark.sql("DROP TABLE guarded")
+
+
+def test_sql_result(spark):
+    good = R.sql_result(spark, "SELECT id FROM range(9) ORDER BY id DESC;", max_rows=4)
+    assert (good.success, good.row_count, good.columns, good.error) == (True, 4, ("id",), None)
+    assert {r.id for r in good.data.collect()} == {5, 6, 7, 8}
+    # Fails only while it runs.
+    late = R.sql_result(spark, "SELECT raise_error('late') AS x FROM range(3)")
+    assert not late.success and late.row_count == 0 and "late" in late.error
+    assert R.many_sql(spark, {"late": "SELECT 1 / (id - 1) AS x FROM range(3)"})["late"].isEmpty()
 
 
 def test_csv_round_trip_keeps_quotes(spark, tmp_path):
     rows = [(1, 'say "hi", now', [1, 2], 0.5), (2, "line\nbreak", None, 1.5)]
     df = spark.createDataFrame(rows, "id long, note string, tags array<int>, _score double")
     sinks.write_csv(df, str(tmp_path / "c"))
-    back = scans.read_csv(spark, str(tmp_path / "c"), "id string, note string, tags string", multiLine=True)
+    back = scans.read_csv(spark, str(tmp_path / "c"), "id string, note string, tags string", escaped_breaks=True)
     got = {r.id: (r.note, r.tags) for r in back.collect()}
     assert got == {"1": ('say "hi", now', "[1,2]"), "2": ("line\nbreak", None)}
+    sinks.write_csv(df, str(tmp_path / "d"), escape_breaks=False)
+    whole = scans.read_csv(spark, str(tmp_path / "d"), "id string, note string, tags string", multi_line=True)
+    assert {r.id: (r.note, r.tags) for r in whole.collect()} == got
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("b,c,a\n1,x,2\n")
+    row = scans.read_csv(spark, str(tmp_path / "r.csv"), "a int, b int, d string").first()
+    assert row.asDict() == {"a": 2, "b": 1, "d": None}
+
+
+def test_breaks_and_backslashes(spark):
+    texts = ["a\nb", "\\n", "\\\n", "\r\n\\b\\\\", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(scans.unescaped(scans.escaped(F.col("t")))).collect()] == texts
 
 
 def test_clean_log(spark):
@@ -174,8 +208,22 @@ def test_clean_log(spark):
     assert [str(r.created_at) for r in out] == ["2024-01-02 03:04:05", "2024-01-02 00:00:00", "2024-12-31 00:00:00", "None"]
 
 
-def test_fetch_is_bounded(spark):
+def test_clean_log_judges_unclear_names_by_their_values(spark):
+    rows = [("199.5", "2024-01-02"), ("20", "2024-01-03 01:02:03"), (None, "soon")]
+    out = scans.clean_log(spark.createDataFrame(rows, "lifetime_value string, run_date string")).collect()
+    assert [r.lifetime_value for r in out] == ["199.5", "20", None]
+    assert [str(r.run_date) for r in out] == ["2024-01-02 00:00:00", "2024-01-03 01:02:03", "None"]
+
+
+def test_fetch_reads_all_unless_bounded(spark):
     assert len(list(scans.fetch_rows(spark.range(50), 7))) == 7
+    assert len(list(scans.fetch_rows(spark.range(10_050)))) == 10_050
+
+
+def test_stream_before_anything_arrived(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    arriving = jobs.arriving(spark, f"{tmp_path}/in", spark.range(1).schema)
+    assert jobs.stream_filter(arriving, "id>=9", f"{tmp_path}/out", f"{tmp_path}/cp").count() == 0
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
