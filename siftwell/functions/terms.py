@@ -93,6 +93,9 @@ def wanted_id(query: str) -> str | None:
     return (m[1] or m[2]) if m else None
 
 
-def asks_for_count(query: str) -> bool:
+def asks_for_count(query: str, word_boundary: bool = False) -> bool:
+    """A counting word anywhere in the text, or with ``word_boundary`` only as a word of its own."""
     low = query.lower()
+    if word_boundary:
+        return bool(re.search(rf"\b(?:{'|'.join(map(re.escape, COUNTING))}|{MANY_OR_NUMBER})\b", low))
     return any(w in low for w in COUNTING) or bool(re.search(rf"\b(?:{MANY_OR_NUMBER})\b", low))

@@ -77,6 +77,16 @@ def hybrid(keyword: DataFrame, vector: DataFrame, weight: float | Column, k: int
     )
 
 
+def hybrid_scores(keyword: DataFrame, vector: DataFrame, weight: float | Column, k: int) -> DataFrame:
+    """:func:`hybrid` with the scaled score of either side and both together."""
+    rows = _weighted(_side_by_side(keyword, vector, k), weight)
+    kind = F.when(F.col("k").isNull(), "vector").when(F.col("v").isNull(), "structured").otherwise("both")
+    fused = (F.col("n_k") > 0) & (F.col("n_v") > 0)
+    score = F.when(fused, F.col("_combined_score")).otherwise(F.coalesce("k", "v"))
+    scores = ("_structured_score", "_vector_score", "_combined_score")
+    return _ranked(rows.select("id", *scores, score.alias("_score"), kind.alias("_result_type")), k)
+
+
 def fuse_sequential(keyword: DataFrame, vector: DataFrame, k: int) -> DataFrame:
     """Keyword results first, then vector results not already shown."""
     keyword, vector = _ranked(keyword, k), _ranked(vector, k)

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.querytext import ROUTE_SEMANTIC, SHORT_QUERY_WEIGHT, SHORT_QUERY_WORDS
-from siftwell.functions.terms import asks_for_count, read_terms, wanted_id, without_counting
+from siftwell.functions.predicates import structured
+from siftwell.functions.terms import asks_for_count, last_span, read_terms, wanted_id, without_counting
 from siftwell.functions.vectors import embed_text
 from siftwell.operators import fusion
 from siftwell.operators.aggregates import count_query
-from siftwell.operators.search import id_first, search
+from siftwell.operators.search import best_matches, id_first, in_span, search
 from siftwell.operators.vectorindex import knn
 from siftwell.roles import Roles
 
@@ -25,12 +26,17 @@ def ask(
     *,
     as_of: Column | str | None = None,
     fields: Sequence[str] | None = None,
+    word_boundary: bool = False,
 ) -> DataFrame:
-    """An id asks for its row, counting words for a count, anything else for a ranking."""
+    """An id asks for its row, counting words for a count, anything else for a ranking.
+
+    A counting word counts anywhere in the text, also inside other words such as
+    "discount"; with ``word_boundary`` only as a word of its own.
+    """
     value = wanted_id(query)
     if value is not None:
         return id_first(df, value, query, roles, k, fields)
-    if asks_for_count(query):
+    if asks_for_count(query, word_boundary):
         return count_query(df, query, roles, as_of)
     return search(df, query, roles, k, fields, as_of)
 
@@ -48,6 +54,45 @@ def query_weight(query: str, weight: float = 0.5) -> float:
     return max(weight, SHORT_QUERY_WEIGHT) if short and not conds else weight
 
 
+def hybrid_rows(
+    df: DataFrame,
+    index: DataFrame,
+    query: str,
+    roles: Roles,
+    dim: int,
+    k: int = 100,
+    *,
+    weight: float | None = None,
+    fields: Sequence[str] | None = None,
+    as_of: Column | str | None = None,
+    embed: Callable[[str, int], Sequence[float]] = embed_text,
+) -> DataFrame:
+    """The rows themselves with ``_structured_score``, ``_vector_score``, ``_combined_score``, ``_score``, ``_result_type``.
+
+    Conditions and the time span of the query hold on both sides: the index is
+    cut to the ids that meet them before its nearest are taken. At most k ids are
+    joined back to the table.
+    """
+    text = without_counting(query) if asks_for_count(query) else query
+    conds, words = read_terms(text)
+    allowed = in_span(df, text, roles, as_of).filter(structured(df, conds))
+    id = F.col(roles.id).cast("string")
+    near = index.select("id", "embedding")
+    if conds or last_span(text) is not None:
+        near = near.join(allowed.select(id.alias("a_id")), F.col("id") == F.col("a_id"), "left_semi")
+    phrase = " ".join(words)
+    keyword = best_matches(allowed, phrase, roles, k, fields) if words else allowed.withColumn("_score", F.lit(1.0))
+    found = fusion.hybrid_scores(
+        keyword.select(id.alias("id"), "_score"),
+        knn(near, "id", "embedding", embed(phrase or text, dim), k, unit=True),
+        weight if weight is not None else query_weight(text),
+        k,
+    )
+    # Bounded by k, so every task can hold it.
+    found = F.broadcast(found.withColumnRenamed("id", "_id"))
+    return df.join(found, id == F.col("_id")).drop("_id")
+
+
 def hybrid_search(
     df: DataFrame,
     index: DataFrame,
