@@ -42,7 +42,8 @@ def row_text_json(t):
     return events.select("event_id", text.alias("text"))
 
 
-@case("""SELECT unnest(['c_name', 'c_mktsegment']) AS "column" """)
+@case("""SELECT c AS "column" FROM (SELECT 'c_name' AS c, max(length(c_name)) AS longest FROM customer
+    UNION ALL SELECT 'c_mktsegment', max(length(c_mktsegment)) FROM customer) WHERE longest > 5 OR c = 'c_name'""")
 def text_fields(t):
     return columns.text_fields(t.customer, Roles(id="c_custkey", name="c_name", status=None))
 

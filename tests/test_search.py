@@ -156,3 +156,10 @@ def test_ask_chooses_the_way(jobs5):
     assert wanted_id("see #12") == "12" and wanted_id("idea 5") is None
     assert is_structured("status:failed") and not is_structured("find status:failed")
     assert query_weight("database backup") == 0.7 and query_weight("latest jobs of the database") == 0.5
+
+
+def test_counting_words_inside_other_words():
+    from siftwell.functions.terms import asks_for_count
+
+    assert asks_for_count("discount widget") and not asks_for_count("discount widget", word_boundary=True)
+    assert asks_for_count("how many jobs", word_boundary=True)
