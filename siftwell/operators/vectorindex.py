@@ -39,14 +39,19 @@ def build_index(
     """(id, embedding, data): unit vectors, latest version of every id.
 
     ``max_by`` combines before the shuffle, so an id with many versions costs
-    no more than one row per task.
+    no more than one row per task. Without a version column nothing says which of
+    two rows is the later one, so an id that repeats is an error when the index
+    is read.
     """
     kept = items.filter(F.col(id_column).isNotNull() & F.col(vector).isNotNull())
     entry = F.struct(F.col(vector).alias("embedding"), F.struct(id_column, *data).alias("data"))
-    age = F.col(version) if version else F.lit(0)
-    latest = kept.groupBy(F.col(id_column).cast("string").alias("id")).agg(
-        F.max_by(entry, F.struct(age, F.xxhash64(F.col(vector)))).alias("e")
-    )
+    by_id = kept.groupBy(F.col(id_column).cast("string").alias("id"))
+    if version:
+        latest = by_id.agg(F.max_by(entry, F.struct(F.col(version), F.xxhash64(F.col(vector)))).alias("e"))
+    else:
+        repeated = F.raise_error(F.concat(F.lit("name a version column: the id repeats: "), F.col("id")))
+        latest = by_id.agg(F.first(entry).alias("e"), F.count("*").alias("n"))
+        latest = latest.withColumn("e", F.when(F.col("n") == 1, F.col("e")).otherwise(repeated.cast(latest.schema["e"].dataType)))
     return with_unit(latest.select("id", "e.embedding", "e.data"), "embedding")
 
 
@@ -77,16 +82,24 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def verify_index(index: DataFrame, dim: int, data: DataFrame | None = None) -> DataFrame:
     """One row: items, vectors of the wrong size, repeated ids, ids without data."""
-    counts = index.agg(
-        F.count("*").alias("items"),
-        F.count_if(F.size("embedding") != dim).alias("wrong_dim"),
-        F.count_if(F.col("data").isNull()).alias("no_data"),
+    # One row per id first: everything is counted from these, so the index is read once.
+    per_id = index.groupBy("id").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.size("embedding") != dim).alias("w"),
+        F.count_if(F.col("data").isNull()).alias("d"),
     )
-    repeated = index.groupBy("id").count().filter("count > 1").agg(F.count("*")).scalar()
-    out = counts.withColumn("repeated", repeated)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    checks = [
+        total("n").alias("items"),
+        total("w").alias("wrong_dim"),
+        total("d").alias("no_data"),
+        F.count_if(F.col("n") > 1).alias("repeated"),
+    ]
     if data is not None:
-        orphans = index.join(data.select("id").distinct(), "id", "left_anti").agg(F.count("*"))
-        out = out.withColumn("orphans", orphans.scalar())
+        known = data.select(F.col("id").alias("known")).distinct()
+        per_id = per_id.join(known, F.col("id") == F.col("known"), "left")
+        checks.append(total(F.when(F.col("known").isNull(), F.col("n"))).alias("orphans"))
+    out = per_id.agg(*checks)
     bad = [c for c in out.columns if c != "items"]
     return out.withColumn("valid", sum((F.col(c) for c in bad), F.lit(0)) == 0)
 
