@@ -30,19 +30,25 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(own).filter("u != v").distinct()
 
 
+def are_stars(links: DataFrame) -> bool:
+    """Whether every node has one link at most to a smaller one, and that one has none itself."""
+    inner = links.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("root"))
+    outer = links.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("root"))
+    nodes = inner.union(outer).groupBy("n").agg(F.sum("down").alias("down"), F.max("root").alias("root"))
+    return nodes.filter("down > 1 OR (down > 0 AND root > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of its component, for every node of ``edges`` (long columns u, v).
 
-    Steps alternate until no link changes; then every node is linked to its label.
+    Steps alternate until the links are stars around their least nodes.
     Each round is written, so a lost executor costs one round at most. Nodes with
     very many links only ever meet their neighbours in joins that can be split.
     """
-    now = written(edges.filter("u != v").select("u", "v").distinct(), "links")
-    mark = None
+    now = edges.filter("u != v").select("u", "v").distinct()
     while True:
         now = written(small_star(large_star(now)), "stars")
-        last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == last:
+        if are_stars(now):
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
