@@ -6,6 +6,12 @@ aside. Around the others the stretches with one anchor go to the shard of that
 anchor, each distinct stretch once per block of documents, and each shard sorts
 the suffixes of its stretches by induction: neighbours that share 50 bytes are
 equal strings, and the smallest document among them goes back to the blocks.
+
+A 24-byte string that would bring more than a shard's bytes to its shard is hot,
+as a footer's at whose border every document has a stretch of its own. A hot one
+is an anchor only where all others in the string are hot too, so such stretches
+go by what surrounds the footer; which ones are hot, a sample may say, as any
+choice that all blocks share keeps equal strings together.
 """
 
 from __future__ import annotations
@@ -32,27 +38,60 @@ PIECE = 1 << 20
 #: Odd multipliers of the three words of an anchor.
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 LAST = np.iinfo(np.int64).max
-
-
-def anchors(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of stretches that one task sorts at a time; those of one anchor stay together.
+SORT_BYTES = 4 << 20
+#: Windows in which hot anchors are counted, and how often one at the limit is expected in the sample.
+WINDOW, SEEN = 4096, 16
+#: Hashes of anchors have 63 bits; the highest one marks the hot, which come last.
+HOT = np.uint64(1 << 63)
+NOT_HOT = np.zeros(0, np.uint64)
+
+
+def hashes(data: bytes) -> np.ndarray:
+    """A 63-bit hash of every string of ``ANCHOR`` bytes."""
+    words = np.ascontiguousarray(words_at(data))
+    m = max(len(data) - ANCHOR + 1, 0)
+    low = words[:m] * SPREAD[0]
+    low += words[8 : 8 + m] * SPREAD[1]
+    low += words[16 : 16 + m] * SPREAD[2]
+    return mix(low) >> np.uint64(1)
+
+
+def least(values: np.ndarray, reach: int) -> np.ndarray:
+    """Smallest of every ``reach`` neighbours."""
+    span = 1
+    while span < reach:
+        step = min(span, reach - span)
+        values = np.minimum(values[:-step], values[step:])
+        span += step
+    return values
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    place = np.searchsorted(known, values)
+    place[place == len(known)] = 0
+    return known[place] == values
+
+
+def anchors(data: bytes, width: int = WIDTH, hot: np.ndarray = NOT_HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of neighbouring strings with one anchor: anchor, first string, number of strings."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     strings = len(data) - width + 1
     for begin in range(0, max(strings, 0), PIECE):
         n = min(PIECE, strings - begin)
         part = data[begin : begin + n + width - 1]
-        words = np.ascontiguousarray(words_at(part))
-        m = len(part) - ANCHOR + 1
-        low = words[:m] * SPREAD[0]
-        low += words[8 : 8 + m] * SPREAD[1]
-        low += words[16 : 16 + m] * SPREAD[2]
-        low = mix(low)
-        span, reach = 1, width - ANCHOR + 1
-        while span < reach:
-            step = min(span, reach - span)
-            low = np.minimum(low[:-step], low[step:])
-            span += step
+        every = hashes(part)
+        low = least(every, width - ANCHOR + 1)
         first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+        if among(low[first], hot).any():
+            every[among(every, hot)] |= HOT
+            low = least(every, width - ANCHOR + 1)
+            # Stretches of hot anchors also end where the text says so, or both borders of a short passage would multiply.
+            ends = (low[1:] != low[:-1]) | ((low[1:] >= HOT) & (every[1 : len(low)] & np.uint64(3) == 0))
+            first = np.concatenate(([0], np.flatnonzero(ends) + 1))
         found.append((low[first], first + begin, np.diff(first, append=n)))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -108,37 +147,40 @@ class Stretches:
     content: np.ndarray
     contents: dict[int, dict[bytes, int]]
     first: dict[int, list[int]]
+    #: Lowest byte of the anchor of each content.
+    lowest: dict[int, bytearray]
 
 
-def stretches(block: Block, shared: np.ndarray, parts: int, width: int) -> Stretches:
+def stretches(block: Block, shared: np.ndarray, parts: int, width: int, hot: np.ndarray = NOT_HOT) -> Stretches:
     contents: dict[int, dict[bytes, int]] = {}
     first: dict[int, list[int]] = {}
+    lowest: dict[int, bytearray] = {}
     columns: list[list] = [[], [], [], [], []]
     for i, data in enumerate(block.texts):
-        key, start, strings = anchors(data, width)
+        key, start, strings = anchors(data, width, hot)
         wanted = short(key, parts)
-        place = np.searchsorted(shared, wanted)
-        place[place == len(shared)] = 0
-        hit = np.flatnonzero(shared[place] == wanted) if len(shared) else []
+        hit = np.flatnonzero(among(wanted, shared))
         if not len(hit):
             continue
         part = (wanted[hit] >> np.uint64(32)).astype(np.int64)
         numbers = []
         id = int(block.ids[i])
-        for p, a, n in zip(part.tolist(), start[hit].tolist(), strings[hit].tolist()):
+        low = (wanted[hit] & np.uint64(0xFF)).tolist()
+        for p, a, n, b in zip(part.tolist(), start[hit].tolist(), strings[hit].tolist(), low):
             known = contents.get(p)
             if known is None:
-                known, first[p] = contents.setdefault(p, {}), []
+                known, first[p], lowest[p] = contents.setdefault(p, {}), [], bytearray()
             piece = data[a : a + n + width - 1]
             number = known.get(piece)
             if number is None:
                 number = known[piece] = len(known)
                 first[p].append(id)
+                lowest[p].append(b)
             numbers.append(number)
         for column, values in zip(columns, (np.full(len(hit), i), start[hit], strings[hit], part, numbers)):
             column.append(np.asarray(values, np.int64))
     joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-    return Stretches(*joined, contents, first)
+    return Stretches(*joined, contents, first, lowest)
 
 
 def earliest(pieces: list[bytes], first: np.ndarray, width: int, **memory) -> list[np.ndarray]:
@@ -196,7 +238,66 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(pieces)
 
 
-def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: bool, carried: str) -> DataFrame:
+def smallest_ids(rows: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]], width: int) -> list[list[np.ndarray]]:
+    """Per row of pieces, lengths, ids and lowest bytes of anchors: :func:`earliest` of every piece.
+
+    Strings with different anchors differ, so anchors are taken in turns of about ``SORT_BYTES``.
+    """
+    turns = min(256, max(1, -(-sum(len(r[0]) for r in rows) // SORT_BYTES)))
+    found = [[None] * len(r[1]) for r in rows]
+    ends = [np.cumsum(r[1], dtype=np.int64) for r in rows]
+    turn_of = [r[3].astype(np.int64) * turns >> 8 for r in rows]
+    for turn in range(turns):
+        numbers: dict[bytes, int] = {}
+        first: list[int] = []
+        own = []
+        for k, (pieces, lengths, ids, _) in enumerate(rows):
+            at = np.flatnonzero(turn_of[k] == turn)
+            end = ends[k][at]
+            for i, a, b, id in zip(at.tolist(), (end - lengths[at]).tolist(), end.tolist(), ids[at].tolist()):
+                number = numbers.setdefault(pieces[a:b], len(numbers))
+                if number == len(first):
+                    first.append(id)
+                elif id < first[number]:
+                    first[number] = id
+                own.append((k, i, number))
+        if not own:
+            continue
+        best = earliest(list(numbers), np.array(first, np.int64), width)
+        for k, i, number in own:
+            found[k][i] = best[number]
+    return found
+
+
+def hot_anchors(named: DataFrame, limit: int) -> np.ndarray:
+    """Sorted hashes of the 24-byte strings that occur about ``limit`` times or more in ``body``.
+
+    Counted in windows drawn by a hash, so few that one at the limit is seen
+    ``SEEN`` times: the sample has some kilobytes for every part.
+    """
+    rate = max(1, limit // SEEN)
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.floor(F.octet_length("body") / WINDOW).cast("int")),
+        lambda k: F.pmod(F.xxhash64("seed", k), F.lit(rate)) == 0,
+    )
+    seeded = named.select("body", F.xxhash64("id", "body").alias("seed")).select("body", drawn.alias("drawn")).filter(F.size("drawn") > 0)
+    windows = seeded.select(
+        F.explode(F.transform("drawn", lambda k: F.substring("body", k * WINDOW + 1, F.lit(WINDOW + ANCHOR - 1)))).alias("window")
+    )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashes(x) for x in batch.column(0).to_pylist()]
+            if found:
+                unique, times = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch({"anchor": unique.astype(np.int64), "times": times.astype(np.int64)})
+
+    times = windows.mapInArrow(counted, "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
+    table = times.filter(F.col("times") >= max(2, limit // rate)).select("anchor").toArrow()
+    return np.sort(table.column("anchor").to_numpy()).astype(np.uint64)
+
+
+def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: bool, carried: str, hot: np.ndarray) -> DataFrame:
     """Rows of id, body, block, rest -> n_bytes, n_removed, n_spans, kept_sha256, spans, kept, rest.
 
     One plan, so the exchange that deals texts into blocks is written once and read three times.
@@ -204,7 +305,7 @@ def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: boo
 
     def keys_of(table: pa.Table) -> pa.Table:
         block = block_of(table)
-        keys = [np.unique(short(anchors(x, width)[0], parts)) for x in block.texts]
+        keys = [np.unique(short(anchors(x, width, hot)[0], parts)) for x in block.texts]
         # Documents that repeat an id count as one: they never remove each other's strings.
         by_id = [np.unique(np.concatenate([keys[i] for i in g])) for g in same_ids(block.ids)]
         every = np.concatenate(by_id) if by_id else np.zeros(0, np.uint64)
@@ -236,36 +337,22 @@ def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: boo
         return out.filter(pa.array([len(x) > 0 for x in found]))
 
     def contents(key, table: pa.Table, shared: pa.Table) -> pa.Table:
-        found = stretches(block_of(table), shared_by_part(shared), parts, width) if table.num_rows else None
+        found = stretches(block_of(table), shared_by_part(shared), parts, width, hot) if table.num_rows else None
         keys = dict(zip(shared.column("part").to_pylist(), shared.column("keys").to_pylist()))
         rows = []
         for part, known in (found.contents if found else {}).items():
             lengths = np.array([len(x) for x in known], "<u4")
-            rows.append((key[0].as_py(), part, keys[part], b"".join(known), lengths.tobytes(), np.array(found.first[part], "<i8").tobytes()))
-        names = ("block", "part", "keys", "pieces", "lengths", "first")
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, list(zip(*rows)) or [()] * 6, kinds)})
+            rows.append((key[0].as_py(), part, keys[part], b"".join(known), lengths.tobytes(), np.array(found.first[part], "<i8").tobytes(), bytes(found.lowest[part])))
+        names = ("block", "part", "keys", "pieces", "lengths", "first", "lowest")
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, list(zip(*rows)) or [()] * 7, kinds)})
 
     def smallest(table: pa.Table) -> pa.Table:
-        numbers: dict[bytes, int] = {}
-        first: list[int] = []
-        listed = []
-        for pieces, lengths, ids in zip(*(table.column(c).to_pylist() for c in ("pieces", "lengths", "first"))):
-            at, own = 0, []
-            for n, id in zip(np.frombuffer(lengths, "<u4").tolist(), np.frombuffer(ids, "<i8").tolist()):
-                piece = pieces[at : at + n]
-                at += n
-                number = numbers.setdefault(piece, len(numbers))
-                if number == len(first):
-                    first.append(id)
-                elif id < first[number]:
-                    first[number] = id
-                own.append(number)
-            listed.append(own)
-        best = earliest(list(numbers), np.array(first, np.int64), width)
+        columns = (table.column(c).to_pylist() for c in ("pieces", "lengths", "first", "lowest"))
+        rows = [(p, np.frombuffer(n, "<u4"), np.frombuffer(i, "<i8"), np.frombuffer(b, np.uint8)) for p, n, i, b in zip(*columns)]
         ids, times = [], []
-        for own in listed:
-            values = np.concatenate([best[i] for i in own])
+        for own in smallest_ids(rows, width):
+            values = np.concatenate(own)
             heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
             ids.append(values[heads].astype("<i8").tobytes())
             times.append(np.diff(heads, append=len(values)).astype("<u4").tobytes())
@@ -277,7 +364,7 @@ def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: boo
         block = block_of(table)
         starts_of = [np.zeros(0, np.int64)] * len(block.texts)
         if answers.num_rows and block.texts:
-            found = stretches(block, shared_by_part(answers), parts, width)
+            found = stretches(block, shared_by_part(answers), parts, width, hot)
             values, offset, base = [], {}, 0
             for part, ids, times in zip(*(answers.column(c).to_pylist() for c in ("part", "ids", "times"))):
                 own = np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(times, "<u4"))
@@ -324,7 +411,7 @@ def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: boo
     sent = (
         docs.groupBy("block")
         .cogroup(shared.groupBy("block"))
-        .applyInArrow(contents, "block int, part int, keys binary, pieces binary, lengths binary, first binary")
+        .applyInArrow(contents, "block int, part int, keys binary, pieces binary, lengths binary, first binary, lowest binary")
     )
     answers = sent.groupBy("part").applyInArrow(smallest, "block int, part int, keys binary, ids binary, times binary")
     schema = (
@@ -357,9 +444,16 @@ def blocks(docs: DataFrame, rest: Column, parts: int) -> DataFrame:
     return named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
 
-def parts_of(docs: DataFrame) -> int:
+def parts_of(docs: DataFrame, width: int = WIDTH) -> tuple[int, int]:
+    """Number of parts, and how many of the longest stretches have the bytes of one."""
     total, parts = parts_for(docs, "text", PART_BYTES)
-    return min(parts, max(MOST_PARTS, -(-total // (8 * PART_BYTES))))
+    parts = min(parts, max(MOST_PARTS, -(-total // (8 * PART_BYTES))))
+    return parts, max(1, -(-total // parts) // (2 * width - ANCHOR))
+
+
+def hot_of(named: DataFrame, parts: int, limit: int) -> np.ndarray:
+    """:func:`hot_anchors`; a single part has nothing to spread."""
+    return hot_anchors(named, limit) if parts > 1 else NOT_HOT
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -370,9 +464,10 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     null id counts as the largest. Shorter texts than ``width`` stay whole; an
     empty table gives no rows; other columns are ignored.
     """
-    parts = parts_of(docs)
+    parts, limit = parts_of(docs, width)
     rest = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
-    found = found_repeats(blocks(docs, rest, parts), parts, width, False, "struct<doc_id: long>")
+    dealt = blocks(docs, rest, parts)
+    found = found_repeats(dealt, parts, width, False, "struct<doc_id: long>", hot_of(dealt, parts, limit))
     return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
@@ -382,11 +477,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Removed spans are drawn in to whole characters, so every text stays valid; a
     text of which nothing is left stays as an empty one.
     """
-    parts = parts_of(docs)
+    parts, limit = parts_of(docs, width)
     others = [f for f in docs.schema if f.name != "text"]
     kind = T.StructType(others)
     rest = F.struct(*[F.col(f"`{f.name}`") for f in others])
-    found = found_repeats(blocks(docs, rest, parts), parts, width, True, kind.simpleString())
+    dealt = blocks(docs, rest, parts)
+    found = found_repeats(dealt, parts, width, True, kind.simpleString(), hot_of(dealt, parts, limit))
     columns = {f.name: F.col("rest").getField(f.name) for f in others} | {"text": F.col("kept")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.llm import suffix
 from tests.llm.conftest import HARD
@@ -74,3 +76,48 @@ def test_spans_on_whole_characters():
     assert suffix.on_borders(data, [2], [4]) == [(3, 4)]
     assert suffix.on_borders(data, [0], [2]) == [(0, 1)]
     assert suffix.on_borders(data, [2], [3]) == []
+
+
+def footed(n):
+    """Documents that differ but for one footer of 120 bytes, at which each has a stretch of its own."""
+    draw = random.Random(8)
+    footer = "".join(draw.choices("abcdefghij ", k=120))
+    return [(i, "".join(draw.choices("abcdefghij ", k=150)) + footer + "".join(draw.choices("abcdefghij ", k=60))) for i in range(n)]
+
+
+@pytest.mark.parametrize("width", [50, 100])
+def test_a_common_footer_is_spread(frame, monkeypatch, width):
+    monkeypatch.setattr(suffix, "PART_BYTES", 8000)
+    monkeypatch.setattr(suffix, "SORT_BYTES", 4000)
+    docs = footed(600)
+    parts, limit = suffix.parts_of(frame(docs), width)
+    dealt = suffix.blocks(frame(docs), F.lit(1), parts)
+    hot = suffix.hot_of(dealt, parts, limit)
+    assert len(hot)
+    largest = {}
+    for name, chosen in (("plain", suffix.NOT_HOT), ("spread", hot)):
+        held = {}
+        for _, text in docs:
+            key, start, strings = suffix.anchors(text.encode(), width, chosen)
+            for k, a, m in zip(key.tolist(), start.tolist(), strings.tolist()):
+                held.setdefault(k, set()).add(text[a : a + m + width - 1])
+        largest[name] = max(sum(map(len, v)) for v in held.values())
+    assert largest["plain"] > 2 * 8000 > 2 * largest["spread"]
+    assert rows(suffix.repeats(frame(docs), width)) == brute(as_bytes(docs), width)
+
+
+def test_turns_agree_with_one_sort(monkeypatch):
+    texts = [t.encode() for _, t in footed(40)]
+    block = suffix.Block(np.arange(40), texts, list(range(40)))
+    every = np.unique(np.concatenate([suffix.short(suffix.anchors(x)[0], 1) for x in texts]))
+    found = suffix.stretches(block, every, 1, 50)
+    lengths = np.array([len(x) for x in found.contents[0]], np.uint32)
+    row = (b"".join(found.contents[0]), lengths, np.array(found.first[0]), np.frombuffer(bytes(found.lowest[0]), np.uint8))
+    sorts = []
+    earliest = suffix.earliest
+    monkeypatch.setattr(suffix, "earliest", lambda *a, **k: sorts.append(sum(map(len, a[0]))) or earliest(*a, **k))
+    whole = suffix.smallest_ids([row], 50)[0]
+    monkeypatch.setattr(suffix, "SORT_BYTES", 3000)
+    turned = suffix.smallest_ids([row], 50)[0]
+    assert all((a == b).all() for a, b in zip(whole, turned))
+    assert len(sorts) > 3 and max(sorts[1:]) < sorts[0] // 3
