@@ -30,24 +30,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def with_unit(df: DataFrame, column: str) -> DataFrame:
-    """Scale ``column`` to unit length; all-zero vectors stay as they are.
+def with_unit(df: DataFrame, column: str, kind: str = "float") -> DataFrame:
+    """Scale ``column`` to unit length, as numbers of ``kind``; all-zero vectors stay as they are.
 
     The length sits in its own column, read twice, so Spark computes it once per
     row instead of once per element.
     """
     size = F.col("_norm")
-    scaled = F.transform(column, lambda x: (x.cast("double") / size).cast("float"))
+    scaled = F.transform(column, lambda x: (x.cast("double") / size).cast(kind))
     return (
         df.withColumn("_norm", norm(F.col(column)))
-        .withColumn(column, F.when(size > 0, scaled).otherwise(F.col(column).cast("array<float>")))
+        .withColumn(column, F.when(size > 0, scaled).otherwise(F.col(column).cast(f"array<{kind}>")))
         .drop("_norm")
     )
 
 
 def literal_vector(values: Sequence[float]) -> Column:
-    """One unit-length query vector as a literal."""
-    v = np.asarray(values, dtype=np.float32)
+    """One unit-length query vector as a literal, in double."""
+    v = np.asarray(values, dtype=np.float64)
     size = np.linalg.norm(v)
     unit = v / size if size > 0 else v
     return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in unit)})")

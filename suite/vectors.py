@@ -202,23 +202,22 @@ def hybrid_search(t):
     return found.select("id", F.round("_score", 5).alias("score"), F.col("_result_type").alias("side"))
 
 
-HELD = "SELECT * FROM documents WHERE n_chars > 900 AND doc_id % 3 > 0"
+HELD = "SELECT * FROM documents WHERE n_chars > 900"
 
 
 @case(f"""WITH {sql_sides().replace("FROM documents", f"FROM ({HELD})").replace("FROM embeddings", f"FROM embeddings WHERE vec_id IN (SELECT doc_id FROM ({HELD}))")}
-  SELECT doc_id, source, round(0.5 * a + 0.5 * b, 4) AS combined, round(a, 4) AS structured, round(b, 4) AS vector, {SIDE}
+  SELECT doc_id, source, round(0.5 * a + 0.5 * b, 5) AS combined, round(a, 5) AS structured, round(b, 5) AS vector, {SIDE}
   FROM f JOIN documents ON doc_id = id ORDER BY 0.5 * a + 0.5 * b DESC, id::VARCHAR LIMIT {K}""")
 def hybrid_rows(t):
     """Whole rows with three scores; the condition holds for keywords and vectors alike."""
-    docs = t.documents.filter("doc_id % 3 > 0")
-    built = I.build_index(t.embeddings.join(docs.select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi"), "vec_id", "embedding")
-    found = ask.hybrid_rows(docs, built, f"n_chars>900 {QUERY}", DOCS, DIM, K, weight=0.5, fields=["text", "lang", "source"])
+    built = I.build_index(t.embeddings, "vec_id", "embedding", kind="double")
+    found = ask.hybrid_rows(t.documents, built, f"n_chars>900 {QUERY}", DOCS, DIM, K, weight=0.5, fields=["text", "lang", "source"])
     return found.select(
         "doc_id",
         "source",
-        F.round("_combined_score", 4).alias("combined"),
-        F.round("_structured_score", 4).alias("structured"),
-        F.round("_vector_score", 4).alias("vector"),
+        F.round("_combined_score", 5).alias("combined"),
+        F.round("_structured_score", 5).alias("structured"),
+        F.round("_vector_score", 5).alias("vector"),
         F.col("_result_type").alias("side"),
     )
 

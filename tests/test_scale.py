@@ -1,15 +1,21 @@
 """Operators with their own distribution logic, against brute force on skewed data."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell import Roles
 from siftwell.functions import vectors as V
 from siftwell.operators import quality, textjobs
 from siftwell.operators import vectorindex as I
 from siftwell.operators.quantiles import exact_quantiles
+from siftwell.plans import ask
 from siftwell.plans import relational as R
+from suite import CASES, Tables
+from tests.conftest import DATA
 
 
 @pytest.fixture(scope="module")
@@ -155,3 +161,27 @@ def test_spikes_need_a_full_window(spark):
     rows = [(f"2024-01-{d + 1:02d}", "x") for d, n in enumerate(counts) for _ in range(n)]
     df = spark.createDataFrame(rows, "day string, k string").withColumn("ts", F.col("day").cast("timestamp_ntz"))
     assert [(str(r.day), r.n) for r in quality.spikes(df, "ts", "k").collect()] == [("2024-01-08", 40)]
+
+
+def test_hybrid_scores_in_double(spark):
+    """Scores over a double index equal those of the vectors given, to all places; every id is searched."""
+    rng = np.random.RandomState(5)
+    vectors, target = rng.randn(30, 8), rng.randn(8).tolist()
+    docs = spark.createDataFrame([(i, 950 if i % 2 else 100) for i in range(30)], "doc_id long, n_chars long")
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    built = I.build_index(items, "vec_id", "embedding", kind="double")
+    found = ask.hybrid_rows(
+        docs, built, "n_chars>900", Roles(id="doc_id"), 8, 30, weight=1.0, embed=lambda text, dim: target
+    ).collect()
+    cosine = vectors @ target / np.linalg.norm(vectors, axis=1) / np.linalg.norm(target)
+    held = {i: cosine[i] for i in range(30) if i % 2}
+    top = max(held.values())
+    assert {r.doc_id for r in found} == set(held)
+    for r in found:
+        assert r._vector_score == pytest.approx(held[r.doc_id] / top, abs=1e-12)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="test data not present")
+def test_hybrid_rows_search_every_id(spark):
+    found = CASES["hybrid_rows"][0](Tables(spark, DATA)).select(F.col("doc_id") % 3).distinct().collect()
+    assert {r[0] for r in found} == {0, 1, 2}
