@@ -105,13 +105,26 @@ def iqr_outliers(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
 def spikes(df: DataFrame, ts: str, key: str, days: int = 7, factor: float = 2.0) -> DataFrame:
     """Days on which a key's count leaves the band of the ``days`` days before.
 
-    Rows are counted per key and day first; the window sees one row per day. It
-    reaches back over calendar days: a day without rows is none of those seen, and
-    only days whose band is complete are judged.
+    Rows are counted per key and day first; the windows see one row per day. Days
+    without rows between a key's first and last day count as 0, in a band and as a
+    day judged; days whose band would start before the first day are not judged.
     """
-    daily = df.groupBy(key, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
+    daily = df.groupBy(key, F.to_date(ts).alias("day")).agg(F.count("*").alias("n")).filter(F.col("day").isNotNull())
+    # Of a gap only the first and last days are made: bands within it hold zeros alone.
+    following = F.lead("day").over(W.partitionBy(key).orderBy("day"))
+    late = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda i: F.col("_gap") - i)
+    steps = F.filter(F.concat(F.sequence(F.lit(0), F.lit(days)), late), lambda i: (i >= 0) & (i < F.col("_gap")))
+    filled = (
+        daily.withColumn("_gap", F.coalesce(F.datediff(following, "day"), F.lit(1)))
+        .withColumn("_step", F.explode(F.array_distinct(steps)))
+        .select(
+            key,
+            F.date_add("day", F.col("_step")).alias("day"),
+            F.when(F.col("_step") == 0, F.col("n")).otherwise(F.lit(0)).alias("n"),
+        )
+    )
     before = W.partitionBy(key).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
-    band = daily.withColumns(
+    band = filled.withColumns(
         {
             "seen": F.count("*").over(before),
             "mean": F.avg("n").over(before),

@@ -185,3 +185,34 @@ def test_hybrid_scores_in_double(spark):
 def test_hybrid_rows_search_every_id(spark):
     found = CASES["hybrid_rows"][0](Tables(spark, DATA)).select(F.col("doc_id") % 3).distinct().collect()
     assert {r[0] for r in found} == {0, 1, 2}
+
+
+def daily(spark, counts):
+    rows = [(str(np.datetime64("2024-01-01") + d), "x") for d, n in counts.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "day string, k string").withColumn("ts", F.col("day").cast("timestamp_ntz"))
+    return [(str(r.day), r.n, round(r.mean, 4), round(r.sd, 4)) for r in quality.spikes(df, "ts", "k").collect()]
+
+
+def test_spikes_across_days_without_rows(spark):
+    """A day without rows is 0 in the bands and a day judged."""
+    counts = dict(enumerate([5, 6, 5, 6, 5, 6, 5, 0, 5, 6, 60]))
+    expected = []
+    for d in range(7, 11):
+        band = np.array([counts[e] for e in range(d - 7, d)])
+        if abs(counts[d] - band.mean()) > 2 * band.std(ddof=1):
+            expected.append((f"2024-01-{d + 1:02d}", counts[d], round(band.mean(), 4), round(band.std(ddof=1), 4)))
+    assert [e[1] for e in expected] == [0, 60]
+    assert sorted(daily(spark, counts)) == expected
+
+
+@pytest.mark.parametrize("gap", [1, 6, 7, 8, 13, 14, 15, 16, 40])
+def test_spikes_of_gaps_of_any_length(spark, gap):
+    """Days made for the ends of a gap find what all of its days would."""
+    seen = {**dict(enumerate([5, 6, 5, 6, 5, 6, 5, 6])), 8 + gap: 3, 9 + gap: 4}
+    expected = []
+    for d in range(7, 10 + gap):
+        n, band = seen.get(d, 0), np.array([seen.get(e, 0) for e in range(d - 7, d)])
+        if abs(n - band.mean()) > 2 * band.std(ddof=1):
+            day = str(np.datetime64("2024-01-01") + d)
+            expected.append((day, n, round(band.mean(), 4), round(band.std(ddof=1), 4)))
+    assert sorted(daily(spark, seen)) == expected
