@@ -294,10 +294,10 @@ def segments(
 def share_of_total(facts: DataFrame, segment: str, amount: str, scale: int | None = None) -> DataFrame:
     """Sum and share of the grand total per segment; no share where the total is zero.
 
-    The total is the sum of the segments' sums, one row per segment in a window.
+    The total is the sum of the segments' sums, combined in each task.
     """
     sums = per_key(facts, segment, revenue=F.sum(money(amount, scale)))
-    total = F.sum("revenue").over(W.partitionBy(F.lit(0)))
+    total = sums.agg(F.sum("revenue")).scalar()
     return sums.withColumn("_all", total.cast("double")).select(
         segment,
         F.col("revenue").cast("double").alias("revenue"),

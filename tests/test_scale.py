@@ -216,3 +216,10 @@ def test_spikes_of_gaps_of_any_length(spark, gap):
             day = str(np.datetime64("2024-01-01") + d)
             expected.append((day, n, round(band.mean(), 4), round(band.std(ddof=1), 4)))
     assert sorted(daily(spark, seen)) == expected
+
+
+def test_share_of_total_in_no_single_task(spark):
+    facts = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 1.0), (None, 4.0)], "s string, v double")
+    out = R.share_of_total(facts, "s", "v")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.s, r.share) for r in out.collect()} == {("a", 0.125), ("b", 0.375), (None, 0.5)}
