@@ -16,20 +16,24 @@ from pyspark.sql import types as T
 
 from siftwell.llm.common import written
 
-BITS = 8
+BITS = 16
+#: Bits of a curve position.
+CURVE_BITS = 62
 
 
 def cell(column: str, kind: T.DataType, bits: int = BITS) -> Column:
     """Grid coordinate of a value: numbers by magnitude, anything else by a hash; null is 0.
 
-    Numbers are quantised on a logarithmic scale with eight steps per doubling,
-    so no pass over the data is needed and the coordinate rises with the value.
+    Numbers are quantised on a logarithmic scale over the whole range of their
+    type, so no pass over the data is needed and the coordinate rises with the
+    value: 512 steps per doubling for integers at 16 bits, 32 for doubles.
     """
     top = (1 << bits) - 1
     if isinstance(kind, T.NumericType):
         number = F.col(column).cast("double")
-        steps = F.floor(F.log2(F.abs(number) + 1) * 8)
         half = (top + 1) // 2
+        doublings = 64 if isinstance(kind, T.IntegralType) else 1024 if isinstance(kind, T.DoubleType) else 128
+        steps = F.floor(F.least(F.log2(F.abs(number) + 1) * (half / doublings), F.lit(float(half))))
         signed = F.when(number < 0, F.lit(half) - steps).otherwise(F.lit(half) + steps)
         return F.when(number.isNull() | F.isnan(number), 0).otherwise(F.least(F.greatest(signed, F.lit(1)), F.lit(top))).cast("int")
     hashed = F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(top)) + 1
@@ -66,7 +70,7 @@ def curve_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def with_curve(df: DataFrame, cells: Mapping[str, Column], name: str = "curve", bits: int = BITS) -> DataFrame:
     """Adds the curve position; the cells' columns stay, under their names."""
-    if len(cells) * bits > 62:
+    if len(cells) * bits > CURVE_BITS:
         raise ValueError("dimensions times bits must be at most 62")
     placed = df.withColumns(dict(cells))
     at = [placed.columns.index(c) for c in cells]
@@ -115,18 +119,19 @@ def hilbert_shards(
     shards empty. Other columns are ignored.
     """
     kinds = {f.name: f.dataType for f in docs.schema}
+    bits = min(BITS, CURVE_BITS // max(len(dimensions), 1))
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     picked = docs.select(
         "doc_id",
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body).alias("text_crc32"),
         *[
-            (cell(c, kinds[c]) if c in kinds else F.lit(0)).alias(f"cell_{i}")
+            (cell(c, kinds[c], bits) if c in kinds else F.lit(0)).alias(f"cell_{i}")
             for i, c in enumerate(dimensions)
         ],
     )
     cells = {f"cell_{i}": F.col(f"cell_{i}") for i in range(len(dimensions))}
-    return in_runs(with_curve(picked, cells), ["curve"], shards)
+    return in_runs(with_curve(picked, cells, bits=bits), ["curve"], shards)
 
 
 def manifest(docs: DataFrame, placed: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:

@@ -15,6 +15,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from siftwell.llm import graph, hilbert, lm, pieces, rules, warc
@@ -131,6 +132,22 @@ def test_shards_hold_runs(frame, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 61
 
 
+def test_cells_cover_the_range_of_numbers(spark):
+    longs = [-(1 << 63) + 1, -70_000, -1, 0, 1, 900, 60_000, 70_000, 10**6, 10**9, 10**12, (1 << 63) - 1]
+    df = spark.createDataFrame([(n, float(n)) for n in longs], "n long, x double").coalesce(1)
+    for c, kind in (("n", T.LongType()), ("x", T.DoubleType())):
+        cells = [r[0] for r in df.orderBy(c).select(hilbert.cell(c, kind)).collect()]
+        assert cells == sorted(set(cells))
+    far = spark.createDataFrame([(float("-inf"),), (1e300,), (float("inf"),)], "x double").coalesce(1)
+    cells = [r[0] for r in far.select(hilbert.cell("x", T.DoubleType())).collect()]
+    assert cells == sorted(set(cells))
+
+
+def test_seven_dimensions_share_the_curve(frame):
+    names = ("source", "lang", "n_chars", "a", "b", "c", "d")
+    assert hilbert.hilbert_shards(frame([(i, "w " * i) for i in range(9)]), 3, names).count() == 9
+
+
 # Language model
 
 
