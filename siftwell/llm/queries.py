@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import exact, graph, hilbert, lm, minhash, packing, pieces, rules, suffix, warc
+from siftwell.llm import bytebpe, divergence, exact, graph, hilbert, lm, merkle, minhash, packing, pieces, rules, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,44 @@ def op9_pieces(spark, sf_dir):
 def op10_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return rules.quality_scores(docs, rules.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query(r"""WITH docs AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    words AS (SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT row_id) >= 30),
+    langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY ALL),
+    groups AS (SELECT DISTINCT lang, source FROM docs),
+    every AS (SELECT lang, source, term, coalesce(c.n, 0) AS n,
+        1 + 1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT // (coalesce(t.total, 0) + 5 * v) AS p,
+        1 + 1000000000 * (k.n + 5)::HUGEINT // (langs.total + 5 * v) AS q
+      FROM groups JOIN kept k USING (lang) JOIN langs USING (lang)
+      LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)),
+    pairs AS (SELECT lang, a.source AS source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM every a JOIN every b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+    both_parts AS (
+      SELECT lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+      FROM groups a JOIN groups b USING (lang) LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+      WHERE a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM every WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM both_parts QUALIFY part = 'pair' OR rank <= 50""")
+def op11_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(docs, {"text": F.when(hit, lowered).otherwise(F.col("text"))}).drop("path")
+
+
+@query()
+def op13_byte_pairs(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bytebpe.encode_documents(table(spark, sf_dir, "documents"), path)
+    return bytebpe.decode_documents(encoded, path).drop("text")
