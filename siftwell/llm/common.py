@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.session import shared_folder
 
@@ -38,6 +39,36 @@ def parts_for(df: DataFrame, text: str, target: int) -> tuple[int, int]:
     return total, max(1, -(-total // target))
 
 
+def apart(df: DataFrame, name: str) -> str:
+    """The name, with marks behind it until no column of the table has it (names ignore case)."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed at every level, as rows have that come back from Arrow."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
+def nullable_arrow(kind: pa.DataType) -> pa.DataType:
+    """The same for a type of Arrow."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable_arrow(f.type)) for f in kind])
+    if pa.types.is_map(kind):
+        return pa.map_(nullable_arrow(kind.key_type), pa.field("value", nullable_arrow(kind.item_type)))
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, nullable_arrow(kind.value_type)))
+    return kind
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (the finishing steps of a multiplicative hash)."""
     h = h ^ (h >> np.uint64(31))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import texts_of, words_at, written
+from siftwell.llm.common import apart, texts_of, words_at, written
 
 LEAST, MOST = 2048, 65536
 #: One position in 4096 is a cut.
@@ -142,18 +142,25 @@ def told_apart(recipes: DataFrame, docs: DataFrame, unsure: DataFrame) -> DataFr
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; texts do not travel unless an id repeats."""
-    kept = exact_groups(docs).filter("kept")
-    times = written(kept.groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("k_n")), "kept-ids")
-    repeated = docs.groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("r_n")).filter("r_n > 1")
-    repeated = written(repeated.select("k_id"), "repeated-ids")
-    same = F.expr("doc_id <=> k_id")
+    """The documents that stay, with all their columns; texts do not travel unless an id repeats.
+
+    Of equal texts the largest id stays, a null one only if there is no other; null
+    texts count as empty. Of rows with one id and equal texts one stays. An empty
+    table gives no rows; other columns may have any names and types.
+    """
+    k_id, k_sha, k_text = (apart(docs, c) for c in ("k_id", "k_sha", "k_text"))
+    own = docs.select("doc_id", "text")
+    kept = exact_groups(own).filter("kept")
+    times = written(kept.select(F.col("doc_id").alias(k_id)).distinct(), "kept-ids")
+    repeated = own.groupBy(F.col("doc_id").alias(k_id)).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = written(repeated.select(k_id), "repeated-ids")
+    same = F.col("doc_id").eqNullSafe(F.col(k_id))
     stay = docs.join(times, same, "left_semi")
     if repeated.isEmpty():
         return stay
     # One row of every text whose kept id repeats; equal texts under one id are one document.
-    chosen = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    both = F.expr("doc_id <=> k_id AND sha2(CAST(coalesce(text, '') AS binary), 256) = k_sha")
+    chosen = exact_groups(own).filter("kept").select(F.col("doc_id").alias(k_id), F.col("text_sha256").alias(k_sha))
+    both = same & (F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col(k_sha))
     once = stay.join(repeated, same, "left_semi").join(chosen, both, "left_semi")
-    once = once.withColumn("k_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "k_text"]).drop("k_text")
+    once = once.withColumn(k_text, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", k_text]).drop(k_text)
     return stay.join(repeated, same, "left_anti").unionByName(once)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import mix, texts_of, written
+from siftwell.llm.common import apart, mix, texts_of, written
 from siftwell.llm.components import components
 
 LAST = np.iinfo(np.int64).max
@@ -338,13 +338,20 @@ def _across(members: DataFrame, visitors: DataFrame, links: DataFrame, settings:
 
 
 def nearly_unique(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The document of each component that stays, with all columns."""
-    groups = near_groups(docs, settings)
-    kept = written(groups.filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("k_id"), "sha"), "kept-near")
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("k_id")) & (
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.lower(F.hex("sha"))
+    """The document of each component that stays, with all columns.
+
+    A text without words, a null one too, is like no other and stays. A null id
+    counts as the largest. Of rows with one id and equal texts one stays; rows with
+    one id and different texts are documents of their own. An empty table gives no
+    rows; other columns may have any names and types.
+    """
+    k_id, k_sha, k_text = (apart(docs, c) for c in ("k_id", "k_sha", "k_text"))
+    groups = near_groups(docs.select("doc_id", "text"), settings)
+    kept = written(groups.filter("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias(k_id), F.col("sha").alias(k_sha)), "kept-near")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(k_id)) & (
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.lower(F.hex(k_sha))
     )
     stay = docs.join(kept, same, "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return stay
-    return stay.withColumn("k_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "k_text"]).drop("k_text")
+    return stay.withColumn(k_text, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", k_text]).drop(k_text)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import apart
+
 #: Labelled rows that are brought to the driver for fitting, at most.
 SAMPLE_ROWS = 20_000
 STATISTICS = (
@@ -140,7 +142,7 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, se
     """Every path of boosted trees, each grown on half of the rows and of the statistics."""
     rng = np.random.default_rng(seed)
     limits = [_limits(x[:, j]) for j in range(x.shape[1])]
-    bins = np.stack([np.searchsorted(limits[j], x[:, j], side="left") for j in range(x.shape[1])], axis=1)
+    bins = np.stack([np.searchsorted(limits[j], x[:, j], side="left").astype(np.uint8) for j in range(x.shape[1])], axis=1)
     raw = np.full(len(y), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     found: dict[Rule, None] = {}
     usable = [j for j in range(x.shape[1]) if len(limits[j])]
@@ -185,17 +187,29 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, se
 
 
 def met_by(rules: list[Rule], x: np.ndarray) -> np.ndarray:
-    out = np.ones((len(x), len(rules)), np.float32)
+    """A row of bits for every rule: which texts meet it."""
+    out = np.zeros((len(rules), -(-len(x) // 8)), np.uint8)
     for i, rule in enumerate(rules):
+        met = np.ones(len(x), bool)
         for c in rule:
-            out[:, i] *= (x[:, c.statistic] > c.limit) == c.above
+            met &= (x[:, c.statistic] > c.limit) == c.above
+        out[i] = np.packbits(met)
     return out
 
 
+def largest_square(z: np.ndarray, steps: int = 60) -> float:
+    """A bound from above, by a few per cent, for the largest eigenvalue of z'z, by power steps."""
+    v, size = np.ones(z.shape[1], np.float32), 0.0
+    for _ in range(steps):
+        v = z.T @ (z @ (v / max(float(np.linalg.norm(v)), 1e-30)))
+        size = float(np.linalg.norm(v))
+    return 1.05 * size
+
+
 def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400, start=None) -> tuple[float, np.ndarray]:
     """Bias and weights by accelerated proximal gradient; the bias is not penalised."""
     n, d = z.shape
-    reach = 0.25 * (np.linalg.norm(z, 2) ** 2 / n + 1)
+    reach = 0.25 * (largest_square(z) / n + 1)
     w = np.zeros(d + 1) if start is None else start.copy()
     ahead, t = w.copy(), 1.0
     for _ in range(steps):
@@ -220,17 +234,23 @@ def fit_rules(x: np.ndarray, y: np.ndarray, most: int = 120) -> RuleModel:
     rules = grow_rules(x, y)
     if not rules:
         return constant
-    z = met_by(rules, x)
-    _, first = np.unique(z, axis=1, return_index=True)
-    first = [i for i in sorted(first) if 0 < z[:, i].mean() < 1]
-    rules, z = [rules[i] for i in first], z[:, first]
-    apart = np.arange(len(y)) % 5 == 0
+    # The fifth that is set apart lies in front, so that both parts are slices of one table.
+    order = np.argsort(np.arange(len(y)) % 5 != 0, kind="stable")
+    x, y, m = x[order], y[order], -(-len(y) // 5)
+    bits = met_by(rules, x)
+    distinct = {row.tobytes(): i for i, row in reversed([*enumerate(bits)])}
+    first = [i for i in sorted(distinct.values()) if 0 < int(np.bitwise_count(bits[i]).sum()) < len(y)]
+    rules = [rules[i] for i in first]
+    z = np.empty((len(y), len(first)), np.float32)
+    for column, i in enumerate(first):
+        z[:, column] = np.unpackbits(bits[i], count=len(y))
+    tried, rest = slice(None, m), slice(m, None)
     best, start = (math.inf, 0.01), None
     for penalty in (0.02, 0.01, 0.005, 0.0025, 0.001, 0.0005):
-        bias, w = lasso_logistic(z[~apart], y[~apart], penalty, 200, start)
+        bias, w = lasso_logistic(z[rest], y[rest], penalty, 200, start)
         start = np.concatenate([[bias], w])
-        p = np.clip(1 / (1 + np.exp(-(z[apart] @ w + bias))), 1e-9, 1 - 1e-9)
-        loss = -np.mean(y[apart] * np.log(p) + (1 - y[apart]) * np.log(1 - p))
+        p = np.clip(1 / (1 + np.exp(-(z[tried] @ w + bias))), 1e-9, 1 - 1e-9)
+        loss = -np.mean(y[tried] * np.log(p) + (1 - y[tried]) * np.log(1 - p))
         if loss < best[0] - 1e-5 and (w != 0).sum() <= most:
             best = (loss, penalty)
     bias, w = lasso_logistic(z, y, best[1])
@@ -272,8 +292,10 @@ def quality_scores(docs: DataFrame, model: RuleModel, threshold: float = 0.3) ->
 
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score reaches the threshold, with their own columns."""
-    name = "s"
-    while name in docs.columns:
-        name += "_"
+    """The documents whose score reaches the threshold, with their own columns.
+
+    A null text is scored as an empty one; repeated rows go or stay together; an
+    empty table gives no rows; other columns may have any names and types.
+    """
+    name = apart(docs, "s")
     return docs.withColumn(name, statistics_column("text")).filter(model.score(F.col(name)) >= threshold).drop(name)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import mix, parts_for, texts_of, words_at
+from siftwell.llm.common import mix, nullable, nullable_arrow, parts_for, texts_of, words_at
 from siftwell.llm.induce import suffix_order
 
 WIDTH = 50
@@ -297,7 +297,7 @@ def hot_anchors(named: DataFrame, limit: int) -> np.ndarray:
     return np.sort(table.column("anchor").to_numpy()).astype(np.uint64)
 
 
-def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: bool, carried: str, hot: np.ndarray) -> DataFrame:
+def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: bool, carried: T.StructType, hot: np.ndarray) -> DataFrame:
     """Rows of id, body, block, rest -> n_bytes, n_removed, n_spans, kept_sha256, spans, kept, rest.
 
     One plan, so the exchange that deals texts into blocks is written once and read three times.
@@ -389,7 +389,8 @@ def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: boo
             spans = on_borders(data, begins, ends) if whole_characters else list(zip(begins, ends))
             kept = cut(data, spans)
             rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans, kept if whole_characters else None))
-        carried_rows = table.column("rest").take(pa.array(block.order))
+        carried_rows = table.column("rest").combine_chunks().take(pa.array(block.order))
+        carried_rows = carried_rows.cast(nullable_arrow(carried_rows.type))
         columns = list(zip(*rows)) or [()] * 6
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         spans = [[{"begin": a, "end": b} for a, b in s] for s in columns[4]]
@@ -414,10 +415,9 @@ def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: boo
         .applyInArrow(contents, "block int, part int, keys binary, pieces binary, lengths binary, first binary, lowest binary")
     )
     answers = sent.groupBy("part").applyInArrow(smallest, "block int, part int, keys binary, ids binary, times binary")
-    schema = (
-        "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"
-        f" spans array<struct<begin: long, end: long>>, kept string, rest {carried}"
-    )
+    span = T.StructType().add("begin", "long").add("end", "long")
+    schema = T.StructType().add("id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    schema = schema.add("kept_sha256", "string").add("spans", T.ArrayType(span)).add("kept", "string").add("rest", nullable(carried))
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(removed, schema)
 
 
@@ -467,7 +467,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     parts, limit = parts_of(docs, width)
     rest = F.struct(F.col("doc_id").cast("long").alias("doc_id"))
     dealt = blocks(docs, rest, parts)
-    found = found_repeats(dealt, parts, width, False, "struct<doc_id: long>", hot_of(dealt, parts, limit))
+    found = found_repeats(dealt, parts, width, False, T.StructType().add("doc_id", "long"), hot_of(dealt, parts, limit))
     return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
@@ -475,15 +475,19 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """All documents and columns, the texts without the repeated bytes and ``n_chars`` counted anew.
 
     Removed spans are drawn in to whole characters, so every text stays valid; a
-    text of which nothing is left stays as an empty one.
+    text of which nothing is left stays as an empty one, and a null text becomes
+    one. A null id counts as the largest; rows of one id do not remove each other's
+    passages, so repeated rows stay as they are. Other columns come back as they
+    were, whatever their names and types. An empty table gives no rows.
     """
     parts, limit = parts_of(docs, width)
     others = [f for f in docs.schema if f.name != "text"]
-    kind = T.StructType(others)
-    rest = F.struct(*[F.col(f"`{f.name}`") for f in others])
+    names = {f.name: f"c{i}" for i, f in enumerate(others)}
+    kind = T.StructType([T.StructField(names[f.name], f.dataType) for f in others])
+    rest = F.struct(*[F.col(f"`{f.name}`").alias(names[f.name]) for f in others])
     dealt = blocks(docs, rest, parts)
-    found = found_repeats(dealt, parts, width, True, kind.simpleString(), hot_of(dealt, parts, limit))
-    columns = {f.name: F.col("rest").getField(f.name) for f in others} | {"text": F.col("kept")}
+    found = found_repeats(dealt, parts, width, True, kind, hot_of(dealt, parts, limit))
+    columns = {f.name: F.col("rest").getField(names[f.name]) for f in others} | {"text": F.col("kept")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
     return found.select(*[columns[c].alias(c) for c in docs.columns])
