@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Mapping, Sequence
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ from siftwell.roles import Roles
 
 DEFAULT_DIM = 768
 
+# Functions that run in tasks travel with them, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double."""
@@ -60,23 +67,77 @@ def embed_text(text: str, dim: int = DEFAULT_DIM) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
-def embedding(c: Column, dim: int = DEFAULT_DIM) -> Column:
-    """:func:`embed_text` over a column; a model can take its place here."""
+Batch = Callable[[list[str]], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Model:
+    """An embedding model of the caller's.
+
+    ``load`` returns a function from a list of texts to one row of ``dim`` numbers
+    per text. It runs where texts are embedded, once per worker process and
+    ``name``, so weights are read there and never travel with a task. Texts come
+    ``batch`` at a time; null texts are not embedded and stay null.
+    """
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for text in texts:
-                if text is None:
-                    out.append(None)
-                    continue
+    name: str
+    dim: int
+    load: Callable[[], Batch]
+    batch: int = 1024
+
+    def column(self, c: Column) -> Column:
+        """The vectors of a text column, as array<float>."""
+        load, name, dim, size = self.load, self.name, self.dim, self.batch
+
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            # A module of its own outlives the task, but not the worker.
+            loaded = sys.modules.setdefault("_loaded_models", ModuleType("_loaded_models")).__dict__
+            for texts in batches:
+                if (name, dim) not in loaded:
+                    loaded[name, dim] = load()
+                given = texts.is_valid().to_numpy(zero_copy_only=False)
+                present = texts.drop_null().to_pylist()
+                rows = [_checked(loaded[name, dim], present[a : a + size], dim) for a in range(0, len(present), size)]
+                flat = np.concatenate(rows).ravel() if rows else np.zeros(0, np.float32)
+                ends = np.concatenate([[0], np.cumsum(given) * dim]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()), mask=pa.array(~given))
+
+        return F.arrow_udf(embed, "array<float>")(c)
+
+    def one(self, text: str, dim: int | None = None) -> list[float]:
+        """The vector of one search string, by the same function."""
+        if dim not in (None, self.dim):
+            raise ValueError(f"the model gives {self.dim} numbers, not {dim}")
+        return _checked(self.load(), [text], self.dim)[0].tolist()
+
+
+def _checked(run: Batch, texts: list[str], dim: int) -> np.ndarray:
+    found = np.asarray(run(texts), dtype=np.float32)
+    if found.shape != (len(texts), dim):
+        raise ValueError(f"the model returned {found.shape} for {len(texts)} texts of {dim} numbers")
+    return found
+
+
+def stand_in(dim: int = DEFAULT_DIM) -> Model:
+    """:func:`embed_text` as a model: for tests, and where no model is at hand."""
+
+    def load() -> Batch:
+        def run(texts: list[str]) -> np.ndarray:
+            out = np.empty((len(texts), dim), np.float32)
+            for row, text in zip(out, texts):
                 seed = int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "little")
                 v = np.random.RandomState(seed).randn(dim).astype(np.float32)
-                out.append(v / np.linalg.norm(v))
-            yield pd.Series(out)
+                row[:] = v / np.linalg.norm(v)
+            return out
+
+        return run
+
+    return Model("stand-in", dim, load)
+
 
-    return embed(c)
+def embedding(c: Column, dim: int = DEFAULT_DIM, model: Model | None = None) -> Column:
+    """Vectors of a text column by the caller's model, else by the stand-in."""
+    return (model or stand_in(dim)).column(c)
 
 
 def row_text(df: DataFrame, fields: Sequence[str], weights: Mapping[str, float]) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from siftwell.functions.vectors import (
+    Model,
     dot,
     embedding,
     embedding_weights,
@@ -60,14 +61,26 @@ def build_index(
 
 
 def index_table(
-    df: DataFrame, roles: Roles, fields: Sequence[str], dim: int, version: str | None = None
+    df: DataFrame,
+    roles: Roles,
+    fields: Sequence[str],
+    dim: int,
+    version: str | None = None,
+    model: Model | None = None,
+    kind: str = "float",
 ) -> DataFrame:
-    """Index of a whole table: weighted row text, embedded; rows without text are left out."""
+    """Index of a whole table: weighted row text, embedded; rows without text are left out.
+
+    ``model`` embeds the texts, the stand-in where none is given; its ``one`` is
+    the function for the query side (``embed``) of the hybrid searches.
+    """
+    if model and model.dim != dim:
+        raise ValueError(f"the model gives {model.dim} numbers, not {dim}")
     text = row_text(df, fields, embedding_weights(roles))
     rows = df.withColumn("_text", text).filter((F.col("_text") != "") & F.col(roles.id).isNotNull())
-    embedded = rows.withColumn("_vector", embedding(F.col("_text"), dim)).drop("_text")
+    embedded = rows.withColumn("_vector", embedding(F.col("_text"), dim, model)).drop("_text")
     data = [c for c in df.columns if c != roles.id]
-    return build_index(embedded, roles.id, "_vector", version, data)
+    return build_index(embedded, roles.id, "_vector", version, data, kind)
 
 
 def save_index(index: DataFrame, path: str, dim: int) -> None:

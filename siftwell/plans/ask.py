@@ -54,6 +54,19 @@ def query_weight(query: str, weight: float = 0.5) -> float:
     return max(weight, SHORT_QUERY_WEIGHT) if short and not conds else weight
 
 
+def both_sides(
+    df: DataFrame, index: DataFrame, text: str, roles: Roles, as_of: Column | str | None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet the query's conditions and time span, and the part of the index that belongs to them."""
+    conds, _ = read_terms(text)
+    allowed = in_span(df, text, roles, as_of).filter(structured(df, conds))
+    near = index.select("id", "embedding")
+    if conds or last_span(text) is not None:
+        ids = allowed.select(F.col(roles.id).cast("string").alias("a_id"))
+        near = near.join(ids, F.col("id") == F.col("a_id"), "left_semi")
+    return allowed, near
+
+
 def hybrid_rows(
     df: DataFrame,
     index: DataFrame,
@@ -74,12 +87,9 @@ def hybrid_rows(
     joined back to the table.
     """
     text = without_counting(query) if asks_for_count(query) else query
-    conds, words = read_terms(text)
-    allowed = in_span(df, text, roles, as_of).filter(structured(df, conds))
+    _, words = read_terms(text)
+    allowed, near = both_sides(df, index, text, roles, as_of)
     id = F.col(roles.id).cast("string")
-    near = index.select("id", "embedding")
-    if conds or last_span(text) is not None:
-        near = near.join(allowed.select(id.alias("a_id")), F.col("id") == F.col("a_id"), "left_semi")
     phrase = " ".join(words)
     keyword = best_matches(allowed, phrase, roles, k, fields) if words else allowed.withColumn("_score", F.lit(1.0))
     found = fusion.hybrid_scores(
@@ -109,6 +119,7 @@ def hybrid_search(
     """(id, _score, _result_type) from the keyword side, the vector side or both.
 
     ``index`` is (id, embedding) with unit vectors; ids are compared as text.
+    Conditions and the time span of the query hold on both sides.
     """
     as_text = F.col(roles.id).cast("string").alias("id")
     if is_structured(query):
@@ -116,6 +127,7 @@ def hybrid_search(
         return found.withColumn("_result_type", F.lit("structured"))
     text = without_counting(query) if asks_for_count(query) else query
     keyword = search(df, text, roles, k, fields, as_of).select(as_text, "_score")
-    near = knn(index.select("id", "embedding"), "id", "embedding", embed(query, dim), k, unit=True)
+    _, near = both_sides(df, index, text, roles, as_of)
+    near = knn(near, "id", "embedding", embed(query, dim), k, unit=True)
     w = weight if weight is not None else query_weight(query)
     return fusion.hybrid(keyword, near, w, k)

@@ -76,8 +76,11 @@ def sql_result(
         schema = rows.schema
         rows = rows if max_rows is None else rows.limit(max_rows)
         path = shared_folder(spark, "sql")
-        rows.write.parquet(path)
-        return SqlResult(True, spark.read.schema(schema).parquet(path), None, tuple(schema.names))
+        # Names may repeat or be such as files refuse, so columns are written by number.
+        plain = rows.toDF(*[f"c{i}" for i in range(len(schema))])
+        plain.write.parquet(path)
+        kept = spark.read.schema(plain.schema).parquet(path).toDF(*schema.names)
+        return SqlResult(True, kept, None, tuple(schema.names))
     except (PySparkException, ValueError) as error:
         return SqlResult(False, spark.createDataFrame([], schema), str(error), tuple(schema.names))
 
@@ -198,7 +201,7 @@ def having(entities: DataFrame, key: str, facts: DataFrame, fact_key: str) -> Da
 
 
 def latest(facts: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Latest row of every key: a running maximum, never a sort of the key's rows."""
+    """Latest row of every key: a running maximum; as the kept row is a struct, Spark sorts each task's rows by key."""
     row = F.struct(*columns)
     return facts.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("r")).select(key, "r.*")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,11 @@ from siftwell.operators.columns import LOG_TIME_PARTS, is_count_column, is_time_
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?)?$"
 SLASHED_TIME = r"^(\d{2})/(\d{2})/(\d{4})(?: (\d{2}):(\d{2}):(\d{2}))?$"
 
+#: What an absent value is read as, before it becomes null; an empty text in quotes stays a text.
+ABSENT = "\0null\0"
+#: How CSV files are read: a header, quotes doubled.
+CSV = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "nullValue": ABSENT}
+
 
 def as_strings(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
@@ -36,22 +42,13 @@ def read_csv(
     reads each file in one task; files of ``write_csv`` hold breaks as escapes,
     stay splittable and are read with ``escaped_breaks``.
     """
-    settings = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "multiLine": multi_line, **options}
+    settings = CSV | {"multiLine": multi_line} | options
     wanted = spark.createDataFrame([], schema).schema
     head = spark.read.options(**settings).csv(path).columns
-    known = {f.name: f.dataType for f in wanted}
-    if not set(head) & set(known):
+    if not set(head) & set(wanted.names):
         return spark.read.schema(wanted).options(**settings).csv(path)
-    found = T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in head])
-    rows = spark.read.schema(found).options(**settings, enforceSchema=False).csv(path)
-
-    def value(f: T.StructField) -> Column:
-        if f.name not in head:
-            return F.lit(None).cast(f.dataType).alias(f.name)
-        c = F.col(f"`{f.name}`")
-        return (unescaped(c) if escaped_breaks and isinstance(f.dataType, T.StringType) else c).alias(f.name)
-
-    return rows.select(*[value(f) for f in wanted])
+    rows = spark.read.schema(in_header_order(head, wanted)).options(**settings, enforceSchema=False).csv(path)
+    return by_header(rows, head, wanted, escaped_breaks)
 
 
 def escaped(c: Column) -> Column:
@@ -141,16 +138,51 @@ def fetch_rows(df: DataFrame, max_rows: int | None = None) -> Iterator[Row]:
 
 
 def stream_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int = 1
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    files_per_batch: int = 1,
+    *,
+    escaped_breaks: bool = False,
+    **options,
 ) -> DataFrame:
-    """CSV files as they arrive, a bounded number per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(path)
+    """CSV files as they arrive, a bounded number per micro-batch.
+
+    Columns are found by the header of the files there at the start, as
+    :func:`read_csv` does; a later file with another header fails the batch rather
+    than mix up columns. In an empty folder the schema itself is taken for the header.
+    """
+    settings = CSV | options
+    wanted = spark.createDataFrame([], schema).schema
+    try:
+        head = spark.read.options(**settings).csv(path).columns
+    except AnalysisException as error:
+        if error.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
+        head = wanted.names
+    if not set(head) & set(wanted.names):
+        head = wanted.names
+    rows = spark.readStream.schema(in_header_order(head, wanted)).options(
+        **settings, enforceSchema=False, maxFilesPerTrigger=files_per_batch
     )
+    return by_header(rows.csv(path), head, wanted, escaped_breaks)
+
+
+def in_header_order(head: Sequence[str], wanted: T.StructType) -> T.StructType:
+    known = {f.name: f.dataType for f in wanted}
+    return T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in head])
+
+
+def by_header(rows: DataFrame, head: Sequence[str], wanted: T.StructType, escaped_breaks: bool) -> DataFrame:
+    """The wanted columns in their order; those the header lacks are null."""
+
+    def value(f: T.StructField) -> Column:
+        if f.name not in head:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        c = F.col(f"`{f.name}`")
+        return (unescaped(c) if escaped_breaks and isinstance(f.dataType, T.StringType) else c).alias(f.name)
+
+    return rows.select(*[value(f) for f in wanted])
 
 
 def log_time(c: Column) -> Column:

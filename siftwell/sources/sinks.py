@@ -19,7 +19,8 @@ def write_csv(df: DataFrame, path: str, include_metadata: bool = False, *, escap
     """CSV with header, export column order, nested values as JSON.
 
     Line breaks in texts are written as escapes, so that a row is a line and files
-    can be split; ``read_csv(..., escaped_breaks=True)`` turns them back.
+    can be split; ``read_csv(..., escaped_breaks=True)`` turns them back. Blanks around
+    a text stay; an empty text is written as two quotes, a null as nothing.
     """
     rows = csv_columns(df, include_metadata)
     if escape_breaks:
@@ -30,6 +31,7 @@ def write_csv(df: DataFrame, path: str, include_metadata: bool = False, *, escap
         .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
-        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

@@ -54,7 +54,9 @@ def stream_upsert(
             F.col(version).cast("long").alias("version"),
         )
         newest = rows.groupBy("id").agg(
-            F.max_by("embedding", "version").alias("embedding"), F.max("version").alias("version")
+            # Of equal versions the hash decides, so that a repeated batch chooses alike.
+            F.max_by("embedding", F.struct("version", F.xxhash64("embedding"))).alias("embedding"),
+            F.max("version").alias("version"),
         )
         with_unit(newest, "embedding").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

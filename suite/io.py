@@ -85,12 +85,38 @@ def csv_sink(t):
     return scans.read_csv(t.spark, path, scans.as_strings(csv_columns(rows).schema), escaped_breaks=True)
 
 
-@case("SELECT doc_id, text, lang, source, n_chars FROM documents")
+EDGES = """SELECT doc_id, text, lang, source, n_chars,
+    CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' || lang || chr(9) WHEN 3 THEN chr(10) || source ELSE ' ' END AS note
+  FROM documents"""
+
+
+def edges(t):
+    """Documents with a note that is empty, null, or has blanks or a break at its ends."""
+    note = F.expr("""CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' || lang || chr(9)
+        WHEN 3 THEN chr(10) || source ELSE ' ' END""")
+    return t.documents.withColumn("note", note)
+
+
+EDGES_READ = "note string, text string, n_chars long, source string, lang string, doc_id long"
+
+
+@case(EDGES)
 def csv_documents(t):
-    """Texts with line breaks, quotes and backslashes there and back; the reader's columns stand in another order."""
+    """Texts with breaks, quotes, backslashes and blanks there and back; the reader's columns stand in another order."""
     path = shared_folder(t.spark, "csv")
-    sinks.write_csv(t.documents, path)
-    return scans.read_csv(t.spark, path, "text string, n_chars long, source string, lang string, doc_id long", escaped_breaks=True)
+    sinks.write_csv(edges(t), path)
+    return scans.read_csv(t.spark, path, EDGES_READ, escaped_breaks=True)
+
+
+@case(EDGES)
+def stream_csv_documents(t):
+    """The same files as a stream, whose reader also names its columns in another order."""
+    path, out, state = (shared_folder(t.spark, x) for x in ("csv", "streamed", "stream-state"))
+    sinks.write_csv(edges(t).repartition(3, "doc_id"), path)
+    arriving = scans.stream_csv(t.spark, path, EDGES_READ, escaped_breaks=True)
+    run = arriving.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return t.spark.read.schema(arriving.schema).parquet(out)
 
 
 @case("SELECT event_id, event_type, user_id, value, props FROM events")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftwell.operators import quality as E
+from siftwell.operators.quantiles import exact_quantiles
 from suite.registry import case
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
@@ -121,3 +122,22 @@ def rule_violations(t):
         "returned means shipped": (F.col("l_returnflag") != "R") | (F.col("l_linestatus") == "F"),
     }
     return E.violations(t.lineitem, rules)
+
+
+@case("""WITH v AS (SELECT CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE WHEN l_linenumber = 6 THEN 'Infinity'::DOUBLE
+      WHEN l_quantity < 3 THEN '-Infinity'::DOUBLE WHEN l_linenumber = 5 THEN NULL WHEN l_quantity = 3 THEN -0.0
+      ELSE l_extendedprice * power(10, l_linenumber * 4) END AS x, l_discount AS y FROM lineitem),
+    q AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS prob)
+  SELECT 'x' AS "column", prob::DOUBLE AS prob, CASE prob WHEN 0 THEN (SELECT min(x) FROM v) WHEN 1 THEN (SELECT max(x) FROM v)
+      WHEN 0.25 THEN (SELECT quantile_cont(x, 0.25) FROM v) WHEN 0.5 THEN (SELECT quantile_cont(x, 0.5) FROM v)
+      ELSE (SELECT quantile_cont(x, 0.75) FROM v) END AS value FROM q
+  UNION ALL SELECT 'y', prob::DOUBLE, CASE prob WHEN 0 THEN (SELECT min(y) FROM v) WHEN 1 THEN (SELECT max(y) FROM v)
+      WHEN 0.25 THEN (SELECT quantile_cont(y, 0.25) FROM v) WHEN 0.5 THEN (SELECT quantile_cont(y, 0.5) FROM v)
+      ELSE (SELECT quantile_cont(y, 0.75) FROM v) END FROM q""")
+def quantiles_of_specials(t):
+    """Exact quantiles of a column with NaN, infinities, signed zeros and a tail over many orders of magnitude."""
+    x = F.expr("""CASE WHEN l_linenumber = 7 THEN double('NaN') WHEN l_linenumber = 6 THEN double('Infinity')
+        WHEN l_quantity < 3 THEN double('-Infinity') WHEN l_linenumber = 5 THEN NULL WHEN l_quantity = 3 THEN -0.0D
+        ELSE l_extendedprice * power(10, l_linenumber * 4) END""")
+    rows = t.lineitem.select(x.alias("x"), F.col("l_discount").alias("y"))
+    return exact_quantiles(rows, ["x", "y"], [0.0, 0.25, 0.5, 0.75, 1.0])

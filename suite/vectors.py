@@ -1,5 +1,9 @@
 """Embedding index, nearest neighbours and fusion."""
 
+import re
+import string
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from siftwell.functions import vectors as V
@@ -268,3 +272,48 @@ def mock_embedding(t):
         F.round(V.norm(F.col("e")), 4).alias("norm"),
         F.round(F.get("e", F.lit(0)).cast("double"), 5).alias("first"),
     )
+
+
+def hashed_counts():
+    """A small model of our own: how often tokens fall into each of 64 cells, by first letter and length."""
+
+    def run(texts):
+        out = np.zeros((len(texts), DIM))
+        for row, text in zip(out, texts):
+            words = re.findall("[a-z]+", text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+            np.add.at(row, [(ord(w[0]) + 31 * len(w)) % DIM for w in words], 1)
+        return out
+
+    return run
+
+
+COUNTS = V.Model("hashed counts", DIM, hashed_counts)
+ASKED = "the report of a small harbour in the north"
+SQL_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')"
+SQL_CELLS = f"""w AS (SELECT doc_id, unnest({SQL_WORDS.format("'text: ' || text")}) AS word FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, (ascii(word) + 31 * length(word)) % 64 AS cell, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
+    u AS (SELECT doc_id, cell, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM c)"""
+
+
+def counted_index(t):
+    return I.index_table(t.documents, DOCS, ["text"], DIM, model=COUNTS, kind="double")
+
+
+@case(f"""WITH {SQL_CELLS} SELECT doc_id::VARCHAR AS id, 64::BIGINT AS dim, round(sum(x * (cell + 1)), 5) AS weighted,
+    round(max(x), 5) AS largest FROM u GROUP BY doc_id""")
+def index_from_model(t):
+    """An index of all documents, embedded by a function of the caller's."""
+    weighted = V.dot(F.col("embedding"), F.sequence(F.lit(1), F.lit(DIM)))
+    largest = F.round(F.array_max("embedding"), 5).alias("largest")
+    return counted_index(t).select("id", F.size("embedding").cast("long").alias("dim"), F.round(weighted, 5).alias("weighted"), largest)
+
+
+@case(f"""WITH {SQL_CELLS}, a AS (SELECT unnest({SQL_WORDS.format(f"'{ASKED}'")}) AS word),
+    q AS (SELECT (ascii(word) + 31 * length(word)) % 64 AS cell, count(*)::DOUBLE AS n FROM a GROUP BY ALL),
+    v AS (SELECT cell, n / sqrt(sum(n * n) OVER ()) AS y FROM q)
+  SELECT doc_id::VARCHAR AS id, round(sum(x * y), 6) AS score FROM u JOIN v USING (cell) GROUP BY doc_id
+  ORDER BY round(sum(x * y), 9) DESC, id LIMIT {K}""")
+def knn_from_model(t):
+    """The search string goes through the same function as the index."""
+    near = I.knn(counted_index(t).select("id", "embedding"), "id", "embedding", COUNTS.one(ASKED, DIM), K, unit=True)
+    return near.select("id", F.round("_score", 6).alias("score"))
