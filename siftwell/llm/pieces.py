@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -188,43 +189,52 @@ class PieceEncoder:
         return [MARK + x for x in marked[1:].split(MARK)]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        found = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         if self.original is not None:
             self._verify(words, found)
-        back = self.tokenizer.decode_batch([x.tolist() for x in found], skip_special_tokens=False)
+        back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
         self.lossy.update(w for w, x in zip(words, back) if x != w.replace(MARK, " "))
-        return [x.tobytes() for x in found]
+        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = [0, *accumulate(4 * len(x) for x in found)]
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _verify(self, words: list[str], found: list[np.ndarray]) -> None:
+    def _verify(self, words: list[str], found: list[list[int]]) -> None:
         """The original library marks blanks itself, so it gets the words as they stood in the text."""
         if not self.model.dummy_prefix or self.model.remove_blanks or self.normalizer is not None:
             return
-        plain = [w[1:].replace(MARK, " ") for w in words if w[0] == MARK and w != MARK]
-        mine = [x for w, x in zip(words, found) if w[0] == MARK and w != MARK]
-        for word, ids, own in zip(plain, self.original.encode(plain, num_threads=1), mine):
-            if ids != own.tolist():
-                raise ValueError(f"{word!r}: {own.tolist()} are not the ids {ids} of the original library")
+        marked = [i for i, w in enumerate(words) if w[0] == MARK and w != MARK]
+        plain = [words[i][1:].replace(MARK, " ") for i in marked]
+        wanted, own = self.original.encode(plain, num_threads=1), [found[i] for i in marked]
+        if wanted != own:
+            word, ids, mine = next(x for x in zip(plain, wanted, own) if x[1] != x[2])
+            raise ValueError(f"{word!r}: {mine} are not the ids {ids} of the original library")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit bytes."""
+        return self.encode_checked(texts)[0]
+
+    def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of every text, and whether decoding them gives its normalised form back.
+
+        Words are decoded as they are met, so a text is faithful if it has no word
+        that decoding changed.
+        """
         split = [self.words(x) for x in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         known.update((w, before[w]) for w in new if w in before)
         new = [w for w in new if w not in known]
         for a in range(0, len(new), BATCH):
             known.update(zip(new[a : a + BATCH], self._ids(new[a : a + BATCH])))
-        out = [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        faithful = [not self.lossy or self.lossy.isdisjoint(words) for words in split]
         for word in new:
             if len(word) > 64:
                 del known[word]
-        return out
-
-    def faithful(self, text: str) -> bool:
-        """Whether decoding an encoded text gives its normalised form back: word by word, as they were decoded."""
-        return not self.lossy or self.lossy.isdisjoint(self.words(text))
+                self.lossy.discard(word)
+        return out, faithful
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids, without the blank that encoding put in front."""
@@ -253,7 +263,7 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 2, verify: bool
             texts = [x.decode() for x in texts_of(batch.column(1))]
             for start in range(0, len(texts), 256):
                 some = texts[start : start + 256]
-                found = encoder.encode(some)
+                found, faithful = encoder.encode_checked(some)
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column(0).slice(start, len(some)),
@@ -261,7 +271,7 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 2, verify: bool
                         "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(x) for x in found], pa.int64()),
                         "n_unknown": pa.array([int((np.frombuffer(x, "<u4") == unknown).sum()) for x in found], pa.int64()),
-                        "round_trip": pa.array([encoder.faithful(x) for x in some]),
+                        "round_trip": pa.array(faithful, pa.bool_()),
                     }
                 )
 
