@@ -180,23 +180,26 @@ class Inducer:
 
 
 def refined(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Ranks (places of the first of equals) after ``active`` items, tied so far, are told apart by ``key``."""
-    held = rank[active]
+    """Tells ``active`` items, tied so far, apart by ``key``: ranks (places of the first of equals) change in place.
+
+    Returns the items that are still tied. Ties are always given whole.
+    """
+    held = rank[active].astype(np.int64)
     if not held.any():
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
     elif key.dtype == np.uint64:
         by = np.lexsort((key, held))
     else:
         by = np.argsort(held * np.int64(len(rank) + 1) + key)
-    items, keys = active[by], key[by]
-    old = rank[items]
+    items, keys, old = active[by], key[by], held[by]
     place = np.arange(len(items))
-    group = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), place, 0))
-    differs = np.concatenate(([True], (old[1:] != old[:-1]) | (keys[1:] != keys[:-1])))
+    new_group = np.concatenate(([True], old[1:] != old[:-1]))
+    group = np.maximum.accumulate(np.where(new_group, place, 0))
+    differs = new_group.copy()
+    differs[1:] |= keys[1:] != keys[:-1]
     first = np.maximum.accumulate(np.where(differs, place, 0))
-    out = rank.copy()
-    out[items] = old + first - group
-    return out
+    rank[items] = old + first - group
+    return items[~differs | ~np.append(differs[1:], True)]
 
 
 def tied(rank: np.ndarray) -> np.ndarray:
@@ -207,45 +210,46 @@ def named(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ranks of the substrings from each start to the next, both ends included.
 
     Where one substring begins another, the longer one is smaller: there the text
-    still falls. Symbols are taken several at a time, and only while ties remain.
+    still falls. As many symbols are taken at a time as a word has room for, and
+    only while ties remain.
     """
-    wide = text.dtype.itemsize
-    per = 8 // wide
+    bits = (int(text.max()) + 1).bit_length()
+    per = 64 // bits
     lengths = np.diff(starts, append=starts[-1]) + 1
     padded = np.concatenate((text, np.zeros(per, text.dtype)))
-    top = np.uint64((1 << (8 * wide)) - 1)
+    top = np.uint64((1 << bits) - 1)
 
     def word(items: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(items), np.uint64)
-        for j in range(k * per, (k + 1) * per):
-            inside = j < lengths[items]
-            symbol = np.where(inside, padded[np.minimum(starts[items] + j, len(text))].astype(np.uint64), top)
-            out = (out << np.uint64(8 * wide)) | symbol
+        at, left = starts[items] + k * per, lengths[items] - k * per
+        for j in range(per):
+            symbol = padded[np.minimum(at + j, len(text))].astype(np.uint64)
+            symbol[left <= j] = top
+            out <<= np.uint64(bits)
+            out |= symbol
         return out
 
-    everyone = np.arange(len(starts))
-    rank = refined(np.zeros(len(starts), np.int64), everyone, word(everyone, 0))
-    k = 1
-    while True:
-        active = tied(rank)
+    rank = np.zeros(len(starts), place_type(len(starts)))
+    active, k = np.arange(len(starts)), 0
+    while len(active):
+        active = refined(rank, active, word(active, k))
+        k += 1
         # One that ends with the last word still has to meet longer ones that go on.
         active = active[lengths[active] >= k * per]
-        if not len(active):
-            return rank
-        rank = refined(rank, active, word(active, k))
-        k += 1
+    return rank
 
 
 def doubled(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a string of ranks and the number of names neighbours share, all in memory."""
-    rank, n, step = names.astype(np.int64), len(names), 1
-    kind = place_type(n)
-    levels = [rank.astype(kind)]
-    while len(active := tied(rank)):
+    n, step = len(names), 1
+    rank = names.astype(place_type(n))
+    levels = [rank.copy()]
+    active = tied(rank)
+    while len(active):
         ahead = np.minimum(active + step, n - 1)
-        key = np.where(active + step < n, rank[ahead], -1)
-        rank = refined(rank, active, key)
-        levels.append(rank.astype(kind))
+        key = np.where(active + step < n, rank[ahead].astype(np.int64), -1)
+        active = refined(rank, active, key)
+        levels.append(rank.copy())
         step *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)

@@ -33,8 +33,8 @@ WIDTH = 50
 ANCHOR = 24
 #: Text per block and per shard; more than ``MOST_PARTS`` parts make them larger, up to eight times.
 PART_BYTES, MOST_PARTS = 6 << 20, 2000
-#: Longer texts are cut into pieces of this many strings when anchors are sought.
-PIECE = 1 << 20
+#: Anchors are sought in so many strings at a time: longer texts are cut, shorter ones taken together.
+PIECE = 1 << 15
 #: Odd multipliers of the three words of an anchor.
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 LAST = np.iinfo(np.int64).max
@@ -54,7 +54,9 @@ def hashes(data: bytes) -> np.ndarray:
     low = words[:m] * SPREAD[0]
     low += words[8 : 8 + m] * SPREAD[1]
     low += words[16 : 16 + m] * SPREAD[2]
-    return mix(low) >> np.uint64(1)
+    low = mix(low)
+    low >>= np.uint64(1)
+    return low
 
 
 def least(values: np.ndarray, reach: int) -> np.ndarray:
@@ -76,28 +78,61 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[place] == values
 
 
-def anchors(data: bytes, width: int = WIDTH, hot: np.ndarray = NOT_HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of neighbouring strings with one anchor: anchor, first string, number of strings."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    strings = len(data) - width + 1
-    for begin in range(0, max(strings, 0), PIECE):
-        n = min(PIECE, strings - begin)
-        part = data[begin : begin + n + width - 1]
-        every = hashes(part)
-        low = least(every, width - ANCHOR + 1)
-        first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-        if among(low[first], hot).any():
-            every[among(every, hot)] |= HOT
-            low = least(every, width - ANCHOR + 1)
-            # Stretches of hot anchors also end where the text says so, or both borders of a short passage would multiply.
-            ends = (low[1:] != low[:-1]) | ((low[1:] >= HOT) & (every[1 : len(low)] & np.uint64(3) == 0))
-            first = np.concatenate(([0], np.flatnonzero(ends) + 1))
-        found.append((low[first], first + begin, np.diff(first, append=n)))
+def anchors_of(texts: list[bytes], width: int = WIDTH, hot: np.ndarray = NOT_HOT) -> tuple[np.ndarray, ...]:
+    """Stretches of neighbouring strings with one anchor: number of the text, anchor, first string, number of strings."""
+    found: list[tuple[np.ndarray, ...]] = []
+    group: list[tuple[int, int, int]] = []
+    held = 0
+    for i, data in enumerate(texts):
+        strings = len(data) - width + 1
+        for begin in range(0, strings, PIECE):
+            n = min(PIECE, strings - begin)
+            if held + n > PIECE and group:
+                found.append(_anchors(texts, group, width, hot))
+                group, held = [], 0
+            group.append((i, begin, n))
+            held += n + width - 1
+    if group:
+        found.append(_anchors(texts, group, width, hot))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none, none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _anchors(texts: list[bytes], group: list[tuple[int, int, int]], width: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same for pieces (text, first string, number of strings), laid end to end so that short texts share the work."""
+    document, begin, strings = np.array(group, np.int64).T
+    every = hashes(b"".join(texts[i][a : a + n + width - 1] for i, a, n in group))
+    base = np.cumsum(strings + width - 1) - (strings + width - 1)
+    low = least(every, width - ANCHOR + 1)
+
+    def cut_at(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends[base] = True
+        at = np.flatnonzero(ends)
+        piece = np.searchsorted(base, at, side="right") - 1
+        own = at - base[piece]
+        # Strings that run into the next piece are none.
+        real = own < strings[piece]
+        return at[real], piece[real], own[real]
+
+    changes = np.concatenate(([True], low[1:] != low[:-1]))
+    at, piece, own = cut_at(changes)
+    if among(low[at], hot).any():
+        every[among(every, hot)] |= HOT
+        low = least(every, width - ANCHOR + 1)
+        # Stretches of hot anchors also end where the text says so, or both borders of a short passage would multiply.
+        ends = (low[1:] != low[:-1]) | ((low[1:] >= HOT) & (every[1 : len(low)] & np.uint64(3) == 0))
+        at, piece, own = cut_at(np.concatenate(([True], ends)))
+    until = np.where(np.append(piece[1:] == piece[:-1], False), np.append(own[1:], 0), strings[piece])
+    return document[piece], low[at], own + begin[piece], until - own
+
+
+def anchors(data: bytes, width: int = WIDTH, hot: np.ndarray = NOT_HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of one text: anchor, first string, number of strings."""
+    return anchors_of([data], width, hot)[1:]
+
+
 def short(key: np.ndarray, parts: int) -> np.ndarray:
     """Part in the upper, 32 bits of the anchor in the lower half; parts grow with the data and so do the bits."""
     return ((key >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
@@ -155,32 +190,25 @@ def stretches(block: Block, shared: np.ndarray, parts: int, width: int, hot: np.
     contents: dict[int, dict[bytes, int]] = {}
     first: dict[int, list[int]] = {}
     lowest: dict[int, bytearray] = {}
-    columns: list[list] = [[], [], [], [], []]
-    for i, data in enumerate(block.texts):
-        key, start, strings = anchors(data, width, hot)
-        wanted = short(key, parts)
-        hit = np.flatnonzero(among(wanted, shared))
-        if not len(hit):
-            continue
-        part = (wanted[hit] >> np.uint64(32)).astype(np.int64)
-        numbers = []
-        id = int(block.ids[i])
-        low = (wanted[hit] & np.uint64(0xFF)).tolist()
-        for p, a, n, b in zip(part.tolist(), start[hit].tolist(), strings[hit].tolist(), low):
-            known = contents.get(p)
-            if known is None:
-                known, first[p], lowest[p] = contents.setdefault(p, {}), [], bytearray()
-            piece = data[a : a + n + width - 1]
-            number = known.get(piece)
-            if number is None:
-                number = known[piece] = len(known)
-                first[p].append(id)
-                lowest[p].append(b)
-            numbers.append(number)
-        for column, values in zip(columns, (np.full(len(hit), i), start[hit], strings[hit], part, numbers)):
-            column.append(np.asarray(values, np.int64))
-    joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-    return Stretches(*joined, contents, first, lowest)
+    document, key, start, strings = anchors_of(block.texts, width, hot)
+    wanted = short(key, parts)
+    hit = among(wanted, shared)
+    document, wanted, start, strings = (x[hit] for x in (document, wanted, start, strings))
+    part = (wanted >> np.uint64(32)).astype(np.int64)
+    low = (wanted & np.uint64(0xFF)).tolist()
+    numbers = []
+    for i, p, a, n, b in zip(document.tolist(), part.tolist(), start.tolist(), strings.tolist(), low):
+        known = contents.get(p)
+        if known is None:
+            known, first[p], lowest[p] = contents.setdefault(p, {}), [], bytearray()
+        piece = block.texts[i][a : a + n + width - 1]
+        number = known.get(piece)
+        if number is None:
+            number = known[piece] = len(known)
+            first[p].append(int(block.ids[i]))
+            lowest[p].append(b)
+        numbers.append(number)
+    return Stretches(document, start, strings, part, np.array(numbers, np.int64), contents, first, lowest)
 
 
 def earliest(pieces: list[bytes], first: np.ndarray, width: int, **memory) -> list[np.ndarray]:
@@ -305,9 +333,12 @@ def found_repeats(docs: DataFrame, parts: int, width: int, whole_characters: boo
 
     def keys_of(table: pa.Table) -> pa.Table:
         block = block_of(table)
-        keys = [np.unique(short(anchors(x, width, hot)[0], parts)) for x in block.texts]
+        document, key, _, _ = anchors_of(block.texts, width, hot)
+        key = short(key, parts)
         # Documents that repeat an id count as one: they never remove each other's strings.
-        by_id = [np.unique(np.concatenate([keys[i] for i in g])) for g in same_ids(block.ids)]
+        groups = same_ids(block.ids)
+        heads = np.searchsorted(document, [g.start for g in groups] + [len(block.texts)])
+        by_id = [np.unique(key[a:b]) for a, b in zip(heads, heads[1:])]
         every = np.concatenate(by_id) if by_id else np.zeros(0, np.uint64)
         unique, times = np.unique(every, return_counts=True)
         rows = {"part": [], "keys": [], "twice": []}

@@ -121,3 +121,19 @@ def test_turns_agree_with_one_sort(monkeypatch):
     turned = suffix.smallest_ids([row], 50)[0]
     assert all((a == b).all() for a, b in zip(whole, turned))
     assert len(sorts) > 3 and max(sorts[1:]) < sorts[0] // 3
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 700])
+@pytest.mark.parametrize("width", [50, 100])
+def test_anchors_of_many_texts_are_those_of_each(monkeypatch, piece, width):
+    monkeypatch.setattr(suffix, "PIECE", piece)
+    texts = [t.encode() for _, t in footed(60)] + [b"", b"x" * (width - 1), b"y" * width, b"z" * 5000]
+    hot = np.sort(suffix.hashes(texts[0][150:270])[:40])
+    for chosen in (suffix.NOT_HOT, hot):
+        document, key, start, strings = suffix.anchors_of(texts, width, chosen)
+        for i, data in enumerate(texts):
+            own = document == i
+            for found, alone in zip((key[own], start[own], strings[own]), suffix.anchors(data, width, chosen)):
+                assert found.tolist() == alone.tolist()
+            # Every string of the text lies in one stretch.
+            assert sorted(p for a, n in zip(start[own], strings[own]) for p in range(a, a + n)) == list(range(max(0, len(data) - width + 1)))
