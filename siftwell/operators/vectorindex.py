@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from siftwell.functions.vectors import (
     Model,
@@ -22,12 +19,12 @@ from siftwell.functions.vectors import (
     row_text,
     with_unit,
 )
+from siftwell.operators.nearest import as_matrix, best_of, block_of, near_by_lots
 from siftwell.roles import Roles
 
 VERSION = 1
 BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 32 << 20
-SCORES_AT_ONCE = 4_000_000
 
 
 def build_index(
@@ -158,38 +155,6 @@ def knn(
     )
 
 
-def _kernel(k: int):
-    """Best k items of a block for each query; nested functions ship by value."""
-
-    def vectors(column: pa.Array) -> np.ndarray:
-        values = np.asarray(column.flatten(), dtype=np.float64)
-        return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, size, out=m.copy(), where=size > 0)
-
-    def top(query_ids: pa.Array, queries: np.ndarray, ids: pa.Array, items: np.ndarray) -> list[pa.Table]:
-        n, out = len(ids), []
-        id_rank = np.argsort(np.argsort(np.asarray(ids.to_pylist()), kind="stable"))
-        right = unit(items).T
-        step = max(1, SCORES_AT_ONCE // n)
-        for start in range(0, len(queries), step):
-            scores = unit(queries[start : start + step]) @ right
-            # All ties of the k-th score compete; the id decides between them.
-            edge = np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
-            q, i = np.nonzero(scores >= edge)
-            by = np.lexsort((id_rank[i], -scores[q, i], q))
-            q, i = q[by], i[by]
-            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
-            q, i = q[kept], i[kept]
-            columns = [query_ids.take(pa.array(q + start)), ids.take(pa.array(i)), pa.array(scores[q, i])]
-            out.append(pa.table(columns, names=["query_id", "id", "_score"]))
-        return out
-
-    return vectors, top
-
-
 def knn_batch(
     items: DataFrame,
     queries: DataFrame,
@@ -201,57 +166,34 @@ def knn_batch(
     """Exact ``k`` nearest items for every query, both sides (id, embedding).
 
     A query set below ``broadcast_bytes`` goes to every task and the items are
-    never shuffled. A larger one is cut into blocks that meet blocks of items;
-    the items then move once per block of queries, not once per query. Either
-    way only the best k per block leave a task. Ids of items are unique, as
-    :func:`build_index` leaves them.
+    never shuffled. For a larger one the items are dealt to centres and a query
+    visits only lots that may hold nearer ones (:func:`nearest.near_by_lots`);
+    ``block_bytes`` is the size of a lot. Either way only the best k per block
+    leave a task. Ids of items are unique, as :func:`build_index` leaves them. A
+    vector with nulls or numbers that are not finite counts as a zero vector,
+    whose similarity is 0.
     """
     vector = F.col("embedding").cast("array<float>").alias("embedding")
     filled = F.col("id").isNotNull() & F.col("embedding").isNotNull()
     items = items.filter(filled).select("id", vector)
     queries = queries.filter(filled).select(F.col("id").alias("query_id"), vector)
     id_kind, query_kind = items.schema["id"].dataType, queries.schema["query_id"].dataType
-    vectors, top = _kernel(k)
     schema = f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, _score double"
 
-    size = queries.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.size("embedding") * 4 + 8), F.lit(0)).alias("bytes"),
-    ).first()
+    size = queries.agg(F.coalesce(F.sum(F.size("embedding") * 4 + 8), F.lit(0)).alias("bytes")).first()
     if size["bytes"] <= broadcast_bytes:
         held = queries.toArrow().combine_chunks()
         query_ids = held["query_id"].combine_chunks()
-        matrix = vectors(held["embedding"].combine_chunks())
+        matrix = as_matrix(held["embedding"].combine_chunks())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(query_ids):
-                    for found in top(query_ids, matrix, batch["id"], vectors(batch["embedding"])):
-                        yield from found.to_batches()
+                    yield from best_of(query_ids, matrix, block_of(batch["id"], as_matrix(batch["embedding"]), k), k)
 
         near = items.mapInArrow(scan, schema)
     else:
-        q_blocks = max(1, math.ceil(size["bytes"] / block_bytes))
-        i_blocks = max(1, math.ceil(items.count() * (size["bytes"] / size["n"]) / block_bytes))
-        kinds = {"query_id": to_arrow_type(query_kind), "id": to_arrow_type(id_kind), "_score": pa.float64()}
-        nothing = pa.schema(kinds.items()).empty_table()
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return nothing
-            query_ids, ids = left["query_id"].combine_chunks(), right["id"].combine_chunks()
-            asked, known = left["embedding"].combine_chunks(), right["embedding"].combine_chunks()
-            return pa.concat_tables(top(query_ids, vectors(asked), ids, vectors(known)))
-
-        def block(key: str, n: int) -> Column:
-            return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-        def every(n: int) -> Column:
-            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-        left = queries.select("*", block("query_id", q_blocks).alias("qb"), every(i_blocks).alias("ib"))
-        right = items.select("*", block("id", i_blocks).alias("ib"), every(q_blocks).alias("qb"))
-        near = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(meet, schema)
+        near, _ = near_by_lots(items, queries, k, block_bytes)
     order = W.partitionBy("query_id").orderBy(F.desc("_score"), F.asc("id"))
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -11,6 +11,7 @@ from siftwell import Roles
 from siftwell.functions import vectors as V
 from siftwell.operators import quality, textjobs
 from siftwell.operators import vectorindex as I
+from siftwell.operators.nearest import near_by_lots
 from siftwell.operators.quantiles import exact_quantiles
 from siftwell.plans import ask
 from siftwell.plans import relational as R
@@ -113,6 +114,39 @@ def test_knn_batch_both_ways(spark, broadcast_bytes):
         assert got[got.query_id == q].sort_values("rank").id.tolist() == want
 
 
+def test_lots_visited_are_few_and_hold_all_neighbours(spark):
+    """Clustered vectors, a third of them equal, zero vectors and ones with no number; half of the queries are items."""
+    rng = np.random.RandomState(9)
+    items = np.concatenate([rng.randn(1, 12) + 0.05 * rng.randn(100, 12) for _ in range(20)]).astype("float32")
+    items = np.concatenate([items, np.repeat(items[:1], 1000, axis=0), np.zeros((30, 12), "float32")])
+    items[5] = np.nan
+    queries = np.concatenate([items[::20], rng.randn(40, 12).astype("float32"), np.zeros((1, 12), "float32"), -items[:3]])
+    as_rows = lambda m: [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    items_table = spark.createDataFrame(as_rows(items), "id long, embedding array<float>").repartition(7)
+    queries_table = spark.createDataFrame(as_rows(queries), "query_id long, embedding array<float>").repartition(3)
+    found, visits = near_by_lots(items_table, queries_table, 5, 5000)
+    best = {}
+    for r in found.collect():
+        best.setdefault(r.query_id, []).append((-r._score, r.id))
+    unit = lambda m: m / np.maximum(np.linalg.norm(np.nan_to_num(m), axis=1, keepdims=True), 1e-30)
+    scores = np.nan_to_num(unit(queries.astype(float))) @ np.nan_to_num(unit(items.astype(float))).T
+    for q in range(len(queries)):
+        want = sorted(range(len(items)), key=lambda i: (-round(scores[q, i], 12), i))[:5]
+        assert [i for _, i in sorted((round(s, 12), i) for s, i in best[q])[:5]] == want, q
+    own = visits.filter(f"query_id < {len(items[::20])}")
+    lots = visits.select("centre", "lot").distinct().count()
+    assert own.count() == own.distinct().count() < 0.4 * lots * len(items[::20])
+
+
+def test_items_are_not_copied_for_lots(spark):
+    df = spark.range(500).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).cast("array<float>").alias("embedding"))
+    near = I.knn_batch(df, df, 2, broadcast_bytes=0, block_bytes=500)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Cross" not in plan and "CoGroup" not in plan
+    assert I.knn_batch(df.limit(0), df, 2, broadcast_bytes=0).count() == 0
+    assert I.knn_batch(df, df.limit(3), 2, broadcast_bytes=0).count() == 6
+
+
 def test_knn_keeps_text_ids(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.7, 0.7])]
     df = spark.createDataFrame(rows, "id string, embedding array<float>")
