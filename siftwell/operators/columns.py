@@ -246,3 +246,36 @@ def analyze(df: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     lookup = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     return profile(df).select("column", "n", "filled", F.element_at(lookup, F.col("column")).alias("kind"))
+
+
+def analyze_source(df: DataFrame, roles: Roles) -> DataFrame:
+    """(item, name, value): what a table holds, by one scan.
+
+    ``total`` is the number of rows; ``role`` gives the columns declared as id,
+    name and status; ``role_count`` how many times, numbers and texts are declared;
+    ``field`` the type of every column; ``sample`` the values, as text, of the
+    row with the smallest id. Columns whose names start with ``_`` are private and
+    left out of the sample. Of rows that repeat the smallest id any may be the
+    sample; without any id there is none.
+    """
+    text = lambda value: F.lit(value).cast("string")
+
+    def row(item: str, name: str | None, value: Column) -> Column:
+        return F.struct(F.lit(item).alias("item"), text(name).alias("name"), value.alias("value"))
+
+    public = [c for c in df.columns if not c.startswith("_")]
+    record = F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(public)])
+    seen = df.agg(F.count("*").alias("total"), F.min_by(record, F.col(f"`{roles.id}`")).alias("record"))
+    single = {"id": roles.id, "name": roles.name, "status": roles.status}
+    several = {"timestamp": roles.timestamps, "numeric": roles.numerics, "text": roles.texts}
+    known = [
+        row("total", None, F.col("total").cast("string")),
+        *[row("role", role, text(column)) for role, column in single.items()],
+        *[row("role_count", role, text(str(len(columns)))) for role, columns in several.items()],
+        *[row("field", f.name, text(f.dataType.simpleString())) for f in df.schema],
+    ]
+    sample = F.array(*[row("sample", c, F.col("record").getField(f"c{i}")) for i, c in enumerate(public)])
+    rows = F.array(*known)
+    if public:
+        rows = F.when(F.col("record").isNull(), rows).otherwise(F.concat(rows, sample))
+    return seen.select(F.inline(rows))

@@ -96,6 +96,24 @@ def analyze(t):
     return columns.analyze(t.events)
 
 
+CUSTOMER = Roles(id="c_custkey", name="c_name", status="c_mktsegment", numerics=("c_acctbal", "c_nationkey"), texts=("c_name",))
+CUSTOMER_KINDS = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+
+
+@case(
+    """WITH s AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 1)
+  SELECT 'total' AS item, NULL::VARCHAR AS name, count(*)::VARCHAR AS value FROM customer
+  UNION ALL SELECT * FROM (VALUES ('role', 'id', 'c_custkey'), ('role', 'name', 'c_name'), ('role', 'status', 'c_mktsegment'),
+    ('role_count', 'timestamp', '0'), ('role_count', 'numeric', '2'), ('role_count', 'text', '1'))"""
+    + "".join(
+        f" UNION ALL SELECT 'field', '{c}', '{k}' UNION ALL SELECT 'sample', '{c}', {c}::VARCHAR FROM s"
+        for c, k in CUSTOMER_KINDS.items()
+    )
+)
+def analyze_source(t):
+    return columns.analyze_source(t.customer, CUSTOMER)
+
+
 @case("SELECT p_type AS status, count(*) AS count FROM part GROUP BY 1")
 def status_breakdown(t):
     """No column is called status: the one named like a type serves."""

@@ -36,6 +36,39 @@ def score_text(t):
     return found.select("p_partkey", "p_name", F.col("_score").alias("score"), F.col("_match_type").alias("kind"))
 
 
+#: Every column of ``part`` with its weight by role.
+ALL = {"p_partkey": 1, "p_name": 3, "p_brand": 1, "p_type": 2, "p_size": 1, "p_retailprice": 1}
+
+
+def sql_all_points(query: str) -> dict[str, str]:
+    return {c: sql_points(f"{c}::VARCHAR", query) for c in ALL}
+
+
+def sql_all_score(query: str) -> str:
+    return "(" + " + ".join(f"{p} * {ALL[c]}" for c, p in sql_all_points(query).items()) + ")::DOUBLE"
+
+
+@case(f"SELECT p_partkey, {sql_all_score('widget 24')} AS score FROM part WHERE {sql_all_score('widget 24')} > 0")
+def score_all_columns(t):
+    """Numbers are searched too: 24 is a size, a key or a word of a name."""
+    found = S.text_search(t.part, "Widget 24", PART)
+    return found.select("p_partkey", F.col("_score").alias("score"))
+
+
+@case(f"""SELECT p_partkey, concat_ws(',', {', '.join(f"CASE WHEN {p} > 0 THEN '{c}' END" for c, p in sql_all_points('24').items())}) AS fields
+  FROM part""")
+def matched_all_columns(t):
+    parts = t.part
+    return parts.select("p_partkey", F.array_join(scores.matched_fields(parts, "24"), ",").alias("fields"))
+
+
+@case(f"""SELECT p_partkey, {sql_all_score('24')} AS score FROM part WHERE {sql_all_score('24')} > 0
+  ORDER BY score DESC, p_partkey LIMIT 50""")
+def top_k_all_columns(t):
+    found = S.best_matches(t.part, "24", PART, 50)
+    return found.select("p_partkey", F.col("_score").alias("score"))
+
+
 @case("""SELECT c_custkey, contains(c_custkey::VARCHAR, '12')::INT + contains(c_name, '12')::INT
            + contains(c_nationkey::VARCHAR, '12')::INT + contains(c_acctbal::VARCHAR, '12')::INT
            + contains(c_mktsegment, '12')::INT AS hits FROM customer""")
@@ -59,6 +92,16 @@ def score_structured(t):
     return found.select("id", F.col("_score").alias("score"))
 
 
+@case(f"""SELECT p_partkey AS id, 1.0::DOUBLE + {' + '.join(_keyword(f'{c}::VARCHAR', w) for c in ALL for w in ('small', '950'))}
+            + (CASE WHEN contains(lower(p_name), 'small 950') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score
+          FROM part WHERE p_size > 40 AND (
+            {' OR '.join(f"contains(lower({c}), '{w}')" for c in TEXTS for w in ('small', '950'))})""")
+def score_structured_all_columns(t):
+    """Words choose rows by the text columns and score all columns, numbers too."""
+    found = S.relevance_search(to_standard(t.part, PART), "p_size>40 small 950")
+    return found.select("id", F.col("_score").alias("score"))
+
+
 @case("""SELECT o_orderkey, 1.0::DOUBLE AS score, 'structured' AS kind,
            'o_orderstatus=F; o_totalprice>=300000' AS conditions
          FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 300000""")

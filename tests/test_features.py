@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell import Roles
 from siftwell.functions import vectors as V
-from siftwell.operators import quality, textjobs
+from siftwell.operators import columns, quality, textjobs
 from siftwell.operators.quantiles import exact_quantiles, keys_of, value_of
 from siftwell.operators.vectorindex import index_table, knn
 from siftwell.plans import ask, relational
@@ -151,3 +151,14 @@ def test_repeated_and_odd_names_of_results(spark):
     result = relational.sql_result(spark, "SELECT 1 AS a, 2 AS a, 3 AS `x y`, 4 AS `b.c`")
     assert result.success and result.data.columns == ["a", "a", "x y", "b.c"]
     assert [tuple(r) for r in result.data.collect()] == [(1, 2, 3, 4)]
+
+
+def test_source_analysis_of_hard_tables(spark):
+    df = spark.createDataFrame([(2, "b", [1], None), (None, "n", None, "x"), (1, "a", None, "p")], "`my.id` long, `x y` string, l array<int>, _private string")
+    roles = Roles(id="my.id", name="x y")
+    found = [tuple(r) for r in columns.analyze_source(df, roles).collect()]
+    assert ("total", None, "3") in found and ("role", "status", None) in found and ("role_count", "text", "0") in found
+    assert [r[1:] for r in found if r[0] == "sample"] == [("my.id", "1"), ("x y", "a"), ("l", None)]
+    assert [r[1:] for r in found if r[0] == "field"][2:] == [("l", "array<int>"), ("_private", "string")]
+    nothing = [tuple(r) for r in columns.analyze_source(df.limit(0), roles).collect()]
+    assert ("total", None, "0") in nothing and not [r for r in nothing if r[0] == "sample"]
