@@ -22,6 +22,7 @@ LOG = f"""log AS (
   UNION ALL
   SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), text FROM conversations)"""
 
+# The words and patterns of the search-string notation, as the library must read them.
 W = r"[\p{L}\p{N}_]"
 NOT_W = r"[^\p{L}\p{N}_]"
 COUNTING = ("how many", "count", "total", "number of", "tally", "sum of", "sum up", "calculate", "compute")
@@ -44,12 +45,14 @@ SQL_FORM = f"regexp_matches(q, '(?i){W}[:=<>]|(^|{NOT_W})(and|or)($|{NOT_W})')"
 SQL_WORDS = r"list_filter(regexp_split_to_array(lower(q), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda w: w <> '')"
 SQL_ROUTE = f"""CASE WHEN {SQL_FORM} AND NOT list_has_any({SQL_WORDS},
   ['like', 'similar', 'about', 'related', 'search', 'find', 'matching']) THEN 'structured' ELSE 'hybrid' END"""
+# Fixed values.
 TARGETS = (
     r"how\s+many\s+(.*?)(?:\s+are|\s+with|\s+in|\s+is|\s+do|\?|\n?\z)",
     r"count\s+(?:of\s+)?(.*?)(?:\s+in|\s+with|\s+that|\?|\n?\z)",
     r"total\s+(?:number\s+of\s+)?(.*?)(?:\s+in|\s+with|\s+that|\?|\n?\z)",
     r"number\s+of\s+(.*?)(?:\s+in|\s+with|\s+that|\?|\n?\z)",
 )
+# Fixed values.
 ITEMS = ("item", "items", "record", "records", "entry", "entries", "document", "documents", "result", "results")
 SQL_TARGET = (
     "CASE "
@@ -61,6 +64,7 @@ SQL_ID = (
     r"nullif(regexp_extract(regexp_extract(lower(q), "
     r"'(?:^|\s)id\s*[:=]?\s*\d+|(?:^|\s)item\s+id\s*[:=]?\s*\d+|(?:^|\s)#\d+'), '(\d+)$', 1), '')"
 )
+# Fixed values.
 LOOSE = (
     r"(?:^|\s)id\s*[:=]?\s*(\d+)", r"(?:^|\s)(?:item|job)\s+id\s*[:=]?\s*(\d+)",
     r"(?:^|\s)(?:item|job)[-_]id\s*[:=]?\s*(\d+)", r"(?:^|\s)#(\d+)",
