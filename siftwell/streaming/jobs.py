@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from siftwell.functions.vectors import with_unit
 from siftwell.operators.search import filter_rows
+from siftwell.streaming.merging import merge_batches, read_index
 
 
 def arriving(
@@ -39,12 +40,19 @@ def stream_filter(stream: DataFrame, query: str, out: str, checkpoint: str) -> D
 
 
 def stream_upsert(
-    stream: DataFrame, id_column: str, vector: str, version: str, out: str, checkpoint: str
+    stream: DataFrame,
+    id_column: str,
+    vector: str,
+    version: str,
+    out: str,
+    checkpoint: str,
+    fan: int | None = None,
 ) -> DataFrame:
     """Add arriving vectors to an index; returns its latest version per id.
 
     Each micro-batch owns one folder and overwrites it, so a batch that runs
-    twice after a failure leaves the same rows.
+    twice after a failure leaves the same rows. With ``fan``, finished batches are
+    merged afterwards as :func:`merge_batches` does, so readers open few folders.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -67,13 +75,6 @@ def stream_upsert(
         .start()
     )
     run.awaitTermination()
-    return latest_versions(stream.sparkSession.read.parquet(out))
-
-
-def latest_versions(index: DataFrame) -> DataFrame:
-    """Newest entry of every id; the batch number decides between equal versions."""
-    return (
-        index.groupBy("id")
-        .agg(F.max_by(F.struct("embedding", "version"), F.struct("version", "batch")).alias("e"))
-        .select("id", "e.*")
-    )
+    if fan:
+        merge_batches(stream.sparkSession, out, fan)
+    return read_index(stream.sparkSession, out)

@@ -184,3 +184,19 @@ def stream_upsert(t):
         F.round(norm(F.col("embedding")), 4).alias("norm"),
         F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"),
     )
+
+
+@case("""SELECT vec_id::VARCHAR AS id, label::BIGINT + 7 AS version, round((embedding[1] /
+    sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT::DOUBLE, 5) AS first FROM embeddings""")
+def stream_upsert_merged(t):
+    """Eight versions of every vector in eight batches, the newest in the first; runs of two levels."""
+    base = shared_folder(t.spark, "stream")
+    given = t.embeddings.select("vec_id", "embedding", F.col("label").cast("long").alias("version"))
+    schema = given.schema
+    for batch in range(8):
+        turned = F.transform("embedding", lambda x: x if batch == 0 else -x)  # noqa: B023
+        rows = given.withColumn("embedding", turned).withColumn("version", F.col("version") + 7 - batch)
+        rows.write.mode("append").parquet(f"{base}/in")
+        arriving = jobs.arriving(t.spark, f"{base}/in", schema)
+        index = jobs.stream_upsert(arriving, "vec_id", "embedding", "version", f"{base}/out", f"{base}/state", fan=2)
+    return index.select("id", "version", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
