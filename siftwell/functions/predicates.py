@@ -29,6 +29,8 @@ NUMERIC = {
     "eq": operator.eq,
     "neq": operator.ne,
 }
+#: Prefix of the lower-cased companions that ``sinks.write_searchable`` stores beside texts.
+FOLDED = "_folded_"
 # Fixed value: the column whose fields filters may name directly.
 WRAPPER = "job_details"
 # Days per unit; a month is 30 days, a year 365.
@@ -65,19 +67,31 @@ def resolve(df: DataFrame, field: str) -> str:
     return f"{WRAPPER}.{field}" if known else field
 
 
+def is_companion(name: str, names: Sequence[str]) -> bool:
+    return name.startswith(FOLDED) and name.removeprefix(FOLDED) in names
+
+
 def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    names = df.columns
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and not is_companion(f.name, names)]
 
 
 def atomic_columns(df: DataFrame) -> list[str]:
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
-    return [f.name for f in df.schema if not isinstance(f.dataType, nested)]
+    names = df.columns
+    return [f.name for f in df.schema if not isinstance(f.dataType, nested) and not is_companion(f.name, names)]
 
 
 def equal(df: DataFrame, field: str, value: Any) -> Column:
-    """Numeric equality on numeric columns, case-insensitive equality on text."""
+    """Numeric equality on numeric columns, case-insensitive equality on text.
+
+    Where the table holds the text's folded companion, that is compared instead: a plain
+    column, so the scan can pass over row groups by statistics, dictionary or Bloom filter.
+    """
     kind, c = data_type(df, field), F.col(field)
     if isinstance(kind, T.StringType):
+        if FOLDED + field in df.columns:
+            return F.col(f"`{FOLDED}{field}`") == str(value).lower()
         return F.lower(c) == str(value).lower()
     if isinstance(kind, T.NumericType):
         if isinstance(value, str) and not re.fullmatch(r"-?\d+(\.\d+)?", value):

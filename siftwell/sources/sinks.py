@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions.predicates import FOLDED
 from siftwell.operators.output import csv_columns, drop_meta
 from siftwell.sources.scans import escaped
 
@@ -35,3 +38,21 @@ def write_csv(df: DataFrame, path: str, include_metadata: bool = False, *, escap
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+
+
+def write_searchable(df: DataFrame, path: str, fields: Sequence[str], **options) -> None:
+    """Parquet whose texts ``fields`` can be found by ``field:value`` without reading every row group.
+
+    Beside each of them stands its lower-cased companion with a Bloom filter per row group
+    (a dictionary, where there are few values). Conditions compare the companion wherever a
+    table has one; keyword searches and scores leave it out, and ``drop_meta`` and the other
+    sinks drop it. Change a text after reading and its companion must be dropped first.
+    """
+    for f in fields:
+        if f not in df.columns or not isinstance(df.schema[f].dataType, T.StringType):
+            raise ValueError(f"{f!r} is no text column; columns are {df.columns}")
+    rows = df.withColumns({FOLDED + f: F.lower(F.col(f"`{f}`")) for f in fields})
+    filters = {f"parquet.bloom.filter.enabled#{FOLDED}{f}": True for f in fields}
+    # Filters get the size their row group needs, not the largest allowed.
+    settings = {"parquet.bloom.filter.adaptive.enabled": True} | filters | options
+    rows.write.mode("overwrite").options(**settings).parquet(path)

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import predicates as P
 from siftwell.operators import search as S
+from siftwell.operators.output import drop_meta
 from siftwell.roles import Roles
+from siftwell.session import shared_folder
+from siftwell.sources.sinks import write_searchable
 from suite.registry import case
 
 ORDER = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -17,6 +20,16 @@ def filter_eq(t):
     return S.filter_rows(t.orders, "o_orderpriority:1-urgent o_orderstatus:f").select(*ORDER)
 
 
+@case("""SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+         WHERE lower(o_orderpriority) = '1-urgent' AND o_orderstatus = 'F'""")
+def filter_eq_folded(t):
+    """The same on a table written with folded companions."""
+    path = shared_folder(t.spark, "searchable")
+    write_searchable(t.orders.select(*ORDER), path, ["o_orderstatus", "o_orderpriority"])
+    found = S.filter_rows(t.spark.read.parquet(path), "o_orderpriority:1-urgent o_orderstatus:f")
+    return drop_meta(found)
+
+
 @case("""SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem
          WHERE l_quantity > 30 AND l_discount <= 0.05 AND l_orderkey >= 100""")
 def filter_cmp(t):
