@@ -9,10 +9,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.session import shared_folder
 
 HOT_ROWS = 5_000_000
+#: Bits of the types that one number can stand for.
+WIDTHS = {
+    T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64,
+    T.DateType: 32, T.TimestampType: 64, T.TimestampNTZType: 64,
+}
+#: Types that an aggregate can overwrite in place, so that it may hash.
+IN_PLACE = (*WIDTHS, T.BooleanType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def as_whole(kind: T.DataType, c: Column) -> Column:
+    """A number, date or time as a whole number of the same order."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        minutes = F.unix_date(c.cast("date")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
+        micros = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+        return minutes * 60_000_000 + micros
+    return c
+
+
+def order_number(df: DataFrame, columns: Sequence[str]) -> Column | None:
+    """``columns`` as one decimal that rises with them in turn, null first and never null itself.
+
+    None where a type has no whole numbers or 38 digits do not hold all of them.
+    """
+    number, codes = F.lit(0).cast("decimal(38,0)"), 1
+    for name in columns:
+        kind = df.schema[name].dataType
+        bits = WIDTHS.get(type(kind))
+        if bits is None:
+            return None
+        codes *= (1 << bits) + 1
+        if codes >= 10**38:
+            return None
+        base, lift = (F.lit(str(n)).cast("decimal(20,0)") for n in ((1 << bits) + 1, (1 << (bits - 1)) + 1))
+        code = as_whole(kind, F.col(f"`{name}`")).cast("decimal(20,0)") + lift
+        number = (number * base + F.coalesce(code, F.lit(0))).cast("decimal(38,0)")
+    return number
 
 
 def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame | None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.predicates import seconds_of
-from siftwell.operators.ordered import HOT_ROWS, cumulative, hot_keys, in_slices, parted
+from siftwell.operators.ordered import HOT_ROWS, IN_PLACE, cumulative, hot_keys, in_slices, order_number, parted
 from siftwell.session import shared_folder
 
 
@@ -201,7 +201,18 @@ def having(entities: DataFrame, key: str, facts: DataFrame, fact_key: str) -> Da
 
 
 def latest(facts: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Latest row of every key: a running maximum; as the kept row is a struct, Spark sorts each task's rows by key."""
+    """Latest row of every key: a running maximum, combined in each task first.
+
+    Where the order columns make one number and the kept columns have a fixed width,
+    the maximum is overwritten in place and Spark hashes. Otherwise the kept row is a
+    struct, and Spark sorts each task's rows by key for that. Nulls in the order come
+    first; of rows equal in all order columns one whole row is kept, whichever is met first.
+    """
+    number = order_number(facts, order)
+    if number is not None and all(isinstance(facts.schema[c].dataType, IN_PLACE) for c in columns):
+        place = "_order" + "_" * max(map(len, facts.columns))  # longer than any name there
+        kept = [F.max_by(F.col(f"`{c}`"), place).alias(c) for c in columns]
+        return facts.withColumn(place, number).groupBy(key).agg(*kept)
     row = F.struct(*columns)
     return facts.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("r")).select(key, "r.*")
 
