@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,29 @@ def test_similar_pairs_equal_brute_force(spark, threshold, block):
     assert sorted((r[0], r[1], r[2], round(r[3], 9), r[4], r[5]) for r in found) == overlaps(real, threshold)
 
 
+def test_signatures_rule_out_sets_that_meet_in_a_rare_token(spark):
+    """Large sets that share only their rarest token make no pairs; near ones of unlike signature length do."""
+    rng = random.Random(3)
+    words = [f"w{a}" for a in range(6000)]
+    rows = [(i, f"rarest{i // 120} " + " ".join(rng.sample(words, rng.randint(400, 1400)))) for i in range(120)]
+    rows += [(1000 + i, " ".join(t.split(" ")[: 1 + int(0.85 * t.count(" "))])) for i, t in rows[:40]]
+    rows += [(2000 + i, t.replace("w1", "v1", 9)) for i, t in rows[:40]]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    found = textjobs.similar_pairs(docs, "id", "t", 0.8).collect()
+    wanted = overlaps(rows, 0.8)
+    assert len(wanted) > 40 and sorted((r[0], r[1], r[2], round(r[3], 9), r[4], r[5]) for r in found) == wanted
+
+    sets = [sorted({hash(w) for w in t.split(" ")}) for _, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["item", "hashes"])
+    none = np.zeros(0, np.int64)
+    made = pa.Table.from_batches(textjobs._rarest(none, none, 0.8)([batch])).to_pandas()
+    cell = made.drop_duplicates("item").assign(token=1, a=0, b=0, own=0)
+    one = pa.RecordBatch.from_pandas(cell, preserve_index=False)
+    met = {p for b in textjobs._meet(0.8)([one.slice(0, 50), one.slice(50)]) for p in zip(*b.to_pydict().values())}
+    place = {i: k for k, (i, _) in enumerate(rows)}
+    assert met >= {tuple(sorted((place[w[0]], place[w[1]]))) for w in wanted} and len(met) < 2 * len(wanted)
+
+
 def test_similar_pairs_plan_has_no_cross_join(spark):
     docs = spark.createDataFrame([(1, "eins zwei"), (2, "eins zwei drei")], "id long, t string")
     plan = textjobs.similar_pairs(docs, "id", "t")._jdf.queryExecution().executedPlan().toString()
