@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from siftwell.session import shared_folder
 
 HOT_ROWS = 5_000_000
+#: Most hot keys that go to every task.
+HELD_KEYS = 100_000
 #: Bits of the types that one number can stand for.
 WIDTHS = {
     T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64,
@@ -60,11 +62,15 @@ def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys with more than ``rows`` rows, or None where there are none.
 
     One counting pass over the key column. A table of n rows has fewer than
-    n / ``rows`` such keys.
+    n / ``rows`` such keys; up to ``HELD_KEYS`` of them are broadcast, as a join that
+    deals rows by key would send all rows of a hot one to one task.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
     found = counts.select(F.col(key).alias("_hot"))
-    return None if found.isEmpty() else found
+    held = found.limit(HELD_KEYS + 1).count()
+    if not held:
+        return None
+    return F.broadcast(found) if held <= HELD_KEYS else found
 
 
 def parted(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
