@@ -11,6 +11,8 @@ from siftwell.streaming import jobs
 from suite.registry import case
 
 EVENTS = Roles(id="event_id", name="event_type")
+#: Rows that one task writes to one file.
+FILE_DOCUMENTS, FILE_EVENTS = 20_000, 500_000
 TEXT_EVENTS = "event_id::VARCHAR AS event_id, event_type, user_id::VARCHAR AS user_id, value::VARCHAR AS value, props"
 
 
@@ -108,12 +110,19 @@ def csv_documents(t):
     return scans.read_csv(t.spark, path, EDGES_READ, escaped_breaks=True)
 
 
+def dealt(rows, batches, file_rows, *keys):
+    """Rows dealt to files of about ``file_rows`` rows at most, and how many of them make one of so many batches."""
+    per_batch = max(1, -(-rows.count() // (file_rows * batches)))
+    return rows.repartition(batches * per_batch, *keys), per_batch
+
+
 @case(EDGES)
 def stream_csv_documents(t):
     """The same files as a stream, whose reader also names its columns in another order."""
     path, out, state = (shared_folder(t.spark, x) for x in ("csv", "streamed", "stream-state"))
-    sinks.write_csv(edges(t).repartition(3, "doc_id"), path)
-    arriving = scans.stream_csv(t.spark, path, EDGES_READ, escaped_breaks=True)
+    rows, per_batch = dealt(edges(t), 3, FILE_DOCUMENTS, "doc_id", "text")
+    sinks.write_csv(rows, path)
+    arriving = scans.stream_csv(t.spark, path, EDGES_READ, per_batch, escaped_breaks=True)
     run = arriving.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return t.spark.read.schema(arriving.schema).parquet(out)
@@ -159,8 +168,9 @@ def stream_csv(t):
     """CSV files taken in bounded micro-batches."""
     base = shared_folder(t.spark, "stream")
     rows = t.events.select("event_id", "user_id", "event_type")
-    rows.repartition(4, "event_id").write.option("header", True).csv(f"{base}/in")
-    stream = scans.stream_csv(t.spark, f"{base}/in", rows.schema, files_per_batch=2)
+    files, per_batch = dealt(rows, 4, FILE_EVENTS, "event_id")
+    files.write.option("header", True).csv(f"{base}/in")
+    stream = scans.stream_csv(t.spark, f"{base}/in", rows.schema, files_per_batch=2 * per_batch)
     found = jobs.stream_filter(stream, "event_id>=0", f"{base}/out", f"{base}/state")
     return found.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 

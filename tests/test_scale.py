@@ -62,6 +62,30 @@ def test_running_total(skewed, hot_rows):
         assert (out.loc[group.id, "running"].values == np.arange(1, len(group) + 1) * 1.25).all()
 
 
+def test_hot_keys_are_not_dealt_by_key(spark):
+    """Rows of a hot key are told apart where they are; a join by key would send them all to one task."""
+    from siftwell.operators.ordered import hot_keys, parted
+
+    rows = spark.range(4000).selectExpr("nullif(id % 3, 1) AS k", "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for part, keys in zip(parted(rows, "k", hot_keys(rows, "k", 0)), ({0, 2, None}, set())):
+            assert {r.k for r in part.select("k").distinct().collect()} == keys
+            plan = part._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_streamed_files_grow_in_number_not_in_size(spark):
+    from suite.io import dealt
+
+    rows, per_batch = dealt(spark.range(1000), 3, 100, "id")
+    assert per_batch == 4 and rows.rdd.getNumPartitions() == 12 and rows.count() == 1000
+    few, one = dealt(spark.range(100), 3, 100, "id")
+    assert one == 1 and few.rdd.getNumPartitions() == 3
+
+
 def test_one_time_for_all_rows(spark):
     """Ties are cut by the tie column, so no slice holds all rows."""
     rows = spark.range(3000).select(F.lit("k").alias("k"), F.lit(5).alias("t"), "id", F.lit(2).alias("v"))
