@@ -95,12 +95,16 @@ class Model:
             for texts in batches:
                 if (name, dim) not in loaded:
                     loaded[name, dim] = load()
-                given = texts.is_valid().to_numpy(zero_copy_only=False)
-                present = texts.drop_null().to_pylist()
-                rows = [_checked(loaded[name, dim], present[a : a + size], dim) for a in range(0, len(present), size)]
-                flat = np.concatenate(rows).ravel() if rows else np.zeros(0, np.float32)
-                ends = np.concatenate([[0], np.cumsum(given) * dim]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()), mask=pa.array(~given))
+                # A run of texts at a time: a batch of Spark's may hold ten thousand long ones.
+                for start in range(0, len(texts), size):
+                    yield vectors(loaded[name, dim], texts.slice(start, size))
+
+        def vectors(run: Batch, texts: pa.Array) -> pa.Array:
+            given = texts.is_valid().to_numpy(zero_copy_only=False)
+            present = texts.drop_null().to_pylist()
+            flat = _checked(run, present, dim).ravel() if present else np.zeros(0, np.float32)
+            ends = np.concatenate([[0], np.cumsum(given) * dim]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()), mask=pa.array(~given))
 
         return F.arrow_udf(embed, "array<float>")(c)
 

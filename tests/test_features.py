@@ -186,3 +186,13 @@ def test_source_analysis_of_hard_tables(spark):
     assert [r[1:] for r in found if r[0] == "field"][2:] == [("l", "array<int>"), ("_private", "string")]
     nothing = [tuple(r) for r in columns.analyze_source(df.limit(0), roles).collect()]
     assert ("total", None, "0") in nothing and not [r for r in nothing if r[0] == "sample"]
+
+
+def test_texts_are_embedded_a_run_at_a_time(monkeypatch):
+    """Only the texts of one run become Python strings, and vectors leave with it; nulls stay in place."""
+    monkeypatch.setattr(V.F, "arrow_udf", lambda run, kind: lambda c: run)
+    model = V.Model("lengths", 2, lambda: lambda texts: np.array([[len(t), 1] for t in texts]), batch=10)
+    texts = [None if i % 7 == 3 or 20 <= i < 30 else "x" * i for i in range(45)]
+    made = list(model.column(None)(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(map(len, made)) == 10
+    assert [v for run in made for v in run.to_pylist()] == [None if t is None else [len(t), 1] for t in texts]
