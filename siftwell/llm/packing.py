@@ -8,25 +8,37 @@ open sequences, and these are packed anew, as long as that saves sequences.
 from __future__ import annotations
 
 import os
-import struct
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.bytebpe import lots
 from siftwell.llm.common import written
 
 SEQUENCE = 4096
 PART_PIECES = 32_768
 #: Distinct words whose ids a worker remembers, twice over.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
+#: Characters of texts that are split at a time, single texts excepted.
+LOT_CHARS = 1 << 22
+#: Letters of plain words (Latin ones that have one lower case).
+LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and c != 0x130)
+#: One match a line: letters and the marks that may stand behind them; both empty for any other word.
+PLAIN = re.compile(rf"^(?:([{LETTERS}]{{1,{LONGEST_REMEMBERED}}})([!-&(-/:-@\[-`{{-~]{{0,{LONGEST_REMEMBERED}}})|.*)$", re.MULTILINE)
 #: Words on which the short way must agree with the whole tokenizer before it is used.
-PROBES = ("the", "Ouvre", "été.", "ÉTÉ", "straße,", "x.", "ñandú", "zzqxj", "ŒUVRE", "don't", "a.b", "3rd", "...", "œ,")
+PROBES = (
+    *("the", "Ouvre", "été.", "ÉTÉ", "straße,", "x.", "ñandú", "zzqxj", "ŒUVRE", "don't", "a.b", "3rd", "...", "œ,"),
+    *("il***", "être.&&&", "a$.", "Q?!", "d<|", "s)_", "re`~", "Été[{"),
+)
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,9 +54,9 @@ class WordEncoder:
     Only for tokenizers that treat a blank or line feed as a border which no token
     crosses and which itself has no ids, as word-end vocabularies do; ids are held
     as little-endian 32-bit bytes. Plain Latin words go to the tokenizer's model
-    directly, in lower case, and a full stop or comma behind them by itself; all
-    others pass through the whole tokenizer. A check on loading decides whether
-    that short way is right for the tokenizer at hand.
+    directly, in lower case, and the marks behind them by themselves; all others
+    pass through the whole tokenizer. A check on loading decides whether that
+    short way is right for the tokenizer at hand.
     """
 
     def __init__(self, path: str):
@@ -56,57 +68,81 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.short = True
-        self.short = [self._one(w) or x for w, x in zip(PROBES, self._whole(PROBES))] == self._whole(PROBES)
+        self._learn([*PROBES])
+        self.short = [*map(self.known.__getitem__, PROBES)] == self._whole(PROBES)
         self.known.clear()
 
     def _whole(self, words) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _core(self, core: str) -> bytes:
-        plain = core.lower()
-        ids = self.known.get(plain) or self.before.get(plain)
-        if ids is None:
-            coded = plain if plain.isascii() else plain.encode().decode("latin-1").translate(self.letters)
-            ids = struct.pack(f"<{len(t := self.tokenizer.model.tokenize(coded))}I", *[x.id for x in t])
-            self.known[plain] = ids
-        return ids
-
-    def _one(self, word: str) -> bytes | None:
-        """Ids of a plain Latin word, with or without a mark behind it; None for any other."""
-        if not self.short:
-            return None
-        core = word[:-1] if word[-1:] in (".", ",") else word
-        if not core.isalpha() or max(core) >= "\u0250" or "\u0130" in core or len(core) > LONGEST_REMEMBERED:
-            return None
-        return self._core(core) if core is word else self._core(core) + self._mark(word[-1])
-
-    def _mark(self, mark: str) -> bytes:
-        if mark not in self.known:
-            self.known[mark] = self._whole([mark])[0]
-        return self.known[mark]
+    def _model(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case plain words, by the model alone."""
+        model, ids, ends = self.tokenizer.model, [], [0]
+        for word in words:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            ids += [x.id for x in model.tokenize(word)]
+            ends.append(len(ids))
+        data, places = np.array(ids, "<u4").tobytes(), [4 * x for x in ends]
+        return [data[a:b] for a, b in pairwise(places)]
+
+    def _recall(self, words: Iterable[str]) -> list[str]:
+        """The words not known yet; those of the generation before become known."""
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        if before:
+            old = [*map(before.get, new)]
+            known.update((w, ids) for w, ids in zip(new, old) if ids is not None)
+            new = [w for w, ids in zip(new, old) if ids is None]
+        return new
+
+    def _learn(self, words: list[str]) -> list[str]:
+        """Makes distinct words without line feeds known; those that were not before."""
+        known = self.known
+        new = others = self._recall(words)
+        if self.short and new:
+            found = PLAIN.findall("\n".join(new))
+            cores = self._recall({core.lower() for core, _ in found if core})
+            known.update(zip(cores, self._model(cores)))
+            marks = self._recall({mark for _, mark in found})
+            known.update(zip(marks, self._whole(marks)))
+            known.update((w, known[core.lower()] + known[mark]) for w, (core, mark) in zip(new, found, strict=True) if core)
+            others = [w for w, (core, _) in zip(new, found) if not core]
+        known.update(zip(others, self._whole(others)))
+        return new
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for start in range(0, len(texts), 64):
+        for start, stop in lots(texts, LOT_CHARS):
             if len(self.known) > REMEMBERED:
                 self.known, self.before = {}, self.known
-            known, before = self.known, self.before
-            split = [x.replace("\n", " ").split(" ") for x in texts[start : start + 64]]
-            whole = []
-            for word in {w for words in split for w in words if w not in known}:
-                ids = before.get(word)
-                if ids is None:
-                    ids = self._one(word)
-                if ids is None:
-                    whole.append(word)
-                else:
-                    known[word] = ids
-            known.update(zip(whole, self._whole(whole)))
-            for words in split:
-                yield b"".join([known[w] for w in words])
-            for word in whole:
+            split = pc.split_pattern(pa.array([x.replace("\n", " ") for x in texts[start:stop]], pa.large_string()), " ")
+            words = split.values.dictionary_encode()
+            every = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+            distinct = pc.binary_join(every, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+            new = self._learn(distinct)
+            ids = binaries([*map(self.known.__getitem__, distinct)])
+            for word in new:
                 if len(word) > LONGEST_REMEMBERED:
-                    del known[word]
+                    del self.known[word]
+            by_text = pa.ListArray.from_arrays(split.offsets, ids.take(words.indices))
+            for joined in pc.binary_join(by_text, pa.scalar(b"", pa.large_binary())):
+                yield joined.as_py()
+
+
+def binaries(values: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(values))])
+
+
+#: Encoders of this worker, which serve all its tasks.
+ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
 
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -118,15 +154,13 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, longest: int = SEQ
     One row per piece: doc_id, piece, start, length, ids_crc32. A null or empty
     text is the end id alone; ids may be null or repeat, each row is a document.
     """
-    made: dict[str, WordEncoder] = {}
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = made.setdefault(path, WordEncoder(path))
         for batch in batches:
             rows, which = [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for i, ids in enumerate(encoder.encode(texts)):
+            for i, ids in enumerate(encoder(path).encode(texts)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * longest)):
                     part = ids[at : at + 4 * longest]

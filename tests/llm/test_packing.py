@@ -36,6 +36,35 @@ def test_special_strings_and_generations(encoder, monkeypatch):
     assert list(encoder.encode(texts)) == [whole(encoder, t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.sampled_from("aé.,*&%$?!'’\"-_<|>1 \n"), max_size=25))
+def test_words_with_marks_equal_the_library(text):
+    made = test_words_with_marks_equal_the_library.__dict__.setdefault("made", packing.WordEncoder(PATH))
+    assert list(made.encode([text, text])) == [whole(made, text)] * 2
+
+
+def test_marks_behind_words_go_to_the_library_once(monkeypatch):
+    made, asked = packing.WordEncoder(PATH), []
+    direct = made._whole
+    monkeypatch.setattr(made, "_whole", lambda words: asked.extend(words) or direct(words))
+    texts = [f"{a}{b}{mark}" for a in ("tion", "Été", "ôe") for b in "abcdefgh" for mark in ("***", "&&&", "?!", ".")]
+    texts.append("a" + "*" * 200)
+    assert list(made.encode(texts)) == [whole(made, t) for t in texts]
+    assert sorted({*asked} - {""}) == sorted(["***", "&&&", "?!", ".", texts[-1]])
+    assert texts[-1] not in made.known
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    assert packing.encoder(PATH) is packing.encoder(PATH)
+
+
+def test_lots(encoder, monkeypatch):
+    monkeypatch.setattr(packing, "LOT_CHARS", 10)
+    texts = ["The the", "", "été, " * 9, "x\n\ny", "", "a$. don't"] * 3
+    assert list(encoder.encode(texts)) == [whole(encoder, t) for t in texts]
+    assert list(encoder.encode([])) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_bins_are_full_at_most_and_bound_holds(lengths):
