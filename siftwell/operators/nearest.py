@@ -21,6 +21,8 @@ from siftwell.session import shared_folder
 SCORES_AT_ONCE = 4_000_000
 #: Most centres, and the bytes that their vectors may take on the driver and in every task.
 MOST_CENTRES, CENTRE_BYTES = 1024, 32 << 20
+#: Lots go to this many groups at least, and a group holds about so many bytes of vectors.
+LOT_GROUPS, HELD_BYTES = 24, 32 << 20
 #: Added to every reach: rounding must not lose a neighbour.
 SLACK = 1e-6
 #: More than the products of unit vectors differ by rounding.
@@ -136,6 +138,73 @@ def other_visits(
     return q[new], centre[new], lot[new]
 
 
+@dataclass
+class Places:
+    """All lots in a row, the one of the zero vectors last (centre -1); neighbours there share a group."""
+
+    #: Number of each centre's first lot.
+    first: np.ndarray
+    centre: np.ndarray
+    lot: np.ndarray
+    group: np.ndarray
+    #: Number of each group's first lot, and the most lots of a group.
+    start: np.ndarray
+    width: int
+
+    def sent(self, q: np.ndarray, centre: np.ndarray, lot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Visits put together: query, group, and a bit for every lot of the group, set for those asked."""
+        place = np.where(centre < 0, len(self.centre) - 1, self.first[centre] + lot)
+        group = self.group[place]
+        pairs, row = np.unique(q * len(self.start) + group, return_inverse=True)
+        asked = np.zeros((len(pairs), self.width), bool)
+        asked[row, place - self.start[group]] = True
+        return pairs // len(self.start), pairs % len(self.start), [x.tobytes() for x in np.packbits(asked, axis=1)]
+
+
+def places_of(centres: Centres, held_rows: int) -> Places:
+    """Groups of about as many items each, of about ``held_rows`` at most."""
+    first = np.cumsum(centres.lots) - centres.lots
+    centre = np.repeat(np.arange(len(centres.lots)), centres.lots)
+    rows = centres.items[centre] / centres.lots[centre]
+    total = int(centres.items.sum())
+    n = max(1, math.ceil(total / held_rows), min(len(centre), LOT_GROUPS))
+    group = np.minimum(((np.cumsum(rows) - rows) * n / max(total, 1)).astype(np.int64), n - 1)
+    group = np.append(group, n - 1)
+    lot = np.append(np.arange(len(centre)) - first[centre], 0)
+    start = np.searchsorted(group, np.arange(n))
+    return Places(first, np.append(centre, -1), lot, group, start, int(np.bincount(group).max()))
+
+
+def blocks_of(places: np.ndarray, ids: pa.Array, rows: np.ndarray, k: int) -> list[tuple[int, Block]]:
+    """A block for each place."""
+    order = np.argsort(places, kind="stable")
+    heads = np.flatnonzero(np.diff(places[order], prepend=-1))
+    return [
+        (int(places[some[0]]), block_of(ids.take(pa.array(some)), rows[some], k)) for some in np.split(order, heads[1:])
+    ]
+
+
+def best_in_group(part: pa.RecordBatch, blocks: list[tuple[int, Block]], k: int) -> Iterator[pa.RecordBatch]:
+    """Best k items for each query among those blocks whose bit its ``lots`` has set."""
+    step = max(1, SCORES_AT_ONCE // (k * len(blocks)))
+    for start in range(0, part.num_rows, step):
+        some = part.slice(start, step)
+        queries = as_matrix(some["embedding"])
+        asked = np.frombuffer(b"".join(some["lots"].to_pylist()), np.uint8).reshape(len(queries), -1)
+        found = []
+        for place, block in blocks:
+            asks = np.flatnonzero(asked[:, place // 8] & (128 >> place % 8))
+            found += best_of(pa.array(asks), queries[asks], block, k)
+        if found:
+            near = pa.Table.from_batches(found)
+            near = near.sort_by([("query_id", "ascending"), ("_score", "descending"), ("id", "ascending")])
+            query = near["query_id"].to_numpy()
+            near = near.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k)).combine_chunks()
+            for batch in near.to_batches():
+                columns = [some["query_id"].take(batch["query_id"]), batch["id"], batch["_score"]]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "_score"])
+
+
 def near_by_lots(items: DataFrame, queries: DataFrame, k: int, lot_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Exact ``k`` best items per query by cosine, as (query_id, id, _score), and the visits (query_id, centre, lot).
 
@@ -144,8 +213,9 @@ def near_by_lots(items: DataFrame, queries: DataFrame, k: int, lot_bytes: int) -
     drawn by a hash; the items of a centre are cut into lots of about ``lot_bytes``,
     so a crowded centre is no large task. Items are written once with their centre
     and never copied. A query asks one lot first; the k-th score found there bounds
-    what it may still find, and it then visits only lots within that reach. A task
-    holds one lot at a time, and queries stream past it.
+    what it may still find, and it then visits only lots within that reach. Lots
+    share groups of about ``HELD_BYTES``: a task holds one group at a time, queries
+    stream past it, and a query goes once to a group, however many lots it visits there.
     """
     spark = items.sparkSession
     id_kind, query_kind = items.schema["id"].dataType, queries.schema["query_id"].dataType
@@ -186,18 +256,22 @@ def near_by_lots(items: DataFrame, queries: DataFrame, k: int, lot_bytes: int) -
         if row.centre >= 0:
             held[row.centre], radius[row.centre] = row.n, row.r
     centres = Centres(chosen, radius, held, -(-held // lot_rows))
-    lots = spark.createDataFrame([(i, int(m)) for i, m in enumerate(centres.lots)], "centre int, lots int")
+    places = places_of(centres, max(1, HELD_BYTES // (4 * seen.dim + 8)))
+    n_groups = len(places.start)
+    of_centre = [(i, int(a), int(m), places.group[a : a + m].tolist()) for i, (a, m) in enumerate(zip(places.first, centres.lots))]
+    lots = spark.createDataFrame(of_centre, "centre int, first int, lots int, groups array<int>")
     lot = F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")
-    nonzero = dealt.filter("centre >= 0").join(F.broadcast(lots), "centre").select("id", "embedding", "centre", lot.alias("lot"))
+    own = [F.get("groups", lot).alias("group"), (F.col("first") + lot).alias("place")]
+    nonzero = dealt.filter("centre >= 0").join(F.broadcast(lots), "centre").select("id", "embedding", *own)
     # All zero vectors score 0, so only those with the smallest ids can be found.
-    zeros = dealt.filter("centre = -1").orderBy("id").limit(k).select("id", "embedding", "centre", F.lit(0).alias("lot"))
+    zeros = dealt.filter("centre = -1").orderBy("id").limit(k).select("id", "embedding", F.lit(n_groups - 1).alias("group"), F.lit(len(places.lot) - 1).alias("place"))
     some_zero = any(row.centre == -1 for row in sizes)
     known = nonzero.unionByName(zeros) if some_zero else nonzero
 
     def visits(first: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                step = max(1, SCORES_AT_ONCE // len(chosen))
+                step = max(1, SCORES_AT_ONCE // max(len(chosen), len(places.lot)))
                 for a in range(0, batch.num_rows, step):
                     part = batch.slice(a, step)
                     rows = as_matrix(part["embedding"])
@@ -211,41 +285,53 @@ def near_by_lots(items: DataFrame, queries: DataFrame, k: int, lot_bytes: int) -
                         if some_zero:
                             everyone = np.arange(len(rows))
                             q, centre, at = (np.concatenate(x) for x in ((q, everyone), (centre, everyone * 0 - 1), (at, everyone * 0)))
+                    q, group, asked = places.sent(q, centre, at)
                     for b in range(0, len(q), 10_000):
                         took = pa.array(q[b : b + 10_000])
-                        places = [pa.array(x[b : b + 10_000].astype(np.int32)) for x in (centre, at)]
-                        yield pa.RecordBatch.from_arrays(
-                            [part["query_id"].take(took), part["embedding"].take(took), *places], names=["query_id", "embedding", "centre", "lot"]
-                        )
+                        columns = [part["query_id"].take(took), part["embedding"].take(took)]
+                        columns += [pa.array(group[b : b + 10_000].astype(np.int32)), pa.array(asked[b : b + 10_000], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "group", "lots"])
 
         return go
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, rows, block = None, [], [], None
+        now, held, blocks = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch[c].to_numpy() for c in ("centre", "lot", "side")])
+            keys = np.stack([batch[c].to_numpy() for c in ("group", "side")])
             heads = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows]):
-                part, key = batch.slice(a, b - a), (keys[0, a], keys[1, a])
-                if key != now:
-                    now, ids, rows, block = key, [], [], None
-                if keys[2, a] == 0:
-                    ids.append(part["id"])
-                    rows.append(as_matrix(part["embedding"]))
-                elif ids:
-                    if block is None:
-                        block = block_of(pa.concat_arrays(ids), np.concatenate(rows), k)
-                    yield from best_of(part["query_id"], as_matrix(part["embedding"]), block, k)
+                part, group = batch.slice(a, b - a), keys[0, a]
+                if group != now:
+                    now, held, blocks = group, [], []
+                if keys[1, a] == 0:
+                    place = part["place"].to_numpy(zero_copy_only=False).astype(np.int64) - places.start[group]
+                    held.append((place, part["id"], as_matrix(part["embedding"])))
+                    continue
+                if held:
+                    at, ids, rows = zip(*held)
+                    held, blocks = [], blocks_of(np.concatenate(at), pa.concat_arrays(ids), np.concatenate(rows), k)
+                if blocks:
+                    yield from best_in_group(part, blocks, k)
 
     def asked(sent: DataFrame) -> DataFrame:
-        left = known.select("centre", "lot", F.lit(0).alias("side"), "id", F.lit(None).cast(query_kind).alias("query_id"), "embedding")
-        right = sent.select("centre", "lot", F.lit(1).alias("side"), F.lit(None).cast(id_kind).alias("id"), "query_id", "embedding")
-        together = left.unionByName(right).repartition("centre", "lot").sortWithinPartitions("centre", "lot", "side")
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        left = known.select("group", F.lit(0).alias("side"), "place", "id", none(query_kind, "query_id"), "embedding", none("binary", "lots"))
+        right = sent.select("group", F.lit(1).alias("side"), none("int", "place"), none(id_kind, "id"), "query_id", "embedding", "lots")
+        together = left.unionByName(right).repartitionById(n_groups, "group").sortWithinPartitions("group", "side")
         return together.mapInArrow(meet, schema)
 
-    visit = T.StructType().add("query_id", query_kind).add("embedding", vector).add("centre", "integer").add("lot", "integer")
+    def each_lot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(batch.num_rows):
+                bits = np.unpackbits(np.frombuffer(batch["lots"][a].as_py(), np.uint8))
+                place = places.start[batch["group"][a].as_py()] + np.flatnonzero(bits)
+                columns = [batch["query_id"].take(pa.array(place * 0 + a))]
+                columns += [pa.array(x[place].astype(np.int32)) for x in (places.centre, places.lot)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "centre", "lot"])
+
+    visit = T.StructType().add("query_id", query_kind).add("embedding", vector).add("group", "integer").add("lots", "binary")
     spread = queries.withColumn("spread", F.pmod(F.xxhash64("query_id"), F.lit(1 << 31)))
     to_first = spread.mapInArrow(visits(True), visit)
     path = shared_folder(spark, "near-first")
@@ -256,5 +342,6 @@ def near_by_lots(items: DataFrame, queries: DataFrame, k: int, lot_bytes: int) -
     bounds = kth.select(F.col("query_id").alias("asked"), F.col("_score").alias("bound"))
     bounded = spread.join(bounds, F.col("query_id") == F.col("asked"), "left").drop("asked")
     to_others = bounded.withColumn("bound", F.coalesce("bound", F.lit(float("nan")))).mapInArrow(visits(False), visit)
-    every = to_first.unionByName(to_others).select("query_id", "centre", "lot")
+    every_schema = T.StructType().add("query_id", query_kind).add("centre", "integer").add("lot", "integer")
+    every = to_first.unionByName(to_others).select("query_id", "group", "lots").mapInArrow(each_lot, every_schema)
     return found.unionByName(asked(to_others)), every

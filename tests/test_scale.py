@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell import Roles
 from siftwell.functions import vectors as V
-from siftwell.operators import quality, textjobs
+from siftwell.operators import nearest, quality, textjobs
 from siftwell.operators import vectorindex as I
 from siftwell.operators.nearest import near_by_lots
 from siftwell.operators.quantiles import exact_quantiles
@@ -162,6 +162,17 @@ def test_lots_visited_are_few_and_hold_all_neighbours(spark):
     assert own.count() == own.distinct().count() < 0.4 * lots * len(items[::20])
 
 
+def test_a_query_goes_once_to_the_lots_of_a_group(spark):
+    """Vectors without clusters, so that queries visit most lots; rows shuffled grow with groups, not with lots."""
+    df = spark.range(3000).select("id", F.array(*[F.randn(i) for i in range(12)]).cast("array<float>").alias("embedding"))
+    queries = df.withColumnRenamed("id", "query_id")
+    found, visits = near_by_lots(df, queries, 3, 700)
+    lots = visits.groupBy("query_id").count().agg(F.min("count")).first()[0]
+    assert lots > 2 * nearest.LOT_GROUPS
+    # Each of the two rounds gives a query at most k rows from every group.
+    assert found.count() <= 3000 * 3 * (nearest.LOT_GROUPS + 3)
+
+
 def test_items_are_not_copied_for_lots(spark):
     df = spark.range(500).select("id", F.array(F.rand(1), F.rand(2), F.rand(3)).cast("array<float>").alias("embedding"))
     near = I.knn_batch(df, df, 2, broadcast_bytes=0, block_bytes=500)
