@@ -19,6 +19,19 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that a join may broadcast: some 10 MB on the driver.
+FEW_ROWS = 50_000
+
+
+def merged(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, for a join that sorts and merges unless it is known to have few rows.
+
+    Spark takes a table's size from compressed files and does not count the rows that
+    an explode adds, so it may broadcast many times what its limit says.
+    """
+    return df if rows is not None and rows <= FEW_ROWS else df.hint("merge")
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of every text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

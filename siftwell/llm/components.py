@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import written
+from siftwell.llm.common import merged, written
 
 
-def _toward_least(pairs: DataFrame) -> DataFrame:
+def _toward_least(pairs: DataFrame, rows: int | None) -> DataFrame:
     """Every pair u, v with the least of u and all its partners as m."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
+    return pairs.join(merged(least, rows), F.col("u") == F.col("w")).select("u", "v", "m")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of every node are linked to the least node around it."""
+def large_star(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Larger neighbours of every node are linked to the least node around it; ``rows``: most links there can be."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    found = _toward_least(both).filter("v > u AND v != m")
+    found = _toward_least(both, rows and 2 * rows).filter("v > u AND v != m")
     return found.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours are linked to the least of them."""
+def small_star(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Every node and its smaller neighbours are linked to the least of them; ``rows``: most links there can be."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    found = _toward_least(down)
+    found = _toward_least(down, rows)
     moved = found.select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = found.select("u", F.col("m").alias("v"))
     return moved.union(own).filter("u != v").distinct()
@@ -47,7 +47,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.filter("u != v").select("u", "v").distinct(), "links")
     while True:
-        now = written(small_star(large_star(now)), "stars")
+        rows = now.count()
+        # A large star has a link at most for each end of a link.
+        now = written(small_star(large_star(now, rows), 2 * rows), "stars")
         if are_stars(now):
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import apart, texts_of, words_at, written
+from siftwell.llm.common import apart, merged, texts_of, words_at, written
 
 LEAST, MOST = 2048, 65536
 #: One position in 4096 is a cut.
@@ -109,7 +109,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
         F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
     )
     groups = groups.select(*[F.col(c).alias(f"g_{c}") for c in same], "keep", "group_size")
-    matched = recipes.join(groups, F.expr("recipe = g_recipe AND apart <=> g_apart"))
+    matched = recipes.join(merged(groups, recipes.count()), F.expr("recipe = g_recipe AND apart <=> g_apart"))
     return matched.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
@@ -132,11 +132,11 @@ def told_apart(recipes: DataFrame, docs: DataFrame, unsure: DataFrame) -> DataFr
     )
     whole = docs.select(F.col("doc_id").alias("t_id"), F.coalesce("text", F.lit("")).cast("binary").alias("t_text"))
     whole = whole.withColumn("t_sha", F.sha2("t_text", 256))
-    found = affected.join(whole, F.expr("doc_id <=> t_id AND text_sha256 = t_sha")).select(
+    found = affected.join(merged(whole), F.expr("doc_id <=> t_id AND text_sha256 = t_sha")).select(
         F.col("row").alias("t_row"), "t_text"
     )
     found = found.groupBy("t_row").agg(F.max("t_text").alias("t_text"))
-    return recipes.drop("apart").join(found, F.col("row") == F.col("t_row"), "left").select(
+    return recipes.drop("apart").join(merged(found), F.col("row") == F.col("t_row"), "left").select(
         *[c for c in recipes.columns if c != "apart"], F.col("t_text").alias("apart")
     )
 
@@ -155,12 +155,13 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     repeated = own.groupBy(F.col("doc_id").alias(k_id)).agg(F.count("*").alias("n")).filter("n > 1")
     repeated = written(repeated.select(k_id), "repeated-ids")
     same = F.col("doc_id").eqNullSafe(F.col(k_id))
-    stay = docs.join(times, same, "left_semi")
+    stay = docs.join(merged(times, times.count()), same, "left_semi")
     if repeated.isEmpty():
         return stay
+    repeated = merged(repeated, repeated.count())
     # One row of every text whose kept id repeats; equal texts under one id are one document.
     chosen = exact_groups(own).filter("kept").select(F.col("doc_id").alias(k_id), F.col("text_sha256").alias(k_sha))
     both = same & (F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col(k_sha))
-    once = stay.join(repeated, same, "left_semi").join(chosen, both, "left_semi")
+    once = stay.join(repeated, same, "left_semi").join(merged(chosen), both, "left_semi")
     once = once.withColumn(k_text, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", k_text]).drop(k_text)
     return stay.join(repeated, same, "left_anti").unionByName(once)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import apart, mix, texts_of, written
+from siftwell.llm.common import apart, merged, mix, texts_of, written
 from siftwell.llm.components import components
 
 LAST = np.iinfo(np.int64).max
@@ -130,7 +130,7 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     spots = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     full = spots.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n"))
     full = full.filter("n > 1").select(F.col("band").alias("b"), F.col("key").alias("k"), "least")
-    stars = spots.join(full, (F.col("band") == F.col("b")) & (F.col("key") == F.col("k")))
+    stars = spots.join(merged(full), (F.col("band") == F.col("b")) & (F.col("key") == F.col("k")))
     edges = stars.filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     return components(edges)
 
@@ -201,15 +201,16 @@ def near_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     nodes = written(nodes.select(F.col("one.row").alias("node"), "one.id", "one.sha", "digest", "bands", "size"), "distinct")
     groups = written(candidate_groups(nodes), "candidates")
+    count = signed.count()
     links = verified_links(docs, nodes, groups, settings)
     labels = components(links)
-    own = nodes.select("digest", "node").join(labels, "node", "left")
+    own = nodes.select("digest", "node").join(merged(labels, count), "node", "left")
     own = own.select(F.col("digest").alias("d"), F.coalesce("label", "node").alias("label"))
-    found = signed.drop("bands").join(own, F.col("digest") == F.col("d"), "left")
+    found = signed.drop("bands").join(merged(own, count), F.col("digest") == F.col("d"), "left")
     found = found.withColumn("label", F.coalesce("label", "row"))
     least = found.groupBy("label").agg(F.min(F.struct("id", "row")).alias("least"))
     least = least.select(F.col("label").alias("l"), "least")
-    return found.join(least, F.col("label") == F.col("l")).select(
+    return found.join(merged(least, count), F.col("label") == F.col("l")).select(
         "doc_id",
         "n_shingles",
         F.nullif(F.col("least.id"), F.lit(LAST)).alias("component_id"),
@@ -226,7 +227,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, setting
     compared across chunks as far as they are not connected yet: first with a few
     hubs, which joins most, then those outside the largest component with all.
     """
-    sized = groups.join(nodes.select("node", "id", "digest", "size"), "node")
+    count = nodes.count()
+    sized = groups.join(merged(nodes.select("node", "id", "digest", "size"), count), "node")
     totals = sized.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
     chunks = F.greatest(F.ceil(F.col("n") / settings.members), F.ceil(F.col("weight") / settings.shingles))
     totals = written(totals.select(F.col("label").alias("l"), chunks.cast("long").alias("chunks"), "weight"), "group-sizes")
@@ -237,9 +239,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, setting
     parcel = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("label"), F.lit(parcels))).otherwise(
         F.xxhash64("label", chunk)
     )
-    placed = sized.join(totals, F.col("label") == F.col("l")).select("node", "id", "digest", "label", "chunks", parcel.alias("parcel"))
+    placed = sized.join(merged(totals, count), F.col("label") == F.col("l")).select("node", "id", "digest", "label", "chunks", parcel.alias("parcel"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("t_id"), "text")
-    members = placed.join(texts, F.col("id") == F.col("t_id")).select("parcel", "label", "node", "digest", "text", "chunks")
+    members = placed.join(merged(texts), F.col("id") == F.col("t_id")).select("parcel", "label", "node", "digest", "text", "chunks")
     large = not totals.filter("chunks > 1").isEmpty()
     if large:
         members = written(members, "members")
@@ -248,9 +250,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, setting
         return links
     links = written(links, "links")
     members = members.filter("chunks > 1")
-    hubs = _hubs(links, members, settings)
-    links = written(links.union(_across(members, hubs, links, settings)), "links")
-    return links.union(_across(members, _minority(members, links), links, settings))
+    hubs = _hubs(links, members, settings, count)
+    links = written(links.union(_across(members, hubs, links, settings, count)), "links")
+    return links.union(_across(members, _minority(members, links, count), links, settings, count))
 
 
 def _own_rows(table: pa.Table) -> pa.Table:
@@ -278,41 +280,41 @@ def _links_of(settings: Settings):
     return links
 
 
-def _hubs(links: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
+def _hubs(links: DataFrame, members: DataFrame, settings: Settings, count: int) -> DataFrame:
     """The nodes with most links of each large group, a fixed number."""
     degree = links.select(F.col("u").alias("h")).union(links.select("v")).groupBy("h").agg(F.count("*").alias("degree"))
-    ranked = members.select("node", "label").join(degree, F.col("node") == F.col("h"), "left")
+    ranked = members.select("node", "label").join(merged(degree, count), F.col("node") == F.col("h"), "left")
     # Spark limits each task's rows before the shuffle, so a large group does not meet in one task.
     place = F.row_number().over(W.partitionBy("label").orderBy(F.desc_nulls_last("degree"), "node"))
     return ranked.withColumn("place", place).filter(F.col("place") <= settings.hubs).select("node")
 
 
-def _minority(members: DataFrame, links: DataFrame) -> DataFrame:
+def _minority(members: DataFrame, links: DataFrame, count: int) -> DataFrame:
     """Nodes of large groups outside the largest component of their group."""
-    placed = _labelled(members.select("node", "label"), links)
+    placed = _labelled(members.select("node", "label"), links, count)
     sizes = placed.groupBy("label", "part").agg(F.count("*").alias("n"))
     most = sizes.groupBy("label").agg(F.max(F.struct("n", "part")).alias("most")).select(F.col("label").alias("l"), "most")
     rest = placed.join(most, F.col("label") == F.col("l")).filter("part != most.part")
     return rest.select("node")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, links: DataFrame, count: int) -> DataFrame:
     parts = components(links).select(F.col("node").alias("p_node"), F.col("label").alias("p_label"))
-    joined = members.join(parts, F.col("node") == F.col("p_node"), "left")
+    joined = members.join(merged(parts, count), F.col("node") == F.col("p_node"), "left")
     return joined.withColumn("part", F.coalesce("p_label", "node")).drop("p_node", "p_label")
 
 
-def _across(members: DataFrame, visitors: DataFrame, links: DataFrame, settings: Settings) -> DataFrame:
+def _across(members: DataFrame, visitors: DataFrame, links: DataFrame, settings: Settings, count: int) -> DataFrame:
     """Links between visitors and the members of every chunk of their group that are not connected yet."""
-    placed = written(_labelled(members, links), "placed")
+    placed = written(_labelled(members, links, count), "placed")
     chosen = placed.join(visitors.select(F.col("node").alias("v_node")).distinct(), F.col("node") == F.col("v_node"), "left_semi")
     where = placed.select(F.col("label").alias("l"), F.col("parcel").alias("to")).distinct()
     sent = chosen.drop("parcel").join(where, F.col("label") == F.col("l"))
     # A chunk meets its visitors some hundred at a time, so that neither side outgrows a task.
     lot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20))
-    count = max(1, -(-chosen.count() // settings.members))
-    sent = sent.withColumn("lot", F.pmod(lot, F.lit(count)))
-    stay = placed.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    lots = max(1, -(-chosen.count() // settings.members))
+    sent = sent.withColumn("lot", F.pmod(lot, F.lit(lots)))
+    stay = placed.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
     columns = ["node", "digest", "text", "part"]
 
     def meet(own: pa.Table, others: pa.Table) -> pa.Table:
@@ -351,7 +353,7 @@ def nearly_unique(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(k_id)) & (
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.lower(F.hex(k_sha))
     )
-    stay = docs.join(kept, same, "left_semi")
+    stay = docs.join(merged(kept, kept.count()), same, "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return stay
     return stay.withColumn(k_text, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", k_text]).drop(k_text)

@@ -3,9 +3,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from siftwell.llm import minhash
-from siftwell.llm.components import components
+from siftwell.llm import common, exact, minhash
+from siftwell.llm.components import components, large_star, small_star
 from tests.llm.conftest import HARD
 
 
@@ -91,3 +92,30 @@ def test_star_steps_on_a_long_chain(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(100, 101), (101, 102)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(n)} | {100: 100, 101: 100, 102: 100}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_an_explode_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files of some kilobytes hold 32 keys a document: by their size alone Spark would broadcast all keys."""
+    nodes = spark.range(2000).select(
+        F.col("id").alias("node"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda k: F.floor(F.col("id") / 2) * k).alias("bands")
+    )
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    found = []
+    monkeypatch.setattr(minhash, "components", found.append)
+    minhash.candidate_groups(spark.read.parquet(str(tmp_path / "nodes")))
+    assert "SortMergeJoin" in plan(found[0]) and "Broadcast" not in plan(found[0])
+    assert sorted(tuple(r) for r in found[0].collect()) == [(i, i - 1) for i in range(1, 2000, 2)]
+
+
+def test_tables_with_many_rows_are_not_broadcast(frame, spark, monkeypatch):
+    docs, edges = frame(copies(5)), spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    for star in (large_star, small_star):
+        assert "Broadcast" not in plan(star(edges, 10**6))
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    made = [minhash.near_groups(docs), minhash.nearly_unique(docs), exact.exact_groups(docs), exact.kept_documents(docs)]
+    assert not [p for p in map(plan, made) if "Broadcast" in p]
+    assert rows(made[0].collect()) == brute(copies(5))
