@@ -187,6 +187,11 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, se
 
 
 def met_by(rules: list[Rule], x: np.ndarray) -> np.ndarray:
+    """A row for every text and a column for every rule: 1 where the text meets it."""
+    return np.unpackbits(bits_of(rules, x), axis=1, count=len(x)).T
+
+
+def bits_of(rules: list[Rule], x: np.ndarray) -> np.ndarray:
     """A row of bits for every rule: which texts meet it."""
     out = np.zeros((len(rules), -(-len(x) // 8)), np.uint8)
     for i, rule in enumerate(rules):
@@ -237,7 +242,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, most: int = 120) -> RuleModel:
     # The fifth that is set apart lies in front, so that both parts are slices of one table.
     order = np.argsort(np.arange(len(y)) % 5 != 0, kind="stable")
     x, y, m = x[order], y[order], -(-len(y) // 5)
-    bits = met_by(rules, x)
+    bits = bits_of(rules, x)
     distinct = {row.tobytes(): i for i, row in reversed([*enumerate(bits)])}
     first = [i for i in sorted(distinct.values()) if 0 < int(np.bitwise_count(bits[i]).sum()) < len(y)]
     rules = [rules[i] for i in first]
