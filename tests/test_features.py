@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,63 @@ def test_signatures_rule_out_sets_that_meet_in_a_rare_token(spark):
     assert met >= {tuple(sorted((place[w[0]], place[w[1]]))) for w in wanted} and len(met) < 2 * len(wanted)
 
 
+def test_sets_travel_once_to_a_pair_of_lots(spark, tmp_path, monkeypatch):
+    """Near copies make very many pairs; each of their sets is sent once to be compared, not once a pair."""
+    rng = random.Random(5)
+    base = [f"wort{i}" for i in range(80)]
+    rows = [(i, " ".join(rng.sample(base, 78) + [f"eigen{i}"])) for i in range(60)] + [(100 + i, f"fremd{i} text{i}") for i in range(20)]
+    docs, wanted = spark.createDataFrame(rows, "id long, t string").repartition(3), overlaps(rows, 0.8)
+    assert len(wanted) == 60 * 59 // 2
+    bundles, folder = textjobs._bundles, str(tmp_path)
+
+    def counted(batches):
+        for batch in batches:
+            with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as out:
+                out.write(str(batch.num_rows))
+            yield from bundles([batch])
+
+    def run():
+        found = textjobs.similar_pairs(docs, "id", "t", 0.8, 7).collect()
+        return sorted((r[0], r[1], r[2], round(r[3], 9), r[4], r[5]) for r in found)
+
+    monkeypatch.setattr(textjobs, "_bundles", counted)
+    assert run() == wanted
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 60
+    # Many lots, cuts and parts find the same.
+    for name, value in (("LOT", 7), ("GROUP_PAIRS", 5), ("ENTRIES", 100), ("ROWS_AT_ONCE", 11), ("LOOKED_UP", 100)):
+        monkeypatch.setattr(textjobs, name, value)
+    assert run() == wanted
+
+
+def test_a_set_goes_once_to_a_part_and_a_pair_is_named_once(spark):
+    """The rare tokens of a set lie in one row a part; sets that share a run of them meet at the first."""
+    tokens = [[5, 9, 12, 20, 31], [5, 9, 12, 20, 40], [7, 9, 12, 21, 31]]
+    flat = pa.array([t for own in tokens for t in own], pa.int64())
+    items = pa.array([i for i, own in enumerate(tokens) for _ in own], pa.int64())
+    sizes, signature = pa.array([5] * 15, pa.int32()), pa.array([bytes(32)] * 15, pa.binary())
+    heads = pa.RecordBatch.from_arrays([flat, items, sizes, signature], names=["token", "item", "size", "signature"])
+    none = np.zeros(0, np.int64)
+    packed = list(textjobs._packed(none, none, 1)([heads]))
+    assert [b["item"].to_pylist() for b in packed] == [[0, 1, 2]]
+    met = [p for b in textjobs._meet(0.1)(packed_cells(packed)) for p in zip(*b.to_pydict().values())]
+    # 0 and 1 share 5, 9, 12 and 20 in a run; 2 meets both where the token before is another.
+    assert sorted(met) == [(0, 1, 5, 5), (0, 2, 5, 5), (0, 2, 5, 5), (1, 2, 5, 5)]
+    assert sorted(p for b in textjobs._met(0.1)(packed) for p in zip(*b.to_pydict().values())) == sorted(set(met))
+
+
+def packed_cells(packed):
+    """The rows of a packed part in the order of cells, as they meet."""
+    rows = []
+    for batch in packed:
+        for item, size, signature, entries in zip(*(batch[c].to_pylist() for c in ("item", "size", "signature", "entries"))):
+            for token, before, code in np.frombuffer(entries, np.int64).reshape(-1, 3).tolist():
+                rows.append((token, 0, 0, 0, item, size, before, code & 1, signature))
+    names = ["token", "a", "b", "own", "item", "size", "before", "follows", "signature"]
+    kinds = [*[pa.int64()] * 5, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*sorted(rows)), kinds)]
+    return [pa.RecordBatch.from_arrays(columns, names=names)]
+
+
 def test_similar_pairs_plan_has_no_cross_join(spark):
     docs = spark.createDataFrame([(1, "eins zwei"), (2, "eins zwei drei")], "id long, t string")
     plan = textjobs.similar_pairs(docs, "id", "t")._jdf.queryExecution().executedPlan().toString()
